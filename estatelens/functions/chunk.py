@@ -43,38 +43,44 @@ def chunk_units(text, max_length: int = 3000) -> Column:
     return F.flatten(F.transform(F.split(text, "\n", -1), paragraph_units))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it several times in ``body`` (a one-element
+    ``transform``). Reusing a Python Column object instead would copy its whole
+    expression tree, and Spark would evaluate it once per copy."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def pack_chunks(text, max_length: int = 3000, drop_empty: bool = False) -> Column:
     """``array<string>`` of chunks, in order. Null text gives null."""
-    units = chunk_units(text, max_length)
-    return _pack(units, max_length, drop_empty)
+    return let(chunk_units(text, max_length), lambda units: _pack(units, max_length, drop_empty))
 
 
 def _pack(units: Column, max_length: int, drop_empty: bool) -> Column:
     init = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("len"), F.lit(0).alias("i"))
 
     def step(acc: Column, x: Column) -> Column:
-        ulen = F.length(x["u"]) + F.lit(1)
-        flush = acc["len"] + ulen > F.lit(max_length)
-        return F.struct(
-            F.when(flush, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
-            F.when(flush, ulen).otherwise(acc["len"] + ulen).alias("len"),
-            (acc["i"] + F.lit(1)).alias("i"),
-        )
-
-    starts = F.aggregate(units, init, step)["starts"]
-    n = F.size(units)
-    n_starts = F.size(starts)
-
-    def chunk_at(s: Column, k: Column) -> Column:
-        end = F.when(k + 1 < n_starts, F.get(starts, k + 1)).otherwise(n)
-        body = F.slice(units, s + 1, end - s)
-        return F.regexp_replace(F.array_join(F.transform(body, lambda x: F.concat(x["u"], x["sep"])), ""),
-                                STRIP_RE, "")
-
-    chunks = F.transform(starts, chunk_at)
-    # The last (unflushed) chunk is emitted only when it is not blank.
-    last_blank = F.get(chunks, n_starts - 1) == F.lit("")
-    chunks = F.when(last_blank, F.slice(chunks, 1, n_starts - 1)).otherwise(chunks)
-    if drop_empty:
-        chunks = F.filter(chunks, lambda c: c != F.lit(""))
-    return chunks
+        return let(F.length(x["u"]) + F.lit(1), lambda ulen: let(
+            acc["len"] + ulen > F.lit(max_length), lambda flush: F.struct(
+                F.when(flush, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
+                F.when(flush, ulen).otherwise(acc["len"] + ulen).alias("len"),
+                (acc["i"] + F.lit(1)).alias("i"),
+            )))
+
+    def texts(starts: Column) -> Column:
+        n, n_starts = F.size(units), F.size(starts)
+
+        def chunk_at(s: Column, k: Column) -> Column:
+            end = F.when(k + 1 < n_starts, F.get(starts, k + 1)).otherwise(n)
+            body = F.slice(units, s + 1, end - s)
+            return F.regexp_replace(
+                F.array_join(F.transform(body, lambda x: F.concat(x["u"], x["sep"])), ""), STRIP_RE, "")
+
+        def finish(chunks: Column) -> Column:
+            # The last (unflushed) chunk is emitted only when it is not blank.
+            last_blank = F.get(chunks, n_starts - 1) == F.lit("")
+            out = F.when(last_blank, F.slice(chunks, 1, n_starts - 1)).otherwise(chunks)
+            return F.filter(out, lambda c: c != F.lit("")) if drop_empty else out
+
+        return let(F.transform(starts, chunk_at), finish)
+
+    return let(F.aggregate(units, init, step)["starts"], texts)

@@ -11,19 +11,31 @@ from estatelens.functions.chunk import pack_chunks
 from estatelens.functions.html import sanitize
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text jobs are CPU-bound per row. When the input arrives in fewer
+    partitions than the cluster has cores (a few large files), spread it
+    round-robin first; a large table already has enough splits and is left
+    as it is (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sanitize_table(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
     """X20 on one column of a table."""
-    return df.withColumn(out, sanitize(col))
+    return spread(df).withColumn(out, sanitize(col))
 
 
 def explode_chunks(df: DataFrame, key: str, col: str, max_length: int = 3000,
                    drop_empty: bool = False) -> DataFrame:
     """X24 + posexplode: ``(key, part, n_parts, chunk, n_chars)``, one row per
     chunk, ``part`` from 0. Texts without a chunk give no rows (Q16)."""
-    packed = df.select(F.col(key), pack_chunks(col, max_length, drop_empty).alias("_c"))
-    return packed.select(
-        key, F.size("_c").alias("n_parts"), F.posexplode("_c").alias("part", "chunk"),
-    ).select(key, "part", "n_parts", "chunk", F.length("chunk").alias("n_chars"))
+    packed = spread(df).select(F.col(key), pack_chunks(col, max_length, drop_empty).alias("_c"))
+    # ``posexplode_outer`` + a filter on its output: a plain ``posexplode`` makes
+    # the optimizer infer ``size(_c) > 0`` and push it below the projection,
+    # which would evaluate the packing twice.
+    return (packed.select(key, F.size("_c").alias("n_parts"), F.posexplode_outer("_c").alias("part", "chunk"))
+            .filter(F.col("chunk").isNotNull())
+            .select(key, "part", "n_parts", "chunk", F.length("chunk").alias("n_chars")))
 
 
 # Own display defaults for message framing.

@@ -54,7 +54,7 @@ def _geocoded(spark, sf):
 
 
 def _doc_messages(spark, sf):
-    docs = read_documents(spark, sf)
+    docs = tp.spread(read_documents(spark, sf))
     clean = docs.select("doc_id", sanitize("text").alias("text"))
     chunks = tp.explode_chunks(clean, "doc_id", "text", 3000)
     return tp.messages(chunks, "doc_id", tp.message_header(AS_OF), tp.message_footer())
@@ -143,7 +143,7 @@ QUERIES: dict[str, Query] = {
     "listing_blocks": _listing_blocks,
     "location_blocks": _location_blocks,
     "report_rows": _report_rows,
-    "sanitize_pages": lambda s, sf: read_pages(s, sf).select(
+    "sanitize_pages": lambda s, sf: tp.spread(read_pages(s, sf)).select(
         "page_id", sanitize("html").alias("text")).withColumn("n_chars", F.length("text")),
     "chunk_documents": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000),
     "messages": _doc_messages,
