@@ -22,7 +22,7 @@ from estatelens.operators import textprep as tp
 from estatelens.operators.geo import centroid, geocode, markers
 from estatelens.operators.topk import cheapest, locations, price_movers
 from estatelens.plans import oracle as O
-from estatelens.plans.reports import formatted_table
+from estatelens.plans.reports import formatted_table, report_messages
 from estatelens.sources import listings_from_testdata, read_documents, read_pages
 
 SMALL = (0.0, 40.0)
@@ -78,6 +78,11 @@ def _report_rows(spark, sf):
     return rpt.report_rows(_location_blocks(spark, sf))
 
 
+def _report_messages(spark, sf):
+    return report_messages(_report_rows(spark, sf), "movers_small_latest", tp.message_header(AS_OF),
+                           tp.message_footer())
+
+
 def _chart(spark, sf):
     top = st.top_regions(st.region_stats(_geocoded(spark, sf), avg_digits=6), 10)
     s = st.chart_series(top)
@@ -143,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "listing_blocks": _listing_blocks,
     "location_blocks": _location_blocks,
     "report_rows": _report_rows,
+    "report_messages": _report_messages,
     "sanitize_pages": lambda s, sf: tp.spread(read_pages(s, sf)).select(
         "page_id", sanitize("html").alias("text")).withColumn("n_chars", F.length("text")),
     "chunk_documents": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000),
@@ -153,6 +159,27 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _sql_text(t: str) -> str:
+    return "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _frame_ctes(key: str) -> list[str]:
+    header, footer = _sql_text(tp.message_header(AS_OF)), _sql_text(tp.message_footer())
+    framed = f"""framed AS (SELECT {key} AS report_id, part, n_parts,
+        CASE WHEN part = 0 THEN {header} || chunk ELSE chunk END
+          || CASE WHEN part = n_parts - 1 THEN {footer} ELSE '' END AS t FROM chunks)"""
+    trimmed = """trimmed AS (SELECT report_id, part, n_parts,
+        CASE WHEN length(t) > 4000 THEN substring(t, 1, 3997) || '...' ELSE t END AS text,
+        length(t) > 4000 AS was_trimmed FROM framed)"""
+    return [framed, trimmed]
+
+
+_OUTBOX_SELECT = f"""SELECT report_id, part, n_parts, text, CAST(length(text) AS INTEGER) AS n_chars,
+    substring(text, 1, 100) AS preview, was_trimmed,
+    CASE WHEN length(text) > 1000 THEN substring(text, 1, 950) || '{tp.MESSAGE_TEXT["retry_suffix"]}' END AS retry_text
+    FROM trimmed"""
+
+
 def _oracles() -> dict[str, str]:
     L = [O.LISTINGS]
     W = O.with_
@@ -249,20 +276,15 @@ def _oracles() -> dict[str, str]:
     chunks = O.chunk_ctes("SELECT doc_id, text FROM documents", "doc_id", "text", 3000)
     out["chunk_documents"] = W(chunks, """SELECT doc_id, part, n_parts, chunk,
         CAST(length(chunk) AS INTEGER) AS n_chars FROM chunks""")
-    header = tp.message_header(AS_OF).replace("'", "''").replace("\n", "' || chr(10) || '")
-    footer = tp.message_footer().replace("'", "''").replace("\n", "' || chr(10) || '")
-    suffix = tp.MESSAGE_TEXT["retry_suffix"]
     mchunks = O.chunk_ctes(f"SELECT doc_id, {O.sanitize('text')} AS text FROM documents", "doc_id", "text", 3000)
-    framed = f"""framed AS (SELECT doc_id AS report_id, part, n_parts,
-        CASE WHEN part = n_parts - 1 THEN (CASE WHEN part = 0 THEN '{header}' || chunk ELSE chunk END) || '{footer}'
-             ELSE (CASE WHEN part = 0 THEN '{header}' || chunk ELSE chunk END) END AS t FROM chunks)"""
-    trimmed = """trimmed AS (SELECT report_id, part, n_parts,
-        CASE WHEN length(t) > 4000 THEN substring(t, 1, 3997) || '...' ELSE t END AS text,
-        length(t) > 4000 AS was_trimmed FROM framed)"""
-    out["messages"] = W(mchunks + [framed, trimmed], f"""SELECT report_id, part, n_parts, text,
-        CAST(length(text) AS INTEGER) AS n_chars, substring(text, 1, 100) AS preview, was_trimmed,
-        CASE WHEN length(text) > 1000 THEN substring(text, 1, 950) || '{suffix}' END AS retry_text
-        FROM trimmed""")
+    out["messages"] = W(mchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
+    report = f"""report_doc AS (SELECT 'movers_small_latest' AS report_id,
+        string_agg(text, {nl} ORDER BY seq, location NULLS FIRST) AS text FROM (
+          SELECT 0 AS seq, CAST(NULL AS VARCHAR) AS location, '{title}' || {nl} AS text
+          FROM (SELECT 1 FROM locb LIMIT 1)
+          UNION ALL SELECT 1 AS seq, location, block AS text FROM locb) HAVING count(*) > 0)"""
+    rchunks = O.chunk_ctes(f"SELECT report_id, {O.sanitize('text')} AS text FROM report_doc", "report_id", "text", 3000)
+    out["report_messages"] = W(M + [fm, lb, locb, report] + rchunks + _frame_ctes("report_id"), _OUTBOX_SELECT)
     return out
 
 

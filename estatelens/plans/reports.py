@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.fmt import fixed, html_escape, link, whole_money
+from estatelens.functions.html import sanitize
+from estatelens.operators.longtext import pack_document
+from estatelens.operators.textprep import messages
 from estatelens.operators.geo import centroid, geocode, markers
 from estatelens.operators.report import listing_blocks, location_blocks, report_rows
 from estatelens.operators.stats import chart_series, region_stats, top_regions
@@ -45,6 +48,18 @@ def movers_report(listings: DataFrame, area_lo: float = 0.0, area_hi: float = 40
     return MoversReport(movers, blocks, locs, report_rows(locs, t))
 
 
+def report_messages(report_rows_df: DataFrame, report_id: str, header: str, footer: str,
+                    max_length: int = 3000) -> DataFrame:
+    """S5 + X20 + X24 + X25-X28 for a whole report: each block is sanitised
+    (a tag never spans two blocks), the document is packed into chunks exactly
+    as one string would be (distributed, see ``longtext``), and the chunks are
+    framed as the report's messages."""
+    clean = report_rows_df.select("seq", "location", sanitize("text").alias("text"))
+    chunks = pack_document(clean, ["seq", "location"], "text", max_length)
+    chunks = chunks.withColumn("report_id", F.lit(report_id))
+    return messages(chunks, "report_id", header, footer)
+
+
 def formatted_table(geocoded: DataFrame, currency: str = "AED", area_unit: str = "sq m",
                     link_label: str = "Open") -> DataFrame:
     """X13-X15 + F15: the rows of the listing table."""
