@@ -95,7 +95,7 @@ def min_move(df: DataFrame, min_pct: float = 0.1, col: str = "pct_change") -> Da
 
 def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: float | None = 40.0,
                   match: str = "latest", min_pct: float = 0.1, tiebreak=TIME_TIEBREAK,
-                  method: str = "top2") -> DataFrame:
+                  method: str = "top2", per_id_group: tuple[str, int] | None = None) -> DataFrame:
     """Newest price change per listing with listing attributes, area band and
     minimum move applied (J1, F3, F6).
 
@@ -107,10 +107,21 @@ def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: flo
     the measured change side is small and splits skewed ids otherwise.
 
     ``match="latest"`` keeps only the newest observation: attributes ride
-    through the window, no join at all."""
+    through the window, no join at all.
+
+    ``per_id_group=(col, k)`` (``match="all"`` only) keeps, per id and value of
+    ``col``, just the ``k`` newest observations before the join; a caller
+    that ranks rows of one id by time within ``col`` (top-k movers per
+    location) loses nothing, and a hot id is cut to ``k`` rows per map task."""
     if match == "all":
         changes = min_move(latest_changes(listings, tiebreak, method=method), min_pct)
         obs = listings.filter(area_predicate(area_lo, area_hi)).select(*OBSERVATION_COLUMNS)
+        if per_id_group is not None:
+            col, k = per_id_group
+            w = Window.partitionBy("id", col).orderBy(
+                *[F.col(c).desc_nulls_last() for c in ("updated_at", *tiebreak)])
+            obs = (obs.filter(F.col(col).isNotNull() & (F.col(col) != ""))
+                   .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k"))
         joined = changes.drop("current_price").join(obs, "id", "inner")
     elif match == "latest":
         carry = ATTRIBUTE_COLUMNS + ["seq1", "seq2"]

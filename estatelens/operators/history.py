@@ -1,0 +1,142 @@
+"""Skew-proof price history (W1-W3 for every observation).
+
+``changes.price_history`` is one window partitioned by ``id``: a listing with
+a third of all rows would be sorted by one task. Here the valid observations
+are range-partitioned on the full order ``(id, time, tie-breaks)`` (Spark
+samples the key, so a hot id is spread over many partitions by time), sorted
+within partitions, and checkpointed so both passes see the same partitions.
+
+Pass 1 returns per partition only its boundary facts: first/last id, the
+length of those runs, its last row. The driver stitches these in partition
+order (metadata of size O(#partitions), never rows). Pass 2 computes, inside
+each partition, the previous observation (``lag``) and the recency number
+``rn``; the first row of a partition takes its predecessor from the previous
+partition's last row, and ``rn`` adds the rows of the same id that live in
+later partitions. Result equals ``changes.price_history`` exactly."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from estatelens.operators.filters import positive_price, with_timestamp
+from estatelens.operators.order import TIME_TIEBREAK
+from estatelens.session import ensure_checkpoint_dir
+
+BOUNDARY_SCHEMA = ("pid int, n long, first_id long, first_run long, last_id long, last_run long, "
+                   "last_price double, last_time timestamp_ntz")
+
+
+def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start index of each row's id run and the run lengths per row."""
+    n = len(ids)
+    new = np.ones(n, dtype=bool)
+    new[1:] = ids[1:] != ids[:-1]
+    starts = np.flatnonzero(new)
+    run_of_row = np.cumsum(new) - 1
+    lengths = np.diff(np.append(starts, n))
+    return starts[run_of_row], lengths[run_of_row]
+
+
+def _boundaries(batches):
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True)
+    ids = pdf["id"].to_numpy()
+    first, last = ids[0], ids[-1]
+    yield pd.DataFrame({
+        "pid": [int(pdf["pid"].iloc[0])], "n": [len(ids)],
+        "first_id": [int(first)], "first_run": [int((ids == first).sum() if first == last else np.argmax(ids != first))],
+        "last_id": [int(last)], "last_run": [int(len(ids) - np.flatnonzero(ids != last)[-1] - 1)
+                                             if first != last else len(ids)],
+        "last_price": [float(pdf["price"].iloc[-1])], "last_time": [pdf["updated_at"].iloc[-1]],
+    })
+
+
+def _stitch(bounds: list[dict]) -> dict:
+    """Per partition: predecessor row, rows of its first id in earlier
+    partitions, rows of its last id in later partitions."""
+    bounds = sorted(bounds, key=lambda b: b["pid"])
+    out = {b["pid"]: {} for b in bounds}
+    prev, run_id, run_n = None, None, 0
+    for b in bounds:
+        o = out[b["pid"]]
+        o["prev"] = prev if prev is not None and prev[0] == b["first_id"] else None
+        o["before"] = run_n if run_id == b["first_id"] else 0
+        if b["first_id"] == b["last_id"]:
+            run_n = o["before"] + b["n"]
+        else:
+            run_n = b["last_run"]
+        run_id = b["last_id"]
+        prev = (b["last_id"], b["last_price"], b["last_time"])
+    run_id, run_n = None, 0
+    for b in reversed(bounds):
+        o = out[b["pid"]]
+        o["after"] = run_n if run_id == b["last_id"] else 0
+        if b["first_id"] == b["last_id"]:
+            run_n = o["after"] + b["n"]
+        else:
+            run_n = b["first_run"]
+        run_id = b["first_id"]
+    return out
+
+
+def _history(stitched: dict):
+    def run(batches):
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        ctx = stitched[int(pdf["pid"].iloc[0])]
+        ids = pdf["id"].to_numpy()
+        n = len(ids)
+        start, length = _runs(ids)
+        same_prev = np.zeros(n, dtype=bool)
+        same_prev[1:] = ids[1:] == ids[:-1]
+        prev_price = pdf["price"].shift(1).where(same_prev)
+        prev_time = pdf["updated_at"].shift(1).where(same_prev)
+        if ctx["prev"] is not None:
+            prev_price.iloc[0] = ctx["prev"][1]
+            prev_time.iloc[0] = ctx["prev"][2]
+        pos = np.arange(n) - start + 1                  # ascending position inside this partition's run
+        total = length.copy()
+        first_run = start == 0
+        last_run = start == start[-1]
+        pos = pos + np.where(first_run, ctx["before"], 0)
+        total = total + np.where(first_run, ctx["before"], 0) + np.where(last_run, ctx["after"], 0)
+        out = pdf.drop(columns=["pid"])
+        out["prev_price"] = prev_price
+        out["prev_updated_at"] = prev_time
+        out["rn"] = (total - pos + 1).astype(np.int32)
+        yield out
+    return run
+
+
+def price_history_balanced(listings: DataFrame, tiebreak=TIME_TIEBREAK, partitions: int | None = None) -> DataFrame:
+    """Same rows and columns as ``changes.price_history``, skew-proof."""
+    spark = listings.sparkSession
+    ensure_checkpoint_dir(spark)
+    cols = ["id", "price", "updated_at", *[c for c in tiebreak if c != "price"]]
+    keys = ["id", "updated_at", *tiebreak]
+    valid = with_timestamp(positive_price(listings)).select(*cols)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (valid.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+               .select(F.spark_partition_id().alias("pid"), *cols)
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        ordered_ck = ordered.checkpoint(eager=True)
+    finally:
+        ordered.unpersist()
+    bounds = [r.asDict() for r in
+              ordered_ck.select("pid", "id", "price", "updated_at").mapInPandas(_boundaries, BOUNDARY_SCHEMA).collect()]
+    stitched = _stitch(bounds)
+    in_schema = ordered_ck.drop("pid").schema
+    out_schema = T.StructType(in_schema.fields + [
+        T.StructField("prev_price", T.DoubleType()), T.StructField("prev_updated_at", T.TimestampNTZType()),
+        T.StructField("rn", T.IntegerType())])
+    return ordered_ck.mapInPandas(_history(stitched), out_schema)

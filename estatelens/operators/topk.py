@@ -33,9 +33,15 @@ def price_movers(listings: DataFrame, area_lo: float | None = 0.0, area_hi: floa
                  k: int = 3, match: str = "latest", min_pct: float = 0.1, max_pct: float = 25.0,
                  method: str = "top2") -> DataFrame:
     """The ``k`` largest plausible moves per non-blank location.
-    ``position`` numbers them from 1 in order of decreasing move."""
-    changes = plausible(price_changes(listings, area_lo, area_hi, match, min_pct, method=method),
-                        min_pct, max_pct)
+    ``position`` numbers them from 1 in order of decreasing move.
+
+    With ``match="all"`` every observation of an id carries the same move, so
+    within a location its rows rank by time alone: only the ``k`` newest
+    observations per (id, location) can make the cut, and only those are
+    joined (exact; bounded work for a hot id)."""
+    pre = ("location", k) if match == "all" else None
+    changes = plausible(price_changes(listings, area_lo, area_hi, match, min_pct, method=method,
+                                      per_id_group=pre), min_pct, max_pct)
     return top_k_per_group(non_blank(changes), ["location"], mover_order(), k, "position")
 
 

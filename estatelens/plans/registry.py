@@ -20,6 +20,7 @@ from estatelens.operators import stats as st
 from estatelens.operators import synth
 from estatelens.operators import textprep as tp
 from estatelens.operators.geo import centroid, geocode, markers
+from estatelens.operators.history import price_history_balanced
 from estatelens.operators.topk import cheapest, locations, price_movers
 from estatelens.plans import oracle as O
 from estatelens.plans.reports import formatted_table, report_messages
@@ -121,6 +122,7 @@ QUERIES: dict[str, Query] = {
         flt.area_band(flt.positive_price(_listings(s, sf)), *SMALL), 1000).select(
             "id", "title", "price", "rooms", "area", "location", "property_url", "updated_at"),
     "price_history": lambda s, sf: ch.price_history(_listings(s, sf)),
+    "price_history_balanced": lambda s, sf: price_history_balanced(_listings(s, sf)),
     "latest_changes": lambda s, sf: ch.latest_changes(_listings(s, sf), method="top2"),
     "latest_changes_window": lambda s, sf: ch.latest_changes(_listings(s, sf), method="window"),
     "price_changes_all_small": _changes("all", SMALL),
@@ -196,6 +198,7 @@ def _oracles() -> dict[str, str]:
         "latest_changes": W(L + [O.history_cte(), O.LATEST], "SELECT * FROM latest"),
     }
     out["latest_changes_window"] = out["latest_changes"]
+    out["price_history_balanced"] = out["price_history"]
     for name, match, b in (("price_changes_all_small", "all", SMALL), ("price_changes_all_medium", "all", MEDIUM),
                            ("price_changes_latest_small", "latest", SMALL),
                            ("price_changes_latest_medium", "latest", MEDIUM)):

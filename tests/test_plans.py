@@ -42,7 +42,8 @@ def test_single_window_sort_for_history(spark):
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("sanitize_pages", "messages", "report_messages")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("sanitize_pages", "messages", "report_messages",
+                                                                   "price_history_balanced")])
 def test_no_python_in_plan(spark, name):
     p = plan(spark, name)
     assert not any(node in p for node in PYTHON_NODES)
