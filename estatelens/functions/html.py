@@ -15,8 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed values (must equal the reference's): a tag is "<", at least one
+# character other than ">", then ">"; removed controls are C0 except tab, LF
+# and CR, then DEL and C1.
 TAG_RE = r"<[^>]+>"
-# C0 controls except tab, LF and CR; DEL; C1 controls.
 CONTROL_RE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 
