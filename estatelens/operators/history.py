@@ -16,6 +16,8 @@ later partitions. Result equals ``changes.price_history`` exactly."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -117,14 +119,22 @@ def _history(stitched: dict):
     return run
 
 
-def price_history_balanced(listings: DataFrame, tiebreak=TIME_TIEBREAK, partitions: int | None = None) -> DataFrame:
-    """Same rows and columns as ``changes.price_history``, skew-proof."""
+def price_history_balanced(listings: DataFrame, tiebreak=TIME_TIEBREAK, partitions: int | None = None,
+                           rows_per_partition: int = 2_000_000) -> DataFrame:
+    """Same rows and columns as ``changes.price_history``, skew-proof.
+
+    Each pass holds one range partition in pandas, so the partition count is
+    at least ``rows / rows_per_partition`` (one pruned counting scan), and at
+    least ``spark.sql.shuffle.partitions``."""
     spark = listings.sparkSession
     ensure_checkpoint_dir(spark)
     cols = ["id", "price", "updated_at", *[c for c in tiebreak if c != "price"]]
     keys = ["id", "updated_at", *tiebreak]
     valid = with_timestamp(positive_price(listings)).select(*cols)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                         math.ceil(valid.count() / rows_per_partition))
+    n = partitions
     ordered = (valid.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                .select(F.spark_partition_id().alias("pid"), *cols)
                .persist(StorageLevel.MEMORY_AND_DISK))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.chunk import chunk_units
 from estatelens.functions.text import STRIP_RE
-from estatelens.session import ensure_checkpoint_dir
+from estatelens.session import ensure_checkpoint_dir, parallelism
 
 SUMMARY_SCHEMA = ("pid int, total long, last_text long, seg_lo array<long>, seg_hi array<long>, "
                   "seg_out array<long>, seg_flush array<long>, seg_end array<long>")
@@ -184,8 +184,7 @@ def pack_document(rows: DataFrame, order_cols: list[str], text_col: str, max_len
         if total_units == 0:
             return spark.createDataFrame([], "part int, n_parts int, chunk string")
         keys = [*order_cols, "_line", "_unit"]
-        n = partitions or max(spark.sparkContext.defaultParallelism,
-                              math.ceil(total_units / units_per_partition))
+        n = partitions or max(parallelism(spark), math.ceil(total_units / units_per_partition))
         ordered = (units.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                    .select(F.spark_partition_id().alias("pid"), "w", "u", "sep")
                    .persist(StorageLevel.MEMORY_AND_DISK))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.chunk import pack_chunks
 from estatelens.functions.html import sanitize
+from estatelens.session import parallelism
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -16,8 +17,12 @@ def spread(df: DataFrame) -> DataFrame:
     partitions than the cluster has cores (a few large files), spread it
     round-robin first; a large table already has enough splits and is left
     as it is (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = parallelism(df.sparkSession)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (Spark Connect): leave the input as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def sanitize_table(df: DataFrame, col: str, out: str = "clean") -> DataFrame:

@@ -19,6 +19,8 @@ SESSION_DEFAULTS = {
     # entity-decoding UDF's Python memory bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
+    # Remove checkpoint files of the multi-pass operators once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,10 +38,22 @@ def build_session(master: str = "local[8]", app: str = "estatelens",
     return spark
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the application (falls back to the shuffle
+    partition setting where the SparkContext is not reachable)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="estatelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
