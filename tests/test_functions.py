@@ -160,3 +160,36 @@ def test_html_escape_and_link(spark):
     df = one_col(spark, ['a&b<c>"'], "string")
     assert collect(df, fmt.html_escape("v")) == ["a&amp;b&lt;c&gt;&quot;"]
     assert collect(df, fmt.link(F.lit("u"))) == ['<a href="u" target="_blank">Open</a>']
+
+
+SAN_PIECES = ["<", ">", "&", "&amp;", "&lt;", "&copy", "&#62;", "&#x3c;", "a", " ", "\n", "b>", "<i", "\x07", "\x85",
+              "é", ";"]
+
+
+def test_sanitize_property_batch(spark):
+    """No < or > survives; every & begins an entity the sanitiser wrote;
+    and the result equals the plain-Python statement."""
+    rng = random.Random(23)
+    texts = ["".join(rng.choice(SAN_PIECES) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    got = collect(one_col(spark, texts, "string"), sanitize("v"))
+    for text, out in zip(texts, got):
+        assert out == pyref.sanitize(text)
+        assert "<" not in out and ">" not in out
+        assert re.fullmatch(r"([^&]|&(amp|lt|gt);)*", out, re.S)
+
+
+GEO_PIECES = ["Широта: ", " Долгота: ", "Долгота: ", "25", ".", "1", ",", " ", "-", "e", "x", "nan", "+", " "]
+
+
+def test_geography_property_batch(spark):
+    """Both coordinates or neither, and a parsed value is a plain number
+    that Python reads the same way."""
+    rng = random.Random(29)
+    texts = ["".join(rng.choice(GEO_PIECES) for _ in range(rng.randint(0, 8))) for _ in range(400)]
+    lat, lon = parse_geography("v")
+    rows = one_col(spark, texts, "string").orderBy("i").select(lat, lon).collect()
+    for text, (a, b) in zip(texts, rows):
+        assert (a is None) == (b is None)
+        if a is not None:
+            parts = text.replace("Широта: ", "").replace(" Долгота: ", "").split(",")
+            assert len(parts) == 2 and (float(parts[0].strip()), float(parts[1].strip())) == (a, b)
