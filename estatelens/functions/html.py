@@ -45,7 +45,19 @@ def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL_RE, "")
 
 
+# A character reference starts with "&" and then a letter (named) or "#"
+# (numeric); a text without one is left unchanged by decoding.
+REFERENCE_START_RE = r"&[A-Za-z#]"
+
+
+def decode_entities(c: Column) -> Column:
+    """X16, sending only texts that can change to Python: the UDF receives
+    null for every other row (a null costs almost nothing in an Arrow batch)
+    and the original text is kept for those."""
+    return F.coalesce(html_unescape(F.when(c.rlike(REFERENCE_START_RE), c)), c)
+
+
 def sanitize(c) -> Column:
     """X20 = X16 -> X17 -> X18 -> X19. Null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    return strip_controls(escape_specials(strip_tags(html_unescape(c))))
+    return strip_controls(escape_specials(strip_tags(decode_entities(c))))
