@@ -30,11 +30,6 @@ def fixed(c, decimals: int = 2) -> Column:
     return F.call_function("format_number", _c(c).cast("double"), F.lit(pattern))
 
 
-def whole(c) -> Column:
-    """Truncate toward zero; text that is not a number becomes null."""
-    return _c(c).cast("string").try_cast("double").cast("bigint")
-
-
 def whole_money(c, currency: str = "AED") -> Column:
     """Whole units with thousands commas and a currency: ``1,999 AED``."""
     return F.concat(F.format_number(_c(c).cast("double").cast("bigint"), 0), F.lit(" " + currency))

@@ -151,8 +151,8 @@ QUERIES: dict[str, Query] = {
     "location_blocks": _location_blocks,
     "report_rows": _report_rows,
     "report_messages": _report_messages,
-    "sanitize_pages": lambda s, sf: tp.spread(read_pages(s, sf)).select(
-        "page_id", sanitize("html").alias("text")).withColumn("n_chars", F.length("text")),
+    "sanitize_pages": lambda s, sf: tp.sanitize_table(read_pages(s, sf), "html", "text").select(
+        "page_id", "text", F.length("text").alias("n_chars")),
     "chunk_documents": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000),
     "messages": _doc_messages,
     "synthetic_moves": _synthetic(False),
