@@ -61,6 +61,12 @@ def _doc_messages(spark, sf):
     return tp.messages(chunks, "doc_id", tp.message_header(AS_OF), tp.message_footer())
 
 
+def _page_messages(spark, sf):
+    pages = tp.sanitize_table(read_pages(spark, sf), "html", "text")
+    chunks = tp.explode_chunks(pages, "page_id", "text", 3000)
+    return tp.messages(chunks, "page_id", tp.message_header(AS_OF), tp.message_footer())
+
+
 def _formatted_movers(spark, sf):
     mv = price_movers(_listings(spark, sf), *SMALL, k=3, match="latest")
     return rpt.formatted_moves(mv)
@@ -155,6 +161,7 @@ QUERIES: dict[str, Query] = {
         "page_id", "text", F.length("text").alias("n_chars")),
     "chunk_documents": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000),
     "messages": _doc_messages,
+    "page_messages": _page_messages,
     "synthetic_moves": _synthetic(False),
     "synthetic_moves_deadzone": _synthetic(True),
     "fallback_moves": _fallback,
@@ -281,6 +288,8 @@ def _oracles() -> dict[str, str]:
         CAST(length(chunk) AS INTEGER) AS n_chars FROM chunks""")
     mchunks = O.chunk_ctes(f"SELECT doc_id, {O.sanitize('text')} AS text FROM documents", "doc_id", "text", 3000)
     out["messages"] = W(mchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
+    pchunks = O.chunk_ctes(f"SELECT page_id, {O.sanitize('html')} AS text FROM pages", "page_id", "text", 3000)
+    out["page_messages"] = W(pchunks + _frame_ctes("page_id"), _OUTBOX_SELECT)
     report = f"""report_doc AS (SELECT 'movers_small_latest' AS report_id,
         string_agg(text, {nl} ORDER BY seq, location NULLS FIRST) AS text FROM (
           SELECT 0 AS seq, CAST(NULL AS VARCHAR) AS location, '{title}' || {nl} AS text
