@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.functions.chunk import pack_chunks
+from estatelens.functions.chunk import pack_chunks, pack_chunks_arrow
 from estatelens.functions.html import sanitize
 from estatelens.session import parallelism
 
@@ -31,10 +31,19 @@ def sanitize_table(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
 
 
 def explode_chunks(df: DataFrame, key: str, col: str, max_length: int = 3000,
-                   drop_empty: bool = False) -> DataFrame:
+                   drop_empty: bool = False, engine: str = "native") -> DataFrame:
     """X24 + posexplode: ``(key, part, n_parts, chunk, n_chars)``, one row per
-    chunk, ``part`` from 0. Texts without a chunk give no rows (Q16)."""
-    packed = spread(df).select(F.col(key), pack_chunks(col, max_length, drop_empty).alias("_c"))
+    chunk, ``part`` from 0. Texts without a chunk give no rows (Q16).
+    ``engine="native"`` is the JVM array fold; ``"arrow"`` the pandas UDF."""
+    if engine == "native":
+        packed_col = pack_chunks(col, max_length, drop_empty)
+    elif engine == "arrow":
+        packed_col = pack_chunks_arrow(col, max_length)
+        if drop_empty:
+            packed_col = F.filter(packed_col, lambda c: c != F.lit(""))
+    else:
+        raise ValueError(f"unknown engine {engine!r}")
+    packed = spread(df).select(F.col(key), packed_col.alias("_c"))
     # ``posexplode_outer`` + a filter on its output: a plain ``posexplode`` makes
     # the optimizer infer ``size(_c) > 0`` and push it below the projection,
     # which would evaluate the packing twice.

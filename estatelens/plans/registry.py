@@ -160,6 +160,8 @@ QUERIES: dict[str, Query] = {
     "sanitize_pages": lambda s, sf: tp.sanitize_table(read_pages(s, sf), "html", "text").select(
         "page_id", "text", F.length("text").alias("n_chars")),
     "chunk_documents": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000),
+    "chunk_documents_arrow": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000,
+                                                             engine="arrow"),
     "messages": _doc_messages,
     "page_messages": _page_messages,
     "synthetic_moves": _synthetic(False),
@@ -286,6 +288,7 @@ def _oracles() -> dict[str, str]:
     chunks = O.chunk_ctes("SELECT doc_id, text FROM documents", "doc_id", "text", 3000)
     out["chunk_documents"] = W(chunks, """SELECT doc_id, part, n_parts, chunk,
         CAST(length(chunk) AS INTEGER) AS n_chars FROM chunks""")
+    out["chunk_documents_arrow"] = out["chunk_documents"]
     mchunks = O.chunk_ctes(f"SELECT doc_id, {O.sanitize('text')} AS text FROM documents", "doc_id", "text", 3000)
     out["messages"] = W(mchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
     pchunks = O.chunk_ctes(f"SELECT page_id, {O.sanitize('html')} AS text FROM pages", "page_id", "text", 3000)

@@ -43,7 +43,8 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGro
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("sanitize_pages", "messages", "report_messages",
-                                                                   "price_history_balanced")])
+                                                                   "price_history_balanced",
+                                                                   "chunk_documents_arrow", "page_messages")])
 def test_no_python_in_plan(spark, name):
     p = plan(spark, name)
     assert not any(node in p for node in PYTHON_NODES)
