@@ -22,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estatelens.functions.text import PY_WS, STRIP_RE
+from estatelens.functions.text import PY_WS, py_strip
 
 SENTENCE_SPLIT_RE = f"(?<=[.!?]){PY_WS}+"
 
@@ -63,12 +63,15 @@ def _pack(units: Column, max_length: int, drop_empty: bool) -> Column:
     init = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("len"), F.lit(0).alias("i"))
 
     def step(acc: Column, x: Column) -> Column:
-        return let(F.length(x["u"]) + F.lit(1), lambda ulen: let(
-            acc["len"] + ulen > F.lit(max_length), lambda flush: F.struct(
-                F.when(flush, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
-                F.when(flush, ulen).otherwise(acc["len"] + ulen).alias("len"),
-                (acc["i"] + F.lit(1)).alias("i"),
-            )))
+        # Cheap scalar subexpressions are simply repeated: a ``let`` here would
+        # allocate an array per unit.
+        ulen = F.length(x["u"]) + F.lit(1)
+        flush = acc["len"] + ulen > F.lit(max_length)
+        return F.struct(
+            F.when(flush, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
+            F.when(flush, ulen).otherwise(acc["len"] + ulen).alias("len"),
+            (acc["i"] + F.lit(1)).alias("i"),
+        )
 
     def texts(starts: Column) -> Column:
         n, n_starts = F.size(units), F.size(starts)
@@ -76,8 +79,7 @@ def _pack(units: Column, max_length: int, drop_empty: bool) -> Column:
         def chunk_at(s: Column, k: Column) -> Column:
             end = F.when(k + 1 < n_starts, F.get(starts, k + 1)).otherwise(n)
             body = F.slice(units, s + 1, end - s)
-            return F.regexp_replace(
-                F.array_join(F.transform(body, lambda x: F.concat(x["u"], x["sep"])), ""), STRIP_RE, "")
+            return py_strip(F.array_join(F.transform(body, lambda x: F.concat(x["u"], x["sep"])), ""))
 
         def finish(chunks: Column) -> Column:
             # The last (unflushed) chunk is emitted only when it is not blank.

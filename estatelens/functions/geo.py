@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from estatelens.functions.text import STRIP_RE
+from estatelens.functions.text import py_strip
 
 # The labels of the source format, the second with its leading space.
 LAT_LABEL = "Широта: "
@@ -20,7 +20,7 @@ NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP_RE, "")
+    return py_strip(c)
 
 
 def parse_geography(c) -> tuple[Column, Column]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.chunk import chunk_units
-from estatelens.functions.text import STRIP_RE
+from estatelens.functions.text import py_strip
 from estatelens.session import ensure_checkpoint_dir, parallelism
 
 SUMMARY_SCHEMA = ("pid int, total long, last_text long, seg_lo array<long>, seg_hi array<long>, "
@@ -200,8 +200,8 @@ def pack_document(rows: DataFrame, order_cols: list[str], text_col: str, max_len
     assigned = ordered.mapInPandas(_assign(m, start), ASSIGN_SCHEMA)
     texts = (assigned.groupBy("chunk")
              .agg(F.array_sort(F.collect_list(F.struct("pid", "idx", "u", "sep"))).alias("_p"))
-             .select("chunk", F.regexp_replace(F.array_join(F.transform("_p", lambda x: F.concat(x["u"], x["sep"])), ""),
-                                               STRIP_RE, "").alias("text")))
+             .select("chunk", py_strip(F.array_join(F.transform("_p", lambda x: F.concat(x["u"], x["sep"])), ""))
+                     .alias("text")))
     # Chunk ids run 0..n_flushes; id 0 has no units when the very first unit
     # flushes an empty chunk; the last id is kept only when not blank.
     n_parts = n_flushes + (1 if final_has_text else 0)
