@@ -124,24 +124,28 @@ def price_history_balanced(listings: DataFrame, tiebreak=TIME_TIEBREAK, partitio
     """Same rows and columns as ``changes.price_history``, skew-proof.
 
     Each pass holds one range partition in pandas, so the partition count is
-    at least ``rows / rows_per_partition`` (one pruned counting scan), and at
-    least ``spark.sql.shuffle.partitions``."""
+    at least ``rows / rows_per_partition`` and at least
+    ``spark.sql.shuffle.partitions``. The input is cached first: counting it
+    fills the cache that the range sampling and the shuffle then read, so the
+    input plan runs once (plan size estimates are no substitute: without
+    table statistics a join's estimate is the product of its inputs)."""
     spark = listings.sparkSession
     ensure_checkpoint_dir(spark)
     cols = ["id", "price", "updated_at", *[c for c in tiebreak if c != "price"]]
     keys = ["id", "updated_at", *tiebreak]
-    valid = with_timestamp(positive_price(listings)).select(*cols)
-    if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                         math.ceil(valid.count() / rows_per_partition))
-    n = partitions
-    ordered = (valid.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-               .select(F.spark_partition_id().alias("pid"), *cols)
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    valid = with_timestamp(positive_price(listings)).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ordered_ck = ordered.checkpoint(eager=True)
+        n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              math.ceil(valid.count() / rows_per_partition))
+        ordered = (valid.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                   .select(F.spark_partition_id().alias("pid"), *cols)
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            ordered_ck = ordered.checkpoint(eager=True)
+        finally:
+            ordered.unpersist()
     finally:
-        ordered.unpersist()
+        valid.unpersist()
     bounds = [r.asDict() for r in
               ordered_ck.select("pid", "id", "price", "updated_at").mapInPandas(_boundaries, BOUNDARY_SCHEMA).collect()]
     stitched = _stitch(bounds)
