@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from estatelens.operators.filters import area_predicate, positive_price, with_timestamp
 from estatelens.operators.order import TIME_TIEBREAK
+from estatelens.operators.skew import salted_join
 from estatelens.sources.schema import ATTRIBUTE_COLUMNS
 
 CHANGE_COLUMNS = ["current_updated_at", "prev_updated_at", "prev_price", "pct_change", "absolute_change"]
@@ -95,7 +96,8 @@ def min_move(df: DataFrame, min_pct: float = 0.1, col: str = "pct_change") -> Da
 
 def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: float | None = 40.0,
                   match: str = "latest", min_pct: float = 0.1, tiebreak=TIME_TIEBREAK,
-                  method: str = "top2", per_id_group: tuple[str, int] | None = None) -> DataFrame:
+                  method: str = "top2", per_id_group: tuple[str, int] | None = None,
+                  salt_rows: int | None = 2_000_000) -> DataFrame:
     """Newest price change per listing with listing attributes, area band and
     minimum move applied (J1, F3, F6).
 
@@ -112,7 +114,12 @@ def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: flo
     ``per_id_group=(col, k)`` (``match="all"`` only) keeps, per id and value of
     ``col``, just the ``k`` newest observations before the join; a caller
     that ranks rows of one id by time within ``col`` (top-k movers per
-    location) loses nothing, and a hot id is cut to ``k`` rows per map task."""
+    location) loses nothing, and a hot id is cut to ``k`` rows per map task.
+
+    Without that cut every observation is joined, and the change side comes
+    out of the id window already partitioned, where AQE's skew split does
+    not apply; ids with at least ``salt_rows`` observations are then salted
+    (``skew.salted_join``). ``salt_rows=None`` joins plainly."""
     if match == "all":
         changes = min_move(latest_changes(listings, tiebreak, method=method), min_pct)
         obs = listings.filter(area_predicate(area_lo, area_hi)).select(*OBSERVATION_COLUMNS)
@@ -122,7 +129,11 @@ def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: flo
                 *[F.col(c).desc_nulls_last() for c in ("updated_at", *tiebreak)])
             obs = (obs.filter(F.col(col).isNotNull() & (F.col(col) != ""))
                    .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k"))
-        joined = changes.drop("current_price").join(obs, "id", "inner")
+        changes = changes.drop("current_price")
+        if salt_rows is not None and per_id_group is None:
+            joined = salted_join(obs, changes, "id", hot_rows=salt_rows)
+        else:
+            joined = changes.join(obs, "id", "inner")
     elif match == "latest":
         carry = ATTRIBUTE_COLUMNS + ["seq1", "seq2"]
         changes = latest_changes(listings, tiebreak, carry=carry, method=method)

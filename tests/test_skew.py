@@ -1,0 +1,38 @@
+"""Salted join equals the plain join, with and without hot keys."""
+
+import collections
+
+import pytest
+from pyspark.sql import functions as F
+
+from estatelens.operators import changes as ch
+from estatelens.operators.skew import hot_keys, salted_join
+from estatelens.sources import listings_from_testdata
+from tests.conftest import SF_SMALL
+
+
+def rows(df):
+    return collections.Counter(tuple(r) for r in df.select(sorted(df.columns)).collect())
+
+
+@pytest.mark.parametrize("hot_rows", [5, 50, 10_000])
+def test_salted_join_equals_join(spark, hot_rows):
+    big = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50)).alias("k"),
+                                   F.col("id").alias("v"))
+    small = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    assert rows(salted_join(big, small, "k", hot_rows=hot_rows)) == rows(big.join(small, "k"))
+
+
+def test_hot_keys_bounded(spark):
+    big = spark.range(1000).select((F.col("id") % 10).alias("k"))
+    hk = hot_keys(big, "k", hot_rows=30, max_hot=3).collect()
+    assert len(hk) == 3 and all(r._salts == 15 for r in hk)   # 100 rows in buckets of 30 // 4
+
+
+def test_price_changes_all_salted(spark):
+    L = listings_from_testdata(spark, SF_SMALL)
+    hot = L.withColumn("id", F.when(F.col("seq1") % 3 == 0, F.lit(1)).otherwise(F.col("id")))
+    salted = ch.price_changes(hot, 0, 40, match="all", salt_rows=100)
+    plain = ch.price_changes(hot, 0, 40, match="all", salt_rows=None)
+    assert rows(salted) == rows(plain)
+    assert salted.filter("id = 1").count() > 500
