@@ -7,8 +7,9 @@ are salted here explicitly:
 
 1. rows per key on the large side: an aggregate with map-side combining;
 2. hot keys: at least ``hot_rows`` rows each, at most ``max_hot`` of them
-   (the most frequent), so the broadcast list has a proven size bound; keys
-   past the cap are simply joined the ordinary way, which is still exact;
+   (the most frequent), so the list brought back and broadcast has a proven
+   size bound; keys past the cap are simply joined the ordinary way, which
+   is still exact;
 3. a hot key's rows get a salt in ``[0, ceil(rows / bucket_rows))`` from a
    hash of their columns (buckets of a quarter of ``hot_rows`` by default, so
    that buckets colliding in one hash partition still stay small), and the
@@ -36,8 +37,16 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int, max_hot: int = 10_000,
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = 2_000_000,
                 max_hot: int = 10_000) -> DataFrame:
-    """Inner equi-join ``big ⋈ small`` on ``key``, equal to ``big.join(small, key)``."""
-    hot = F.broadcast(hot_keys(big, key, hot_rows, max_hot))   # <= max_hot rows
+    """Inner equi-join ``big ⋈ small`` on ``key``, equal to ``big.join(small, key)``.
+
+    Hot keys are found eagerly (one aggregate job; at most ``max_hot`` rows
+    come back), so the common case without hot keys is a plain join, and the
+    salted plan does not recompute the detection for each side."""
+    found = hot_keys(big, key, hot_rows, max_hot).collect()
+    if not found:
+        return big.join(small, key, "inner")
+    schema = f"{key} {dict(big.dtypes)[key]}, _salts int"
+    hot = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in found], schema))
     spread = F.coalesce(F.col("_salts"), F.lit(1))
     big_s = (big.join(hot, key, "left")
              .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), spread.cast("long"))
