@@ -11,7 +11,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.functions.chunk import pack_chunks
 from estatelens.functions.html import sanitize
 from estatelens.operators import changes as ch
 from estatelens.operators import filters as flt
@@ -55,8 +54,7 @@ def _geocoded(spark, sf):
 
 
 def _doc_messages(spark, sf):
-    docs = tp.spread(read_documents(spark, sf))
-    clean = docs.select("doc_id", sanitize("text").alias("text"))
+    clean = tp.sanitize_table(read_documents(spark, sf), "text", "text")
     chunks = tp.explode_chunks(clean, "doc_id", "text", 3000)
     return tp.messages(chunks, "doc_id", tp.message_header(AS_OF), tp.message_footer())
 
@@ -115,7 +113,9 @@ def _fallback(spark, sf):
     def fallback():
         recent = flt.most_recent(flt.area_band(flt.positive_price(L), *SMALL), 1000)
         s = synth.synthesize_moves(recent, seed=42)
-        return s.select(*[F.col(c) if c in s.columns else F.lit(None).alias(c) for c in cols])
+        # same columns and types as the primary; no change dates (quirk Q17)
+        types = dict(primary.dtypes)
+        return s.select(*[(F.col(c) if c in s.columns else F.lit(None)).cast(types[c]).alias(c) for c in cols])
     return synth.with_fallback(primary, fallback)
 
 

@@ -66,3 +66,15 @@ def test_synthetic_moves_bounds(spark):
         assert r.prev_price == pytest.approx(r.price - r.price * r.pct_change / 100)
     rows = E.queries()["synthetic_moves_deadzone"](spark, SF_SMALL).collect()
     assert all(abs(r.pct_change) > 0.1 and -5.0 <= r.pct_change <= 8.0 for r in rows)
+
+
+def test_fallback_branch_schema(spark, monkeypatch):
+    """When the primary is empty, the made-up rows keep the primary's schema,
+    say so, and carry no change dates (quirk Q17)."""
+    from estatelens.operators import synth
+    from estatelens.plans import registry as R
+    primary = R.QUERIES["fallback_moves"](spark, SF_SMALL)
+    monkeypatch.setattr(synth, "with_fallback", lambda p, f: f())
+    fb = R._fallback(spark, SF_SMALL)
+    assert fb.dtypes == primary.dtypes
+    assert fb.count() == 1000 and fb.filter("current_updated_at IS NULL").count() == 1000
