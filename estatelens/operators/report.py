@@ -35,6 +35,11 @@ REPORT_TEXT = {
 def formatted_moves(movers: DataFrame, text: dict | None = None) -> DataFrame:
     """The printable fields of each mover."""
     t = dict(REPORT_TEXT, **(text or {}))
+    # the date lines need both columns to exist (a driver-side schema
+    # check) and both values to be present (a row-level condition).
+    for c in ("current_updated_at", "prev_updated_at"):
+        if c not in movers.columns:
+            movers = movers.withColumn(c, F.lit(None).cast("timestamp_ntz"))
     both_dates = F.col("current_updated_at").isNotNull() & F.col("prev_updated_at").isNotNull()
     return movers.select(
         "location", "position", "id",

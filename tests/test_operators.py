@@ -122,3 +122,16 @@ def test_required_columns(spark):
     assert missing_columns(df) == ["updated_at"]
     with pytest.raises(ValueError, match="updated_at"):
         require_columns(df)
+
+
+def test_blocks_without_date_columns(spark):
+    """Rows without change-date columns print no date lines."""
+    from estatelens.operators.report import listing_blocks
+    rows = spark.createDataFrame(
+        [("A", 1, 7, None, 110.0, 100.0, 10.0, 30.0, None, "u/7")],
+        "location string, position int, id long, title string, price double, prev_price double, "
+        "pct_change double, area double, rooms int, property_url string")
+    block = listing_blocks(rows).first().block
+    assert block.splitlines()[0] == "1. "
+    assert "Last update" not in block and "   Change: ▲ +10.00%" in block
+    assert block.endswith("   Link: u/7\n")
