@@ -41,3 +41,13 @@ def test_pack_document_random(spark):
 def test_pack_document_empty(spark):
     df = spark.createDataFrame([], "k int, text string")
     assert pack_document(df, ["k"], "text", 10).count() == 0
+
+
+def test_pack_document_corpus_many_partitions(spark):
+    """All fixture documents as one document, forced over many partitions."""
+    from tests.conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    joined = "\n".join(r.text for r in docs.orderBy("doc_id").collect())
+    for m in (3000, 400):
+        got = pack_document(docs, ["doc_id"], "text", m, units_per_partition=300).orderBy("part").collect()
+        assert [r.chunk for r in got] == pyref.chunks(joined, m)
