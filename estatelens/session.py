@@ -48,16 +48,20 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Only a local-mode
+    session without one (tests) gets a fresh scratch folder; on a cluster a
+    machine-local folder would not survive the loss of that machine, so the
+    setting is required there."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
         return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage); "
+                               "the multi-pass operators checkpoint there")
         current = tempfile.mkdtemp(prefix="estatelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
-
