@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.sources.schema import LISTING_SCHEMA
+from estatelens.sources.text import read_table
 
 # Fixed values of the test-data mapping (FIXTURES.md section 2).
 TESTDATA_URL_BASE = "https://listings.example/property/"
@@ -61,10 +62,9 @@ def listings_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join is an inner equi-join on the part key; with AQE Spark broadcasts
     ``part`` only when its measured size is under the broadcast threshold and
     otherwise sort-merges, splitting skewed part keys."""
-    base = sf_dir.rstrip("/")
-    li = spark.read.parquet(f"{base}/lineitem.parquet").select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
-    part = spark.read.parquet(f"{base}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     joined = li.join(part, li.l_partkey == part.p_partkey, "inner")
     pk = F.col("l_partkey")
     return joined.select(
