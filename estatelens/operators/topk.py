@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatelens.operators.changes import plausible, price_changes
+from estatelens.operators.changes import latest_changes, min_move, plausible, price_changes
 from estatelens.operators.filters import area_band, non_blank, positive_price
 from estatelens.operators.order import CHEAP_TIEBREAK, TIME_TIEBREAK
 
@@ -50,6 +50,21 @@ def locations(df: DataFrame, col: str = "location") -> DataFrame:
     return non_blank(df.select(col), col).distinct().orderBy(col)
 
 
+def mover_locations(listings: DataFrame, area_lo: float | None = 0.0, area_hi: float | None = 40.0,
+                    match: str = "latest", min_pct: float = 0.1, max_pct: float = 25.0) -> DataFrame:
+    """The distinct non-blank locations that appear among the plausible price
+    changes (A3 over F7), without materialising the all-mode fan-out: band
+    observations are first reduced to distinct ``(id, location)`` pairs (an
+    aggregate that combines map-side, so a hot id collapses to a few rows),
+    then kept when their id has a plausible move."""
+    if match == "latest":
+        return locations(plausible(price_changes(listings, area_lo, area_hi, "latest", min_pct), min_pct, max_pct))
+    moved = plausible(min_move(latest_changes(listings), min_pct), min_pct, max_pct).select("id")
+    pairs = non_blank(area_band(listings, area_lo, area_hi).select("id", "location", "area")).select(
+        "id", "location").distinct()
+    return pairs.join(moved, "id", "left_semi").select("location").distinct().orderBy("location")
+
+
 def cheap_order(tiebreak=CHEAP_TIEBREAK) -> list[Column]:
     return [F.col("price").asc_nulls_last()] + [F.col(c).asc_nulls_last() for c in tiebreak]
 

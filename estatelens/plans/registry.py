@@ -20,7 +20,7 @@ from estatelens.operators import synth
 from estatelens.operators import textprep as tp
 from estatelens.operators.geo import centroid, geocode, markers
 from estatelens.operators.history import price_history_balanced
-from estatelens.operators.topk import cheapest, locations, price_movers
+from estatelens.operators.topk import cheapest, mover_locations, price_movers
 from estatelens.plans import oracle as O
 from estatelens.plans.reports import formatted_table, report_messages
 from estatelens.sources import listings_from_testdata, read_documents, read_pages
@@ -136,7 +136,7 @@ QUERIES: dict[str, Query] = {
     "price_changes_latest_small": _changes("latest", SMALL),
     "price_changes_latest_medium": _changes("latest", MEDIUM),
     "plausible_moves": lambda s, sf: ch.plausible(ch.price_changes(_listings(s, sf), *SMALL, match="all")),
-    "locations": lambda s, sf: locations(ch.plausible(ch.price_changes(_listings(s, sf), *SMALL, match="all"))),
+    "locations": lambda s, sf: mover_locations(_listings(s, sf), *SMALL, match="all"),
     "movers_small_all": _movers("all", SMALL),
     "movers_small_latest": _movers("latest", SMALL),
     "movers_medium_all": _movers("all", MEDIUM),

@@ -135,3 +135,13 @@ def test_blocks_without_date_columns(spark):
     assert block.splitlines()[0] == "1. "
     assert "Last update" not in block and "   Change: ▲ +10.00%" in block
     assert block.endswith("   Link: u/7\n")
+
+
+@pytest.mark.parametrize("match", ["all", "latest"])
+def test_mover_locations_equal_fan_out(spark, match):
+    from estatelens.operators.topk import locations, mover_locations
+    from estatelens.sources import listings_from_testdata
+    L = listings_from_testdata(spark, "/root/testdata/sf0.001")
+    for band in ((0, 40), (40, 60)):
+        direct = [r.location for r in locations(ch.plausible(ch.price_changes(L, *band, match=match))).collect()]
+        assert [r.location for r in mover_locations(L, *band, match=match).collect()] == direct
