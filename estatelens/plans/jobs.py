@@ -65,3 +65,19 @@ def run_cheapest_job(listings: DataFrame, out_dir: str, as_of: datetime, area_hi
     finally:
         rep.geocoded.unpersist()
     return paths
+
+
+def run_all(listings: DataFrame, out_dir: str, as_of: datetime) -> dict:
+    """The reference's three jobs in one run: small flats (0, 40], medium flats
+    (40, 60], cheapest per location. The listings feed all three, so they are
+    cached once for the run (MEMORY_AND_DISK; lost blocks recompute from the
+    source) and released afterwards."""
+    listings = listings.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {
+            "small": run_movers_job(listings, out_dir, as_of, 0.0, 40.0, prefix="price_changes"),
+            "medium": run_movers_job(listings, out_dir, as_of, 40.0, 60.0, prefix="medium_flats"),
+            "cheapest": run_cheapest_job(listings, out_dir, as_of),
+        }
+    finally:
+        listings.unpersist()

@@ -39,3 +39,12 @@ def test_cheapest_job(spark):
     assert set(paths) == {"markers", "centre", "stats", "top_locations", "chart", "table"}
     assert spark.read.parquet(paths["markers"]).count() == QUERIES["markers"](spark, SF_SMALL).count()
     assert spark.read.parquet(paths["top_locations"]).count() == 10
+
+
+def test_run_all(spark):
+    from estatelens.plans.jobs import run_all
+    out = tempfile.mkdtemp(prefix="estatelens-job-")
+    res = run_all(listings_from_testdata(spark, SF_SMALL), out, AS_OF)
+    assert res["small"]["messages"] > 0 and res["medium"]["messages"] > 0
+    assert set(res["cheapest"]) == {"markers", "centre", "stats", "top_locations", "chart", "table"}
+    assert res["small"]["report"] != res["medium"]["report"]
