@@ -26,3 +26,14 @@ def test_read_listings_needs_id(spark):
     spark.createDataFrame([(1.0,)], "price double").write.parquet(path)
     with pytest.raises(ValueError, match="id"):
         read_listings(spark, "parquet", path)
+
+
+def test_jdbc_options():
+    from estatelens.sources import jdbc_options
+    o = jdbc_options("jdbc:postgresql://db/x", "listings", "id", 1, 1_000_000, 64, user="u", password="p")
+    assert o == {"url": "jdbc:postgresql://db/x", "dbtable": "listings", "fetchsize": "10000",
+                 "partitionColumn": "id", "lowerBound": "1", "upperBound": "1000000", "numPartitions": "64",
+                 "user": "u", "password": "p"}
+    assert "partitionColumn" not in jdbc_options("jdbc:x", "t")
+    with pytest.raises(ValueError):
+        jdbc_options("jdbc:x", "t", num_partitions=8)
