@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from estatelens.operators.changes import latest_changes, min_move, plausible, price_changes
 from estatelens.operators.filters import area_band, non_blank, positive_price
-from estatelens.operators.order import CHEAP_TIEBREAK, TIME_TIEBREAK
+from estatelens.operators.order import CHEAP_TIEBREAK, MOVER_TIEBREAK
 
 
 def top_k_per_group(df: DataFrame, keys, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -21,12 +21,12 @@ def top_k_per_group(df: DataFrame, keys, order: list[Column], k: int, rank_col:
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def mover_order(tiebreak=None) -> list[Column]:
-    """Largest move first; ties: id ascending, then the newest observation."""
-    cols = [F.col("abs_pct_change").desc_nulls_last(), F.col("id").asc_nulls_last()]
-    for c in tiebreak or ("updated_at", "seq1", "seq2", "price"):
-        cols.append(F.col(c).desc_nulls_last())
-    return cols
+def mover_order(tiebreak=MOVER_TIEBREAK) -> list[Column]:
+    """Largest move first; ties: the first tie-break column (id) ascending,
+    then the newest observation (the rest descending)."""
+    first, *rest = tiebreak
+    return ([F.col("abs_pct_change").desc_nulls_last(), F.col(first).asc_nulls_last()]
+            + [F.col(c).desc_nulls_last() for c in rest])
 
 
 def price_movers(listings: DataFrame, area_lo: float | None = 0.0, area_hi: float | None = 40.0,

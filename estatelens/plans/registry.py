@@ -11,7 +11,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.functions.html import sanitize
 from estatelens.operators import changes as ch
 from estatelens.operators import filters as flt
 from estatelens.operators import report as rpt

@@ -4,7 +4,6 @@ import datetime as dt
 import random
 import re
 
-import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
