@@ -145,3 +145,25 @@ def test_mover_locations_equal_fan_out(spark, match):
     for band in ((0, 40), (40, 60)):
         direct = [r.location for r in locations(ch.plausible(ch.price_changes(L, *band, match=match))).collect()]
         assert [r.location for r in mover_locations(L, *band, match=match).collect()] == direct
+
+
+def test_messages_framing_and_trim(spark):
+    """FIXTURES 4.6: 4,001 characters become 4,000 ending in '...'; 4,000 stay.
+    Header only before part 0, footer only after the last part."""
+    from estatelens.operators.textprep import messages
+    chunks = spark.createDataFrame(
+        [(1, 0, 3, "a" * 3990), (1, 1, 3, "b" * 4001), (1, 2, 3, "c" * 3990), (2, 0, 1, "only"),
+         (3, 0, 1, "d" * 4000)],
+        "doc int, part int, n_parts int, chunk string")
+    rows = {(r.report_id, r.part): r for r in messages(chunks, "doc", "H\n", "\nF").collect()}
+    first, middle, last = rows[(1, 0)], rows[(1, 1)], rows[(1, 2)]
+    assert first.text == "H\n" + "a" * 3990 and not first.was_trimmed
+    assert middle.n_chars == 4000 and middle.text.endswith("...") and middle.was_trimmed
+    assert last.text == "c" * 3990 + "\nF" and last.n_chars == 3992
+    assert rows[(2, 0)].text == "H\nonly\nF" and rows[(2, 0)].retry_text is None
+    assert rows[(3, 0)].n_chars == 4000 and rows[(3, 0)].text.endswith("...")  # 4,000 + header + footer
+    assert middle.retry_text == "b" * 950 + "... (message shortened)"
+    assert first.preview == ("H\n" + "a" * 98)
+    plain = messages(spark.createDataFrame([(9, 0, 1, "e" * 4000)], "doc int, part int, n_parts int, chunk string"),
+                     "doc", "", "").first()
+    assert plain.n_chars == 4000 and plain.text == "e" * 4000 and not plain.was_trimmed
