@@ -48,3 +48,15 @@ def test_run_all(spark):
     assert res["small"]["messages"] > 0 and res["medium"]["messages"] > 0
     assert set(res["cheapest"]) == {"markers", "centre", "stats", "top_locations", "chart", "table"}
     assert res["small"]["report"] != res["medium"]["report"]
+
+
+def test_cli(spark):
+    from estatelens.plans.cli import main
+    out = tempfile.mkdtemp(prefix="estatelens-cli-")
+    res = main(["--testdata", SF_SMALL, "--out", out, "--job", "small", "--as-of", "2024-01-15T09:30:05"], spark)
+    assert res["report"].endswith("price_changes_20240115_093005/report") and res["messages"] > 0
+    # same listings through the generic reader
+    src = tempfile.mkdtemp(prefix="estatelens-cli-") + "/listings"
+    listings_from_testdata(spark, SF_SMALL).write.parquet(src)
+    res2 = main(["--listings", src, "--out", out, "--job", "cheapest", "--as-of", "2024-01-15T09:30:05"], spark)
+    assert set(res2) == {"markers", "centre", "stats", "top_locations", "chart", "table"}
