@@ -170,7 +170,9 @@ def pack_document(rows: DataFrame, order_cols: list[str], text_col: str, max_len
                   partitions: int | None = None, units_per_partition: int = 500_000) -> DataFrame:
     """Chunks ``(part, n_parts, chunk)`` of the document made by joining the
     ``text_col`` of ``rows`` with newlines in ``order_cols`` order; equal to
-    running the greedy packer on that whole string (``pack_chunks``)."""
+    running the greedy packer on that whole string (``pack_chunks``).
+    ``order_cols`` must identify each row (ties would leave the document
+    order undefined); a null text contributes no line."""
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     m = int(max_length)
