@@ -1,9 +1,10 @@
 from estatelens.sources.schema import (LISTING_COLUMNS, LISTING_SCHEMA, REQUIRED_FOR_CHANGES,
                                        missing_columns, require_columns)
-from estatelens.sources.listings import jdbc_options, listings_from_testdata, read_listings, read_listings_jdbc
+from estatelens.sources.listings import (jdbc_options, land_listings, listings_from_testdata, read_listings,
+                                         read_listings_jdbc)
 from estatelens.sources.text import read_documents, read_pages, read_table
 
 __all__ = [
     "LISTING_COLUMNS", "LISTING_SCHEMA", "REQUIRED_FOR_CHANGES", "missing_columns", "require_columns",
-    "jdbc_options", "listings_from_testdata", "read_listings", "read_listings_jdbc", "read_documents", "read_pages", "read_table",
+    "jdbc_options", "land_listings", "listings_from_testdata", "read_listings", "read_listings_jdbc", "read_documents", "read_pages", "read_table",
 ]

@@ -71,6 +71,17 @@ def read_listings_jdbc(spark: SparkSession, url: str, table: str, **kwargs) -> D
     return read_listings(spark, "jdbc", options=jdbc_options(url, table, **kwargs))
 
 
+def land_listings(listings: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> DataFrame:
+    """Write the listings once as a catalog table bucketed and sorted by
+    ``id`` and return it. Windows and joins on ``id`` over the returned table
+    read co-partitioned buckets and need no exchange (the price history and
+    latest-change plans then have no shuffle at all); ``buckets`` should
+    follow the data size like shuffle partitions do."""
+    (listings.write.bucketBy(buckets, "id").sortBy("id", "updated_at")
+     .mode(mode).saveAsTable(table))
+    return listings.sparkSession.table(table)
+
+
 def _geography(partkey: Column) -> Column:
     def part(base: int, mod: int, mult: int = 1) -> Column:
         whole = (F.lit(base) + partkey % mod).cast("string")

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from estatelens.session import build_session
     s = build_session(master="local[4]", app="estatelens-tests", shuffle_partitions=8,
-                      extra={"spark.ui.showConsoleProgress": "false"})
+                      extra={"spark.ui.showConsoleProgress": "false",
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="estatelens-wh-")})
     yield s
     s.stop()

@@ -37,3 +37,16 @@ def test_jdbc_options():
     assert "partitionColumn" not in jdbc_options("jdbc:x", "t")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "t", num_partitions=8)
+
+
+def test_landed_listings_need_no_shuffle(spark):
+    """A table bucketed by id: the id windows read co-partitioned data."""
+    from estatelens.operators import changes as ch
+    from estatelens.sources import land_listings
+    L = listings_from_testdata(spark, SF_SMALL)
+    T = land_listings(L, "listings_landed_test", 4)
+    for build in (ch.price_history, ch.latest_changes):
+        df = build(T)
+        df.write.format("noop").mode("overwrite").save()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, build(L).collect()))
