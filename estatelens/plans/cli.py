@@ -16,7 +16,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from estatelens.plans.jobs import run_all, run_cheapest_job, run_movers_job
-from estatelens.sources import listings_from_testdata, read_listings
+from estatelens.sources import land_listings, listings_from_testdata, read_listings
 
 
 def parse(argv=None) -> argparse.Namespace:
@@ -29,6 +29,8 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     p.add_argument("--job", choices=["all", "small", "medium", "cheapest"], default="all")
     p.add_argument("--as-of", help="run time, ISO format (default: now)")
+    p.add_argument("--land", help="first write the listings as this table, bucketed by id")
+    p.add_argument("--buckets", type=int, default=200, help="buckets for --land")
     return p.parse_args(argv)
 
 
@@ -40,6 +42,8 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     else:
         options = dict(kv.split("=", 1) for kv in args.option)
         listings = read_listings(spark, args.format, args.listings or None, options)
+    if args.land:
+        listings = land_listings(listings, args.land, args.buckets)
     as_of = datetime.fromisoformat(args.as_of) if args.as_of else datetime.now()
     if args.job == "all":
         result = run_all(listings, args.out, as_of)

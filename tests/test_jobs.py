@@ -53,7 +53,8 @@ def test_run_all(spark):
 def test_cli(spark):
     from estatelens.plans.cli import main
     out = tempfile.mkdtemp(prefix="estatelens-cli-")
-    res = main(["--testdata", SF_SMALL, "--out", out, "--job", "small", "--as-of", "2024-01-15T09:30:05"], spark)
+    res = main(["--testdata", SF_SMALL, "--out", out, "--job", "small", "--as-of", "2024-01-15T09:30:05",
+                "--land", "cli_landed", "--buckets", "4"], spark)
     assert res["report"].endswith("price_changes_20240115_093005/report") and res["messages"] > 0
     # same listings through the generic reader
     src = tempfile.mkdtemp(prefix="estatelens-cli-") + "/listings"
