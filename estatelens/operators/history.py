@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from estatelens.operators.filters import positive_price, with_timestamp
 from estatelens.operators.order import TIME_TIEBREAK
-from estatelens.session import ensure_checkpoint_dir
+from estatelens.session import ensure_checkpoint_dir, parallelism
 
 BOUNDARY_SCHEMA = ("pid int, n long, first_id long, first_run long, last_id long, last_run long, "
                    "last_price double, last_time timestamp_ntz")
@@ -124,8 +124,7 @@ def price_history_balanced(listings: DataFrame, tiebreak=TIME_TIEBREAK, partitio
     """Same rows and columns as ``changes.price_history``, skew-proof.
 
     Each pass holds one range partition in pandas, so the partition count is
-    at least ``rows / rows_per_partition`` and at least
-    ``spark.sql.shuffle.partitions``. The input is cached first: counting it
+    at least ``rows / rows_per_partition`` and at least the number of cores. The input is cached first: counting it
     fills the cache that the range sampling and the shuffle then read, so the
     input plan runs once (plan size estimates are no substitute: without
     table statistics a join's estimate is the product of its inputs)."""
@@ -135,8 +134,7 @@ def price_history_balanced(listings: DataFrame, tiebreak=TIME_TIEBREAK, partitio
     keys = ["id", "updated_at", *tiebreak]
     valid = with_timestamp(positive_price(listings)).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              math.ceil(valid.count() / rows_per_partition))
+        n = partitions or max(parallelism(spark), math.ceil(valid.count() / rows_per_partition))
         ordered = (valid.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                    .select(F.spark_partition_id().alias("pid"), *cols)
                    .persist(StorageLevel.MEMORY_AND_DISK))
