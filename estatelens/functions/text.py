@@ -21,8 +21,6 @@ def _py_whitespace_class() -> str:
 
 
 PY_WS = _py_whitespace_class()
-# Leading/trailing whitespace as Python's str.strip() sees it.
-STRIP_RE = f"^{PY_WS}+|{PY_WS}+$"
 
 # The same characters as a plain string, for ``btrim``.
 PY_WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
