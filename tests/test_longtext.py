@@ -51,3 +51,17 @@ def test_pack_document_corpus_many_partitions(spark):
     for m in (3000, 400):
         got = pack_document(docs, ["doc_id"], "text", m, units_per_partition=300).orderBy("part").collect()
         assert [r.chunk for r in got] == pyref.chunks(joined, m)
+
+
+def test_report_sanitised_per_block(spark):
+    """Documented deviation: each block is sanitised on its own, so a '<' in one
+    block never pairs with a '>' in a later block (whole-string sanitising
+    would strip everything in between as one tag)."""
+    from estatelens.plans.reports import report_messages
+    rows = spark.createDataFrame([(0, None, "Title\n"), (1, "A", "flat <40 sq m\n"), (1, "B", "studio >2 rooms\n")],
+                                 "seq int, location string, text string")
+    out = report_messages(rows, "r", "H\n", "").orderBy("part").collect()
+    text = "".join(r.text for r in out)
+    assert "flat &lt;40 sq m" in text and "studio &gt;2 rooms" in text
+    whole = pyref.sanitize("\n".join(["Title\n", "flat <40 sq m\n", "studio >2 rooms\n"]))
+    assert "studio" not in whole  # what whole-string sanitising would have done
