@@ -65,3 +65,29 @@ def test_report_sanitised_per_block(spark):
     assert "flat &lt;40 sq m" in text and "studio &gt;2 rooms" in text
     whole = pyref.sanitize("\n".join(["Title\n", "flat <40 sq m\n", "studio >2 rooms\n"]))
     assert "studio" not in whole  # what whole-string sanitising would have done
+
+
+def _frame(chunks, header, footer, max_chars=4000):
+    out = []
+    for i, c in enumerate(chunks):
+        t = (header + c if i == 0 else c) + (footer if i == len(chunks) - 1 else "")
+        out.append(t[:max_chars - 3] + "..." if len(t) > max_chars else t)
+    return out
+
+
+def test_report_messages_random_blocks(spark):
+    """End to end against plain Python: sanitise the joined report, pack it,
+    frame it. Blocks carry entities, quotes, controls, unicode spaces, emoji,
+    long words and sentence punctuation (no tag spans two blocks)."""
+    from estatelens.plans.reports import report_messages
+    rng = random.Random(41)
+    pieces = ["word", " ", " ", "\n", "&amp;", "&copy", "\"q\"", " ", "\u0007", "📈", "x" * 120, ". ", "! ",
+              "<b>", "</b>", "é", "   ", "\t"]
+    for trial in range(4):
+        m = rng.choice([60, 200, 3000])
+        blocks = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 80))) for _ in range(rng.randint(1, 25))]
+        rows = [(0, None, "Report title\n")] + [(1, f"L{i:03d}", b) for i, b in enumerate(blocks)]
+        df = spark.createDataFrame(rows, "seq int, location string, text string")
+        got = [r.text for r in report_messages(df, "r", "H\n\n", "\nF", max_length=m).orderBy("part").collect()]
+        joined = "\n".join(t for _, _, t in rows)
+        assert got == _frame(pyref.chunks(pyref.sanitize(joined), m), "H\n\n", "\nF")
