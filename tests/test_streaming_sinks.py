@@ -55,3 +55,21 @@ def test_report_and_outbox_sinks(spark):
     obs_df.write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == rep.movers.count()
     assert not sinks.is_empty(rep.movers)
+
+
+def test_outbox_stream_many_batches(spark):
+    """Several input files, one per trigger: every batch lands in its own
+    folder and together they equal the batch job."""
+    root = scratch()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    src = os.path.join(root, "in")
+    docs.repartition(4, "doc_id").write.parquet(src)
+    n_files = len(glob.glob(src + "/part-*.parquet"))
+    q = outbox_stream(spark, src, docs.schema, os.path.join(root, "out"), os.path.join(root, "ckpt"),
+                      as_of=dt.datetime(2024, 1, 15, 9, 30), max_files_per_trigger=1)
+    q.awaitTermination(300)
+    batches = glob.glob(os.path.join(root, "out", "batch_id=*"))
+    assert len(batches) == n_files > 1
+    got = spark.read.parquet(os.path.join(root, "out")).drop("batch_id")
+    expect = QUERIES["messages"](spark, SF_SMALL).select(*got.columns)
+    assert got.exceptAll(expect).count() == 0 and expect.exceptAll(got).count() == 0
