@@ -48,10 +48,10 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot_rows: int = 2_00
     schema = f"{key} {dict(big.dtypes)[key]}, _salts int"
     hot = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in found], schema))
     spread = F.coalesce(F.col("_salts"), F.lit(1))
-    big_s = (big.join(hot, key, "left")
-             .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), spread.cast("long"))
-                         .cast("int"))
-             .drop("_salts"))
+    # rows of other keys get salt 0 without hashing anything
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("_salts").cast("long")).cast("int"))
+    big_s = big.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
     small_s = (small.join(hot, key, "left")
                .withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
                .drop("_salts"))
