@@ -84,9 +84,12 @@ class CheapestReport:
 
 def cheapest_report(listings: DataFrame, area_hi: float = 40.0, k: int = 3, top_n: int = 10,
                     url_base: str = "https://listings.example/property/") -> CheapestReport:
-    ranked = cheapest(listings, area_hi, k, ordered=True)
-    geo = geocode(ranked, url_base=url_base)
+    # Only the displayed lists need the (location, rank) order; markers, the
+    # centre and the stats work on the unsorted top-k (no range sort for them).
+    top_k = cheapest(listings, area_hi, k, ordered=False)
+    order = [F.col("location").asc_nulls_last(), F.col("rank")]
+    geo = geocode(top_k, url_base=url_base)
     stats = region_stats(geo)
     top = top_regions(stats, top_n)
-    return CheapestReport(ranked, geo, centroid(geo), markers(geo), stats, top, chart_series(top),
-                          formatted_table(geo))
+    return CheapestReport(top_k.orderBy(*order), geo, centroid(geo), markers(geo), stats, top, chart_series(top),
+                          formatted_table(geo.orderBy(*order)))
