@@ -5,6 +5,7 @@ from __future__ import annotations
 from estatelens.llm.chat_format import OP8_SQL, op8_chat_format
 from estatelens.llm.language_id import op9_language_id
 from estatelens.llm.mixing import op10_mixing
+from estatelens.llm.ngram_join import op2_ngram_join
 from estatelens.llm.packing import op1_packing
 from estatelens.llm.secret_scan import op7_secret_scan
 from estatelens.llm.sharding import op6_sharding
@@ -12,6 +13,7 @@ from estatelens.llm.url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op4_url_filter": op4_url_filter,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
