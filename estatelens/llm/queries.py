@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from estatelens.llm.ann import op3_nearest
 from estatelens.llm.chat_format import OP8_SQL, op8_chat_format
+from estatelens.llm.fingerprint import op5_fingerprint
 from estatelens.llm.language_id import op9_language_id
 from estatelens.llm.mixing import op10_mixing
 from estatelens.llm.ngram_join import op2_ngram_join
@@ -14,7 +16,9 @@ from estatelens.llm.url_filter import OP4_SQL, op4_url_filter
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_nearest": op3_nearest,
     "op4_url_filter": op4_url_filter,
+    "op5_fingerprint": op5_fingerprint,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
