@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from estatelens.llm.common import table
 from estatelens.llm.textvec import keys64, mix64, slices
@@ -100,20 +101,21 @@ def fit(labelled: DataFrame, bits: int = HASH_BITS, max_languages: int = MAX_LAN
     return languages, np.log(share / share.sum()), np.log(counts / counts.sum(1, keepdims=True))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``lang_pred`` and ``score`` (its posterior probability; ``und``: 0)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text",
+            out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with a language and its posterior probability (``und``: 0) under the names ``out``."""
     spark = docs.sparkSession
     languages, prior, log_prob = model
     bits = int(log_prob.shape[1]).bit_length() - 1
     sent = spark.sparkContext.broadcast((languages, prior, np.ascontiguousarray(log_prob.T)))
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", text.lower())]
-    rows = docs.select(*kept, F.col(text).alias("text"))
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in (out[0].lower(), out[1].lower())])
+    place = [c.lower() for c in rows.columns].index(text.lower())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, start, table_ = sent.value
         labels = np.array([*names, UNKNOWN], object)
-        for part in slices(batches, "text"):
-            texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+        for part in slices(batches, rows_names[place]):
+            texts = [t or "" for t in part.column(place).to_pylist()]
             grams, owner, known = hashed_grams(texts, bits)
             n = len(texts)
             best, share = np.full(n, len(names)), np.zeros(n)
@@ -122,10 +124,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                 like = np.stack([np.bincount(owner, table_[grams, k], n) for k in range(len(names))], 1) + start
                 best = np.where(known, like.argmax(1), best)
                 share = np.where(known, 1 / np.exp(like - like.max(1, keepdims=True)).sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(labels[best], pa.string()), pa.array(share)],
-                                             [*kept, "lang_pred", "score"])
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(score, schema)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[best], pa.string()), pa.array(share)], [*rows_names, *out])
+    rows_names = rows.columns
+    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -142,7 +143,7 @@ def identify(docs: DataFrame) -> DataFrame:
     first language by name; repeated rows stay; other columns are ignored; an empty table gives an empty result."""
     out = held_out(F.col("doc_id"))
     model = fit(docs.filter(~out & F.col("doc_id").isNotNull()).select("lang", "text"))
-    return predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return predict(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from estatelens.llm.common import Scratch, fresh, table
 from estatelens.llm.textvec import slices
@@ -46,16 +47,19 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY,
+                 with_ids: bool = True) -> DataFrame:
     """One row per piece: the columns of ``docs`` without ``text``, then ``row`` (a number of the
-    input row), ``piece`` (from 0), ``start``, ``length`` and ``ids_crc32``.
+    input row), ``piece`` (from 0), ``start``, ``length``, ``ids_crc32`` (little-endian 32-bit ids) and,
+    ``with_ids``, the ``ids``.
 
     A document is its ids and one end-of-text id. Documents over ``capacity`` are cut
     into pieces of ``capacity``; what is left over is the first piece. A null text is empty.
     Input columns named like an output column are replaced. ``row`` depends on how the input
     is split, so write the result before using it twice."""
     path = path or public_tokenizers.path(TOKENIZER)
-    out = ("row", "piece", "start", "length", "ids_crc32")
+    out = ("row", "piece", "start", "length", "ids_crc32", *(("ids",) if with_ids else ()))
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
     kept = [c for c in docs.columns if c.lower() not in (*out, text.lower())]
     rows = docs.select(*kept, F.col(text).alias("text"))
 
@@ -63,21 +67,20 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
         encode = encoder(path)
         row = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text"):
-            of, cols = [], [[], [], [], [], []]
+            of, cols = [], [[] for _ in out]
             for i, t in enumerate(part.column(part.num_columns - 1).to_pylist()):
                 ids = np.append(encode(t or ""), np.uint32(END_OF_TEXT)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     of.append(i)
-                    for col, v in zip(cols, (row, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
+                    for col, v in zip(cols, (row, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].view(np.int32))):
                         col.append(v)
                 row += 1
             same = part.take(pa.array(of, pa.int64()))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([*same.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, types)]], [*kept, *out])
     schema = rows.drop("text").schema
-    for name, kind in zip(out, ("long", "integer", "long", "long", "long")):
+    for name, kind in zip(out, (LongType(), IntegerType(), LongType(), LongType(), LongType(), ArrayType(IntegerType()))):
         schema = schema.add(name, kind)
     return rows.mapInArrow(pieces, schema)
 
@@ -210,22 +213,21 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return result
 
 
-def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """The pieces of all documents (see ``token_pieces``) with ``sequence_id`` and ``offset``.
 
     Every row of ``docs`` is a document of its own, repeated rows too; an empty or null text is
     one end-of-text id; other columns are kept. An empty table gives an empty result."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("sequence_id", "offset")])
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.cut(token_pieces(docs, text, path, capacity))
-    item, seq = fresh(pieces, "_item", "_seq")
-    # A number for each piece; pieces are read again from files, so number them by row and piece.
-    numbered = scratch.cut(pieces.withColumn(item, F.monotonically_increasing_id()))
-    scratch.drop(pieces)
+    numbered = token_pieces(docs, text, path, capacity, with_ids)
+    item, = fresh(numbered, "_item")
+    # Written once, so that a piece keeps its number.
+    numbered = scratch.cut(numbered.withColumn(item, F.monotonically_increasing_id()))
     where = best_fit(numbered.select(F.col(item).alias("item"), F.col("length").cast("int").alias("need")), capacity)
     where = where.select(F.col("item").alias(item), F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
     return numbered.join(where, item).drop(item, "row")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
