@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from estatelens.llm.common import Scratch, fresh, table
+from estatelens.llm.common import Scratch, fresh, spread_rank, table
 from estatelens.llm.textvec import slices
 
 CAPACITY = 2048
@@ -157,60 +157,80 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     room for the others then lacks. Each round range-sorts open items and gaps by size,
     sweeps every range for the smallest gap that holds each item (a gap takes one item a round;
     the larger item, then the smaller number, comes first), settles what is left across
-    ranges by its rank, and updates the gaps. When a round matches little, the items
-    left get new sequences. It ends when no item is left; each round places the
-    largest item left at least.
+    ranges by its rank, and updates the gaps. Items larger than every gap left get new
+    sequences. It ends when no item is left; each round places the largest item left at least.
 
-    ``items`` needs distinct numbers (item >= 0) and needs from 1 to ``capacity``. Equal needs
-    are told apart by number; an empty table gives an empty result."""
+    Where tiny items are many more than sequences, most of them enter as bundles (see
+    ``bundles``), so the rounds stay few.
+
+    ``items`` needs distinct numbers (item >= 0) and needs from 1 to ``capacity``, and is read more
+    than once. Equal needs are told apart by number; an empty table gives an empty result."""
     spark = items.sparkSession
     scratch = Scratch(spark)
+    total, tiny = items.agg(F.sum("need"), F.count_if(F.col("need") * 32 <= capacity)).first()
+    sequences = -(-(total or 0) // capacity)
+    bundled = None
+    if tiny and tiny > 4 * sequences:
+        bundled = scratch.cut(bundles(items.filter(F.col("need") * 32 <= capacity), capacity, sequences))
+        heads = bundled.groupBy("bundle").agg(F.min("item").alias("item"), F.sum("need").cast("int").alias("need"))
+        items = scratch.cut(items.filter(F.col("need") * 32 > capacity).unionByName(heads.drop("bundle")))
     opened = 0
-    large = items.filter(F.col("need") * 2 > capacity)
-    state = scratch.cut(
-        large.select("item", F.col("need"), F.col("item").alias("seq"), F.lit(capacity).alias("gap"))
-        .unionByName(items.filter(F.col("need") * 2 <= capacity).select("item", "need", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("gap"))))
+    none_long, none_int = F.lit(None).cast("long"), F.lit(None).cast("int")
+    alone = F.col("need") * 2 > capacity
+    state = scratch.cut(items.select("item", "need", F.when(alone, F.col("item")).otherwise(none_long).alias("seq"),
+                                     F.when(alone, capacity).otherwise(none_int).alias("gap")))
     done = []
     while True:
         placed = state.filter("item is not null and seq is not null")
         done.append(placed.select("item", "seq", (F.lit(capacity) - F.col("gap")).alias("offset")))
         gaps = state.filter("seq is not null").select("seq", (F.col("gap") - F.coalesce("need", F.lit(0))).alias("size")).filter("size > 0")
         todo = state.filter("item is not null and seq is null")
-        n, lack, matched, room = state.agg(*map(F.expr, (
-            "count_if(item is not null and seq is null)", "sum(if(seq is null, need, 0))",
-            "count_if(item is not null and seq is not null)", "sum(if(seq is not null, gap - coalesce(need, 0), 0))"))).first()
-        if not n:
+        left, lack, room, widest = state.agg(*map(F.expr, (
+            "count_if(seq is null)", "sum(if(seq is null, need, 0))", "sum(if(seq is not null, gap - coalesce(need, 0), 0))",
+            "coalesce(max(if(seq is not null, gap - coalesce(need, 0), 0)), 0)"))).first()
+        if not left:
             break
-        # Room for all items at first; later, when rounds match few of them, for those that are left.
-        new = 0
-        if len(done) == 1:
-            new = max(0, -(-(lack - room) // capacity))
-        elif matched * 50 < n:
-            new = -(-lack // capacity)
+        if len(done) > 1:
+            lack, room = todo.filter(F.col("need") > widest).agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0], 0
+        new = max(0, -(-(lack - room) // capacity))
         fresh_gaps = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).alias("size"))
         opened += new
-        none = F.lit(None).cast("long")
-        both = (todo.select("item", none.alias("seq"), F.col("need").alias("size"), F.lit(True).alias("is_item"))
-                .unionByName(gaps.unionByName(fresh_gaps).select(none.alias("item"), "seq", "size", F.lit(False).alias("is_item")))
-                .select(F.coalesce("item", F.lit(-1)).alias("item"), F.coalesce("seq", F.lit(0)).alias("seq"), "size", "is_item"))
+        both = (todo.select("item", F.lit(0).cast("long").alias("seq"), F.col("need").alias("size"), F.lit(True).alias("is_item"))
+                .unionByName(gaps.unionByName(fresh_gaps).select(F.lit(-1).cast("long").alias("item"), "seq", "size", F.lit(False).alias("is_item"))))
         swept = scratch.cut(both.repartitionByRange(F.desc("size"), "is_item", "item", "seq").mapInArrow(sweep, SWEPT))
         counts = swept.filter("place is not null").groupBy("part").agg(F.count("item").alias("i"), F.count("seq").alias("g")).orderBy("part")
         moves = spark.createDataFrame(settle([tuple(r) for r in counts.collect()]),
                                       "part int, first long, end long, gap_part int, gap_last long")
-        left = swept.filter("place is not null and item is not null").select("item", "need", "part", "place")
+        left_items = swept.filter("place is not null and item is not null").select("item", "need", "part", "place")
         to = (F.col("l.part") == F.col("m.part")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("end"))
-        aimed = left.alias("l").join(F.broadcast(moves).alias("m"), to, "left").select(
+        aimed = left_items.alias("l").join(F.broadcast(moves).alias("m"), to, "left").select(
             "item", "need", F.col("gap_part").alias("part"), (F.col("gap_last") - (F.col("place") - F.col("first"))).alias("place"))
         spare = swept.filter("place is not null and seq is not null").select("seq", "gap", "part", "place")
-        after = scratch.cut(
+        state = scratch.cut(
             swept.filter("item is not null and seq is not null").select("item", "need", "seq", "gap")
             .unionByName(aimed.join(spare, ["part", "place"], "full").select("item", "need", "seq", "gap")))
         scratch.drop(swept)
-        state = after
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result
+    if bundled is None:
+        return result
+    # A bundle stands under its least item; its other items follow it.
+    first = bundled.groupBy("bundle").agg(F.min("item").alias("head"))
+    inside = bundled.join(first, "bundle").select("head", F.col("item").alias("member"), "before")
+    return (result.join(inside, F.col("item") == F.col("head"), "left")
+            .select(F.coalesce("member", "item").alias("item"), "seq", (F.col("offset") + F.coalesce("before", F.lit(0))).alias("offset")))
+
+
+def bundles(tiny: DataFrame, capacity: int, sequences: int) -> DataFrame:
+    """``(item, need, bundle, before)``: items of one size bundled up to a sixteenth of the capacity, ``before`` being
+    an item's place in its bundle. Of each size, one item per sequence stays a bundle of its own, to fill small gaps."""
+    ranked = spread_rank(tiny, ["need"], F.col("item"), [F.col("item")], "rank")
+    many = F.floor(F.lit(capacity // 16) / F.col("need"))
+    rest = F.col("rank") - sequences
+    single = (rest < 0) | (many < 2)
+    return ranked.select("item", "need", F.struct("need", single.alias("single"), F.when(single, F.col("rank")).otherwise(F.floor(rest / many)).alias("number")).alias("bundle"),
+                         F.when(single, 0).otherwise(rest % many * F.col("need")).cast("int").alias("before"))
 
 
 def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

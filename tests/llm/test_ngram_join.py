@@ -1,0 +1,149 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from estatelens.llm.components import components
+from estatelens.llm.ngram_join import links_in_block, ngram_join, shared_postings, thin_out, link_sets, POSTING
+
+
+def shingles(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def linked(a, b, percent=80):
+    both = len(a & b)
+    return bool(a and b) and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def brute(rows, percent=80):
+    """Least id by links, row by row; rows with a null id only lend nothing and take nothing."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is not None and rows[j][0] is not None and linked(sets[i], sets[j], percent):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return [(d, len(s), least[root(i)] if d is not None else None) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def edited(words, r, n):
+    words = list(words)
+    for _ in range(n):
+        words[r.randrange(len(words))] = "e%d" % r.randrange(10 ** 9)
+    return words
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    make = lambda n, v=10 ** 6: ["w%d" % r.randrange(v) for _ in range(n)]
+    passage = make(60)
+    docs = []
+    for n in (30, 80, 200):
+        base = make(n)
+        docs += [edited(base, r, k) for k in (0, 0, 1, 1, 2, 3, 5) for _ in range(3)]
+    chain = make(100)  # each links to the next, the ends don't
+    for _ in range(12):
+        docs.append(list(chain))
+        chain = edited(chain, r, 1)
+    docs += [make(40) + passage + make(20) for _ in range(15)] + [passage + make(5) for _ in range(10)]
+    docs += [make(r.randrange(1, 12), 3) for _ in range(40)]
+    texts = [r.choice([" ", "\n", "\t ", "\x0b"]).join(w) for w in docs]
+    texts += [texts[0].upper(), " " + texts[1] + "\n", "", "  \t", None, "a b", "A B", "É x", "é x", "one two three four", "One two three four"]
+    ids = list(range(100, 100 + len(texts)))
+    r.shuffle(ids)
+    return list(zip(ids, texts)) + [(ids[0], texts[0]), (ids[1], "other text of that id"), (None, "null id"), (None, texts[5])]
+
+
+@pytest.mark.parametrize("seed,block_sets", [(1, 4000), (2, 4000), (3, 6), (4, 3)])
+def test_against_brute_force(spark, seed, block_sets):
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_shingles string")
+    got = ngram_join(docs.repartition(3), block_sets=block_sets, buckets=5)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    known = [tuple(r) for r in got.collect() if r["doc_id"] is not None]
+    want = [w for w in brute(rows) if w[0] is not None]
+    assert Counter(known) == Counter(want)
+    nulls = Counter((r["n_shingles"], r["component_id"]) for r in got.filter("doc_id is null").collect())
+    equal = {shingles_key(t): c for (d, t), (_, _, c) in zip(rows, brute(rows)) if d is not None}
+    assert nulls == Counter((len(shingles(t)), equal.get(shingles_key(t))) for d, t in rows if d is None)
+
+
+def shingles_key(t):
+    return frozenset(shingles(t))
+
+
+def test_other_threshold_and_long_text(spark):
+    r = random.Random(5)
+    base = ["w%d" % r.randrange(10 ** 6) for _ in range(30000)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, r, 500))), (3, " ".join(edited(base, r, 2500))), (4, " ".join(base[:15000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 80):
+        assert sorted(map(tuple, ngram_join(docs, percent=percent, buckets=4).collect())) == brute(rows, percent)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert ngram_join(none, buckets=2).count() == 0
+    blank = spark.createDataFrame([(3, None), (1, ""), (2, " ")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join(blank, buckets=2).collect())) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_in_block(seed):
+    r = random.Random(seed)
+    base = r.sample(range(10 ** 9), 60)
+    sets = [np.unique(np.array(r.sample(base, r.randint(38, 60)) + r.sample(range(10 ** 9, 2 * 10 ** 9), r.randint(0, 6)), np.uint64))
+            for _ in range(60)]
+    node = np.array(r.sample(range(-1000, 1000), 60))
+    side = np.array([r.choice([0, 1]) for _ in sets]) if seed % 2 else np.full(60, -1)
+    up = list(range(60))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i in range(60):
+        for j in range(i):
+            if (side[i] != side[j] or side[i] < 0) and linked(set(sets[i].tolist()), set(sets[j].tolist())):
+                up[root(i)] = root(j)
+    want = [min(node[j] for j in range(60) if root(j) == root(i)) for i in range(60)]
+    assert links_in_block(node, np.array([len(s) for s in sets]), sets, side).tolist() == want
+
+
+def test_shared_postings():
+    posts = np.array([(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (3, 7)], POSTING)
+    got, df = shared_postings(posts)
+    assert got.tolist() == [(2, 5), (2, 6)] and df.tolist() == [2, 2]
+    assert len(shared_postings(posts[:0])[0]) == 0
+
+
+def test_a_large_group_thins_out_at_once(spark):
+    """A group of near copies is done by its pivot: nothing is left to search in pairs."""
+    r = random.Random(2)
+    base = r.sample(range(10 ** 12), 200)
+    rows = [(1, i, 200, np.unique(np.array([*base[:-1], 10 ** 13 + i], np.uint64)).tobytes()) for i in range(300)]
+    big = spark.createDataFrame(rows, "block long, node long, n long, tokens binary")
+    rest, edges = thin_out(big, 80, 8, 50)
+    assert rest.count() == 0
+    assert {tuple(e) for e in edges.collect()} == {(i, 0) for i in range(1, 300)}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (100, 95), (95, 99), (7, 7), (None, 3), (200, 201), (200, 201)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 90, 95: 90, 99: 90, 90: 90, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
