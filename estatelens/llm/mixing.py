@@ -12,6 +12,8 @@ from estatelens.llm.common import Scratch, fresh, table
 BLOCK_WORDS = 32
 # A shard (one seeded slice of the corpus) holds about this many documents of all sources together.
 DOCS_PER_SHARD = 4096
+# Up to so many sources, one short row each, are sent to all executors.
+BROADCAST_SOURCES = 100_000
 # Fixed values of the registered query: weights by source in code point order, share of all words, repeats.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -114,12 +116,14 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights
     named = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     keyed = docs.withColumn(key, named).withColumn(order, digest)
     counts = keyed.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    few = counts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     goal = targets(counts, weights, share, max_repeats)
     house = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5)
     goal = sainte_lague(goal.withColumn("house", house).withColumn("all", F.lit(1)), ["all"], ["key"], F.col("target"), F.col("house"))
     goal = goal.select(F.col("key").alias(key), "source_size", "target", F.col("quota").alias(seats),
                        F.ceil(F.col("n") / docs_per_shard).alias(n_shards))
-    placed = keyed.join(goal, key).withColumn(shard, F.shiftright(
+    # A source may hold most rows: don't shuffle by source unless there are too many sources to send around.
+    placed = keyed.join(F.broadcast(goal) if few else goal, key).withColumn(shard, F.shiftright(
         F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(n_shards), 32))
     cells = placed.groupBy(key, shard).agg(F.sum("size").alias(cell), F.first(seats).alias(seats)).filter(F.col(cell) > 0)
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.col(shard).cast("string"))), 1, 8), 16, 10).cast("long")
