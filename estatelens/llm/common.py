@@ -58,17 +58,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def spread_rank(df: DataFrame, group: list[str], salt: Column, order: list[Column], name: str,
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK, few_groups: bool = False) -> DataFrame:
     """``df`` with ``name``: a gapless rank from 0 within ``group``, without any task sorting a whole group.
 
     Groups are cut into parts by ``salt`` (a non-negative long); a part's rows are ranked
     by ``order`` and shifted by the sizes of the parts before it. The number of parts
     follows the size of the group, so a group with a third of all rows is spread.
-    ``group`` columns must not be null."""
+    ``group`` columns must not be null. ``few_groups``: their number is known to be small, so their
+    sizes are sent to all executors."""
     parts, part, before = fresh(df, "_parts", "_part", "_before")
     keys = [F.col(c) for c in group]
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias(parts))
-    split = df.join(sizes, group).withColumn(part, salt % F.col(parts)).drop(parts)
+    split = df.join(F.broadcast(sizes) if few_groups else sizes, group).withColumn(part, salt % F.col(parts)).drop(parts)
     from pyspark.sql import Window as W
     counts = split.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(before))
     counts = counts.withColumn(before, F.sum(before).over(W.partitionBy(*keys).orderBy(part)) - F.col(before))

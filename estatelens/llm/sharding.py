@@ -94,7 +94,7 @@ def shard_rows(rows: DataFrame, key: str, order: list[str], shards: int = SHARDS
     segments = spark.createDataFrame(deal_clockwise([counts.get(i, 0) for i in range(len(nodes))], owners, room),
                                      f"{arc} int, {lo} long, {hi} long, shard int, {base} long")
     ids = [F.col(c) for c in order]
-    ranked = spread_rank(at, [arc], F.xxhash64(*ids).bitwiseAND(2 ** 62 - 1), [F.col(place), *ids], rank, rows_per_task)
+    ranked = spread_rank(at, [arc], F.xxhash64(*ids).bitwiseAND(2 ** 62 - 1), [F.col(place), *ids], rank, rows_per_task, few_groups=True)
     return (ranked.join(F.broadcast(segments), arc).filter((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
             .select(*rows.columns, "shard", (F.col(base) + F.col(rank) - F.col(lo)).alias("slot")))
 
