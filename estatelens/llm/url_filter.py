@@ -10,6 +10,9 @@ from estatelens.llm.common import fresh, table
 # Hex digits of the digest on which expressions and rules are joined; the full digest is compared afterwards.
 PREFIX_DIGITS = 8
 
+# Up to so many rules are sent to all executors; more are joined by a shuffle.
+BROADCAST_RULES = 100_000
+
 # The rules of the registered query.
 RULES = [
     ("com", "/", "allow"),
@@ -57,8 +60,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         pages, "_row", "_suffixes", "_prefixes", "_expr", "_short", "_digest", "_hit", "_rule_digest")
     host, path = host_and_path(F.col(url).cast("string"))
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    # Two integers: no expression deeper than every rule can match.
-    deep = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"),
+    # Three integers: no expression deeper than every rule can match.
+    deep = rules.agg(F.count(F.lit(1)).alias("rules"), F.max(F.size(F.split("host", r"\."))).alias("labels"),
                      F.max(F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))).alias("cuts")).first()
     labels, cuts = deep["labels"] or 0, deep["cuts"] or 0
 
@@ -87,7 +90,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .withColumn(expr, F.explode_outer(F.flatten(F.transform(
             suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))))
         .withColumn(short, F.substring(expr, 1, PREFIX_DIGITS)).drop(suffixes, prefixes))
-    found = expanded.join(listed, short, "left").withColumn(
+    few = deep["rules"] <= BROADCAST_RULES
+    found = expanded.join(F.broadcast(listed) if few else listed, short, "left").withColumn(
         hit, F.when(F.col(expr) == F.col(r_digest), F.col(hit)))
     # The rows of a page meet in the same task as they were made, so the partial aggregate leaves one of each.
     best = found.groupBy(row).agg(F.max(hit).alias(hit), *[F.first(c).alias(c) for c in (*kept, "host", "path")])
