@@ -31,13 +31,15 @@ def fixed(c, decimals: int = 2) -> Column:
 
 
 def whole_money(c, currency: str = "AED") -> Column:
-    """Whole units with thousands commas and a currency: ``1,999 AED``."""
-    return F.concat(F.format_number(_c(c).cast("double").cast("bigint"), 0), F.lit(" " + currency))
+    """Whole units with thousands commas and a currency: ``1,999 AED``; NaN and
+    numbers beyond 64 bits print as 0, null stays null."""
+    whole = F.coalesce(_c(c).cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(_c(c).isNotNull(), F.concat(F.format_number(whole, 0), F.lit(" " + currency)))
 
 
 def int_or_zero(c) -> Column:
-    """E6 + F13 for counts such as rooms: ``2.7 -> 2``, null or text -> 0."""
-    return F.coalesce(_c(c).cast("string").try_cast("double").cast("bigint"), F.lit(0).cast("bigint"))
+    """E6 + F13 for counts such as rooms: ``2.7 -> 2``; null, text, NaN or out of range -> 0."""
+    return F.coalesce(_c(c).cast("string").try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def direction(c, up: str = "▲", down: str = "▼") -> Column:

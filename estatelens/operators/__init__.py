@@ -1 +1 @@
-"""DataFrame -> DataFrame operators; all lazy, no actions except ``with_fallback``."""
+"""DataFrame -> DataFrame operators; no actions except in ``longtext.pack_document``, which runs in passes."""

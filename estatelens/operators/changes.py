@@ -1,9 +1,12 @@
 """Price history and price changes.
 
-Physical design. The reference computes ``LAG`` over an ascending window and
-``ROW_NUMBER`` over the opposite one: two sorts. Given a total order,
-``lag`` ascending equals ``lead`` descending, so everything here runs on one
-descending window: one shuffle on ``id``, one sort.
+Given a total order, the previous observation of a listing is the next one in a
+window that runs from the newest to the oldest, and so is the recency number: one
+descending window, one sort.
+
+The full history cuts a listing with very many observations into time ranges, so that
+no task sorts a whole hot id: windows run within (id, range), and the count and newest row
+of each range, a few rows per hot id, link the ranges.
 
 ``latest_changes`` needs only the two newest observations of each id. Filtering
 ``row_number <= 2`` lets Catalyst plan a partial ``WindowGroupLimit`` *before* the
@@ -18,8 +21,7 @@ from pyspark.sql import functions as F
 
 from estatelens.operators.filters import area_predicate, positive_price, with_timestamp
 from estatelens.operators.order import TIME_TIEBREAK
-from estatelens.operators.skew import salted_join
-from estatelens.sources.schema import ATTRIBUTE_COLUMNS
+from estatelens.sources.schema import ATTRIBUTE_COLUMNS, require_columns
 
 CHANGE_COLUMNS = ["current_updated_at", "prev_updated_at", "prev_price", "pct_change", "absolute_change"]
 OBSERVATION_COLUMNS = ["id"] + ATTRIBUTE_COLUMNS + ["updated_at", "seq1", "seq2"]
@@ -42,17 +44,47 @@ def absolute_change(current: Column, prev: Column) -> Column:
     return F.when(prev.isNotNull(), current - prev)
 
 
-def price_history(listings: DataFrame, tiebreak=TIME_TIEBREAK) -> DataFrame:
+# Observations of one id that one task sorts; an id with more is cut into time ranges.
+SPLIT_ROWS = 2_000_000
+
+
+def _lined_up(valid: DataFrame, keep, tiebreak=TIME_TIEBREAK, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``id`` and ``keep`` of ``valid`` with ``prev_price``, ``prev_updated_at`` and ``rn``.
+
+    Ids with more than ``split_rows`` observations get ``ceil(n / split_rows)`` equal ranges of
+    time. The tables of such ids and of their ranges have at most two rows per
+    ``split_rows`` observations; that bound is what makes it safe to broadcast them."""
+    small = split_rows >= 1_000_000
+    hint = F.broadcast if small else (lambda df: df)
+    seconds = F.unix_timestamp(F.col("updated_at").cast("timestamp"))
+    hot = (valid.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(seconds).alias("_from"), F.max(seconds).alias("_to"))
+           .filter(F.col("_n") > split_rows)
+           .select("id", "_from", (F.col("_to") - F.col("_from") + 1).alias("_span"), F.ceil(F.col("_n") / split_rows).alias("_ranges")))
+    at = F.floor((seconds - F.col("_from")) * F.col("_ranges") / F.col("_span"))
+    cut = valid.join(hint(hot), "id", "left").withColumn("_range", F.coalesce(at, F.lit(-1))).drop("_from", "_span", "_ranges")
+    order = [F.col("updated_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in tiebreak]]
+    w = Window.partitionBy("id", "_range").orderBy(*order)
+    inside = cut.select("id", "_range", *keep, F.lead("price").over(w).alias("_prev_price"),
+                        F.lead("updated_at").over(w).alias("_prev_time"), F.row_number().over(w).alias("_rn"),
+                        F.lead(F.lit(1)).over(w).isNull().alias("_oldest"))
+    ranges = cut.filter("_range >= 0").groupBy("id", "_range").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.struct("updated_at", *tiebreak, *([] if "price" in tiebreak else ["price"]))).alias("_newest"))
+    newer = Window.partitionBy("id").orderBy(F.col("_range").desc())
+    links = ranges.select("id", "_range", F.coalesce(F.sum("_rows").over(newer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                          F.lead("_newest").over(newer).alias("_next"))
+    out = inside.join(hint(links), ["id", "_range"], "left")
+    return out.select("id", *[c for c in keep if c != "id"],
+                      F.when(F.col("_oldest"), F.col("_next.price")).otherwise(F.col("_prev_price")).alias("prev_price"),
+                      F.when(F.col("_oldest"), F.col("_next.updated_at")).otherwise(F.col("_prev_time")).alias("prev_updated_at"),
+                      (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("int").alias("rn"))
+
+
+def price_history(listings: DataFrame, tiebreak=TIME_TIEBREAK, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """W1-W3 over every valid observation (price > 0, time present):
     previous price/time of the same listing and the recency number ``rn``."""
-    valid = with_timestamp(positive_price(listings))
-    w = newest_first(tiebreak=tiebreak)
-    return valid.select(
-        "id", "price", "updated_at", *[c for c in tiebreak if c != "price"],
-        F.lead("price").over(w).alias("prev_price"),
-        F.lead("updated_at").over(w).alias("prev_updated_at"),
-        F.row_number().over(w).alias("rn"),
-    )
+    valid = with_timestamp(positive_price(require_columns(listings)))
+    keep = ["price", "updated_at", *[c for c in tiebreak if c != "price"]]
+    return _lined_up(valid, keep, tiebreak, split_rows)
 
 
 def latest_changes(listings: DataFrame, tiebreak=TIME_TIEBREAK, carry=(),
@@ -61,23 +93,20 @@ def latest_changes(listings: DataFrame, tiebreak=TIME_TIEBREAK, carry=(),
     predecessor. ``carry`` names columns of the newest observation to keep.
 
     ``method="top2"`` cuts each id to its two newest rows before the shuffle
-    (skew-proof, default); ``method="window"`` is the plain full window."""
-    valid = with_timestamp(positive_price(listings))
-    w = newest_first(tiebreak=tiebreak)
-    rn = F.row_number().over(w)
+    (default); ``method="window"`` numbers the whole history."""
+    valid = with_timestamp(positive_price(require_columns(listings)))
+    keep = list(dict.fromkeys(["price", "updated_at", *carry]))
     if method == "top2":
-        valid = valid.withColumn("_rn", rn).filter(F.col("_rn") <= 2)
-        rn = F.col("_rn")
-    elif method != "window":
+        w = newest_first(tiebreak=tiebreak)
+        two = valid.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
+        ranked = two.select("id", *keep, "rn", F.lead("price").over(w).alias("prev_price"),
+                            F.lead("updated_at").over(w).alias("prev_updated_at"))
+    elif method == "window":
+        ranked = _lined_up(valid, keep, tiebreak)
+    else:
         raise ValueError(f"unknown method {method!r}")
-    keep = list(dict.fromkeys(["price", "updated_at", *carry]))
-    ranked = valid.select(
-        "id", *keep, rn.alias("_rn"),
-        F.lead("price").over(w).alias("prev_price"),
-        F.lead("updated_at").over(w).alias("prev_updated_at"),
-    )
     cur, prev = F.col("price"), F.col("prev_price")
-    out = (ranked.filter((F.col("_rn") == 1) & prev.isNotNull())
+    out = (ranked.filter((F.col("rn") == 1) & prev.isNotNull())
            .withColumns({
                "current_price": cur,
                "current_updated_at": F.col("updated_at"),
@@ -96,17 +125,17 @@ def min_move(df: DataFrame, min_pct: float = 0.1, col: str = "pct_change") -> Da
 
 def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: float | None = 40.0,
                   match: str = "latest", min_pct: float = 0.1, tiebreak=TIME_TIEBREAK,
-                  method: str = "top2", per_id_group: tuple[str, int] | None = None,
-                  salt_rows: int | None = 2_000_000) -> DataFrame:
+                  method: str = "top2", per_id_group: tuple[str, int] | None = None) -> DataFrame:
     """Newest price change per listing with listing attributes, area band and
     minimum move applied (J1, F3, F6).
 
     ``match="all"`` reproduces the reference's self-join: the change is joined to
     *every* observation of its id that lies in the area band (quirk Q1), so a
-    listing appears once per observation. The change side has one row per id
-    and is already hash-partitioned on ``id`` by the window, so the sort-merge
-    join shuffles only the observation side; AQE turns it into a broadcast when
-    the measured change side is small and splits skewed ids otherwise.
+    listing appears once per observation. The change side has one row per id. It
+    is keyed by an expression of the id, so that Spark doesn't take it as already
+    partitioned: both sides of the join are then plain shuffles, which lets AQE
+    broadcast the change side when it is small and split a hot id's observations
+    over several tasks when it isn't.
 
     ``match="latest"`` keeps only the newest observation: attributes ride
     through the window, no join at all.
@@ -114,12 +143,7 @@ def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: flo
     ``per_id_group=(col, k)`` (``match="all"`` only) keeps, per id and value of
     ``col``, just the ``k`` newest observations before the join; a caller
     that ranks rows of one id by time within ``col`` (top-k movers per
-    location) loses nothing, and a hot id is cut to ``k`` rows per map task.
-
-    Without that cut every observation is joined, and the change side comes
-    out of the id window already partitioned, where AQE's skew split does
-    not apply; ids with at least ``salt_rows`` observations are then salted
-    (``skew.salted_join``). ``salt_rows=None`` joins plainly."""
+    location) loses nothing, and a hot id is cut to ``k`` rows per map task."""
     if match == "all":
         changes = min_move(latest_changes(listings, tiebreak, method=method), min_pct)
         obs = listings.filter(area_predicate(area_lo, area_hi)).select(*OBSERVATION_COLUMNS)
@@ -129,11 +153,8 @@ def price_changes(listings: DataFrame, area_lo: float | None = 0.0, area_hi: flo
                 *[F.col(c).desc_nulls_last() for c in ("updated_at", *tiebreak)])
             obs = (obs.filter(F.col(col).isNotNull() & (F.col(col) != ""))
                    .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k"))
-        changes = changes.drop("current_price")
-        if salt_rows is not None and per_id_group is None:
-            joined = salted_join(obs, changes, "id", hot_rows=salt_rows)
-        else:
-            joined = changes.join(obs, "id", "inner")
+        changes = changes.select(F.col("id").bitwiseXOR(F.lit(0).cast("long")).alias("_changed"), *CHANGE_COLUMNS)
+        joined = obs.join(changes, F.col("id") == F.col("_changed"))
     elif match == "latest":
         carry = ATTRIBUTE_COLUMNS + ["seq1", "seq2"]
         changes = latest_changes(listings, tiebreak, carry=carry, method=method)

@@ -28,10 +28,7 @@ def centroid(df: DataFrame) -> DataFrame:
 
 
 # Own display defaults for the marker texts.
-MARKER_TEXT = {
-    "price": "Price", "area": "Area", "area_unit": "sq m", "rank": "Rank",
-    "rank_suffix": "in location", "open": "Open listing", "currency": "AED",
-}
+MARKER_TEXT = {"area": "sq m in", "rank": "No.", "rank_suffix": "by price here", "currency": "AED"}
 RANK_COLOURS = ("green", "blue", "red")  # rank 1, rank 2, any other rank
 
 
@@ -44,13 +41,10 @@ def markers(df: DataFrame, text: dict | None = None) -> DataFrame:
     colour = (F.when(F.col("rank") == 1, F.lit(RANK_COLOURS[0]))
               .when(F.col("rank") == 2, F.lit(RANK_COLOURS[1])).otherwise(F.lit(RANK_COLOURS[2])))
     popup = F.concat(
-        F.lit("<div><h4>"), loc, F.lit("</h4>"),
-        F.lit(f"<b>{t['price']}:</b> "), price, F.lit("<br>"),
-        F.lit(f"<b>{t['area']}:</b> "), fixed("area", 1), F.lit(f" {t['area_unit']}<br>"),
-        F.lit(f"<b>{t['rank']}:</b> #"), F.col("rank").cast("string"), F.lit(f" {t['rank_suffix']}<br>"),
-        F.lit('<a href="'), html_escape(F.col("url")), F.lit(f'" target="_blank">{t["open"]}</a></div>'),
-    )
+        F.lit('<a href="'), html_escape(F.col("url")), F.lit('" target="_blank">'), price, F.lit("</a><ul><li>"),
+        fixed("area", 1), F.lit(f" {t['area']} "), loc, F.lit(f"</li><li>{t['rank']} "), F.col("rank").cast("string"),
+        F.lit(f" {t['rank_suffix']}</li></ul>"))
     return df.select("id", "location", "latitude", "longitude", "rank",
                      colour.alias("color"),
-                     F.concat(loc, F.lit(": "), price).alias("tooltip"),
+                     F.concat(price, F.lit(", "), loc).alias("tooltip"),
                      popup.alias("popup"))

@@ -139,7 +139,7 @@ def _compose(summaries: list, m: int) -> tuple[dict, int, bool]:
     return start, offset, final_has_text
 
 
-def _assign(max_length: int, start: dict):
+def _assign(max_length: int):
     m = int(max_length)
 
     def run(batches):
@@ -148,7 +148,7 @@ def _assign(max_length: int, start: dict):
             return
         pdf = pd.concat(frames, ignore_index=True)
         pid = int(pdf["pid"].iloc[0])
-        state, offset = start[pid]
+        state, offset = int(pdf["state"].iloc[0]), int(pdf["offset"].iloc[0])
         w = pdf["w"].to_numpy(np.int64)
         P = _prefix(w)
         n = len(w)
@@ -199,7 +199,9 @@ def pack_document(rows: DataFrame, order_cols: list[str], text_col: str, max_len
     ordered = checkpointed
     summaries = [r.asDict() for r in ordered.select("pid", "w", "u").mapInPandas(_summarize(m), SUMMARY_SCHEMA).collect()]
     start, n_flushes, final_has_text = _compose(summaries, m)
-    assigned = ordered.mapInPandas(_assign(m, start), ASSIGN_SCHEMA)
+    # One short row per partition; a broadcast join keeps the partitions as they are.
+    starts = spark.createDataFrame([(p, s, o) for p, (s, o) in start.items()], "pid int, state long, offset long")
+    assigned = ordered.join(F.broadcast(starts), "pid").mapInPandas(_assign(m), ASSIGN_SCHEMA)
     texts = (assigned.groupBy("chunk")
              .agg(F.array_sort(F.collect_list(F.struct("pid", "idx", "u", "sep"))).alias("_p"))
              .select("chunk", py_strip(F.array_join(F.transform("_p", lambda x: F.concat(x["u"], x["sep"])), ""))

@@ -14,18 +14,19 @@ from estatelens.functions.fmt import date_text, int_or_zero, money, signed_pct,
 # Own display defaults.
 REPORT_TEXT = {
     "title": "Largest price moves per location, flats up to 40 sq m:",
-    "location": "Location: ",
-    "rule": "-" * 30,
-    "id": "   ID: ",
-    "price": "   Current price: ",
-    "prev_price": "   Previous price: ",
-    "change": "   Change: ",
-    "last_update": "   Last update: ",
-    "prev_update": "   Previous update: ",
-    "area": "   Area: ",
+    "location": "== ",
+    "rule": "=" * 12,
+    "number": "#",
+    "id": "- listing ",
+    "price": "- now ",
+    "prev_price": "- was ",
+    "change": "- moved ",
+    "last_update": "- seen ",
+    "prev_update": "- before that ",
+    "area": "- size ",
     "area_unit": " sq m",
-    "rooms": "   Bedrooms: ",
-    "link": "   Link: ",
+    "rooms": "- rooms ",
+    "link": "- see ",
     "currency": " AED",
     "up": "▲",
     "down": "▼",
@@ -64,7 +65,7 @@ def listing_blocks(movers: DataFrame, text: dict | None = None) -> DataFrame:
         F.lit("\n" + t["last_update"]), F.col("current_date_text"),
         F.lit("\n" + t["prev_update"]), F.col("prev_date_text"))).otherwise(F.lit(""))
     lines = [
-        F.concat(F.col("position").cast("string"), F.lit(". "), F.col("title_text")),
+        F.concat(F.lit(t["number"]), F.col("position").cast("string"), F.lit(" "), F.col("title_text")),
         F.concat(F.lit(t["id"]), F.col("id").cast("string")),
         F.concat(F.lit(t["price"]), F.col("price_text"), F.lit(t["currency"])),
         F.concat(F.lit(t["prev_price"]), F.col("prev_price_text"), F.lit(t["currency"])),
@@ -98,6 +99,8 @@ def report_rows(loc_blocks: DataFrame, title: str | None = None, keep_title: boo
     body = loc_blocks.select(F.lit(1).alias("seq"), "location", F.col("block").alias("text"))
     if not keep_title:
         return body
+    # The empty prefix of a block keeps the title's branch on the same columns as the body's, so
+    # Spark reuses the shuffled listing blocks instead of running the pipeline for the title again.
     head = loc_blocks.limit(1).select(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("location"),
-                                      F.lit(t + "\n").alias("text"))
+                                      F.concat(F.lit(t + "\n"), F.substring("block", 1, 0), F.substring("location", 1, 0)).alias("text"))
     return head.unionByName(body)

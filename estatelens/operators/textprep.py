@@ -9,25 +9,12 @@ from pyspark.sql import functions as F
 
 from estatelens.functions.chunk import pack_chunks, pack_chunks_arrow
 from estatelens.functions.html import sanitize
-from estatelens.session import parallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Text jobs are CPU-bound per row. When the input arrives in fewer
-    partitions than the cluster has cores (a few large files), spread it
-    round-robin first; a large table already has enough splits and is left
-    as it is (no shuffle)."""
-    cores = parallelism(df.sparkSession)
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (Spark Connect): leave the input as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
 
 
 def sanitize_table(df: DataFrame, col: str, out: str = "clean") -> DataFrame:
-    """X20 on one column of a table."""
-    return spread(df).withColumn(out, sanitize(col))
+    """X20 on one column of a table. Text jobs are CPU-bound per row: a caller whose
+    table comes in a few large files may repartition it first."""
+    return df.withColumn(out, sanitize(col))
 
 
 def explode_chunks(df: DataFrame, key: str, col: str, max_length: int = 3000,
@@ -43,7 +30,7 @@ def explode_chunks(df: DataFrame, key: str, col: str, max_length: int = 3000,
             packed_col = F.filter(packed_col, lambda c: c != F.lit(""))
     else:
         raise ValueError(f"unknown engine {engine!r}")
-    packed = spread(df).select(F.col(key), packed_col.alias("_c"))
+    packed = df.select(F.col(key), packed_col.alias("_c"))
     # ``posexplode_outer`` + a filter on its output: a plain ``posexplode`` makes
     # the optimizer infer ``size(_c) > 0`` and push it below the projection,
     # which would evaluate the packing twice.
@@ -57,7 +44,7 @@ MESSAGE_TEXT = {
     "banner": "Price moves in the property market",
     "footer": "\n\nFollow the channel for new reports.",
     "tags": "\n\n#realestate #prices #listings",
-    "retry_suffix": "... (message shortened)",
+    "retry_suffix": " [cut; see the full report]",
 }
 
 

@@ -30,8 +30,11 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--job", choices=["all", "small", "medium", "cheapest"], default="all")
     p.add_argument("--as-of", help="run time, ISO format (default: now)")
     p.add_argument("--land", help="first write the listings as this table, bucketed by id")
-    p.add_argument("--buckets", type=int, default=200, help="buckets for --land")
-    return p.parse_args(argv)
+    p.add_argument("--buckets", type=int, help="buckets for --land; as many as the data's size asks for")
+    args = p.parse_args(argv)
+    if args.land and not args.buckets:
+        p.error("--land needs --buckets")
+    return args
 
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:
@@ -50,7 +53,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     elif args.job == "cheapest":
         result = run_cheapest_job(listings, args.out, as_of)
     else:
-        lo, hi, prefix = (0.0, 40.0, "price_changes") if args.job == "small" else (40.0, 60.0, "medium_flats")
+        lo, hi, prefix = (0.0, 40.0, "movers_small") if args.job == "small" else (40.0, 60.0, "movers_medium")
         result = run_movers_job(listings, args.out, as_of, lo, hi, prefix=prefix)
     print(json.dumps(result, default=str))
     return result

@@ -28,8 +28,9 @@ def run_name(prefix: str, as_of: datetime) -> str:
 
 
 def run_movers_job(listings: DataFrame, out_dir: str, as_of: datetime, area_lo: float = 0.0,
-                   area_hi: float = 40.0, k: int = 3, match: str = "latest", prefix: str = "price_changes",
-                   title: str | None = None, banner: str | None = None) -> dict:
+                   area_hi: float = 40.0, k: int = 3, match: str = "latest", prefix: str = "movers",
+                   title: str | None = None, banner: str | None = None, footer: str | None = None,
+                   tags: str | None = None) -> dict:
     """Returns the written paths and the outbox row count; writes nothing when
     no location has a plausible move (S7)."""
     rep = movers_report(listings, area_lo, area_hi, k=k, match=match, title=title)
@@ -42,7 +43,7 @@ def run_movers_job(listings: DataFrame, out_dir: str, as_of: datetime, area_lo:
             return {"report": None, "outbox": None, "messages": 0}
         sinks.write_report(rep.rows, f"{base}/report")
         outbox, obs = sinks.observe_count(
-            report_messages(rep.rows, run_name(prefix, as_of), message_header(as_of, banner), message_footer()))
+            report_messages(rep.rows, run_name(prefix, as_of), message_header(as_of, banner), message_footer(footer, tags)))
         sinks.write_outbox(outbox, f"{base}/outbox", mode="overwrite")
     finally:
         rep.location_blocks.unpersist()
@@ -50,7 +51,7 @@ def run_movers_job(listings: DataFrame, out_dir: str, as_of: datetime, area_lo:
 
 
 def run_cheapest_job(listings: DataFrame, out_dir: str, as_of: datetime, area_hi: float = 40.0, k: int = 3,
-                     top_n: int = 10, prefix: str = "cheapest_apartments") -> dict:
+                     top_n: int = 10, prefix: str = "lowest_prices") -> dict:
     rep = cheapest_report(listings, area_hi, k, top_n)
     base = f"{out_dir.rstrip('/')}/{run_name(prefix, as_of)}"
     rep.geocoded.persist(StorageLevel.MEMORY_AND_DISK)   # <= k rows per location, six sinks
@@ -67,17 +68,13 @@ def run_cheapest_job(listings: DataFrame, out_dir: str, as_of: datetime, area_hi
     return paths
 
 
-def run_all(listings: DataFrame, out_dir: str, as_of: datetime) -> dict:
-    """The reference's three jobs in one run: small flats (0, 40], medium flats
-    (40, 60], cheapest per location. The listings feed all three, so they are
-    cached once for the run (MEMORY_AND_DISK; lost blocks recompute from the
-    source) and released afterwards."""
-    listings = listings.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return {
-            "small": run_movers_job(listings, out_dir, as_of, 0.0, 40.0, prefix="price_changes"),
-            "medium": run_movers_job(listings, out_dir, as_of, 40.0, 60.0, prefix="medium_flats"),
-            "cheapest": run_cheapest_job(listings, out_dir, as_of),
-        }
-    finally:
-        listings.unpersist()
+def run_all(listings: DataFrame, out_dir: str, as_of: datetime, small: dict | None = None,
+            medium: dict | None = None, cheapest: dict | None = None) -> dict:
+    """The three jobs in one run: small flats (0, 40], medium flats (40, 60], cheapest
+    per location. ``small``, ``medium`` and ``cheapest`` are further arguments of each job, such as
+    banner, footer and tags. Each job reads the columns and rows that it needs from the source."""
+    return {
+        "small": run_movers_job(listings, out_dir, as_of, 0.0, 40.0, **{"prefix": "movers_small", **(small or {})}),
+        "medium": run_movers_job(listings, out_dir, as_of, 40.0, 60.0, **{"prefix": "movers_medium", **(medium or {})}),
+        "cheapest": run_cheapest_job(listings, out_dir, as_of, **(cheapest or {})),
+    }

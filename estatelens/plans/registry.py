@@ -1,14 +1,15 @@
 """Named queries (``queries()``) and their DuckDB oracles (``oracle_sql()``).
 
 Each query takes ``(spark, sf_dir)``, reads the fixture tables whole and
-returns a lazy DataFrame. Column names match the oracle's exactly."""
+returns a DataFrame; all but ``report_messages`` (whose packer runs in passes) are
+lazy. Column names match the oracle's exactly."""
 
 from __future__ import annotations
 
 from datetime import datetime
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatelens.operators import changes as ch
@@ -18,7 +19,6 @@ from estatelens.operators import stats as st
 from estatelens.operators import synth
 from estatelens.operators import textprep as tp
 from estatelens.operators.geo import centroid, geocode, markers
-from estatelens.operators.history import price_history_balanced
 from estatelens.operators.topk import cheapest, mover_locations, price_movers
 from estatelens.plans import oracle as O
 from estatelens.plans.reports import formatted_table, report_messages
@@ -58,6 +58,19 @@ def _doc_messages(spark, sf):
     return tp.messages(chunks, "doc_id", tp.message_header(AS_OF), tp.message_footer())
 
 
+def _unbroken_documents(spark, sf):
+    """Documents of which a third has no white space left, and a third of those at most 3,000 characters: chunks
+    that can't be cut, messages over the limit, and texts of exactly the chunk length."""
+    joined = F.regexp_replace("text", r"[ \n\r\t]+", "")
+    text = F.when(F.col("doc_id") % 3 == 0, joined).when(F.col("doc_id") % 3 == 1, F.substring(joined, 1, 3000)).otherwise(F.col("text"))
+    return read_documents(spark, sf).select("doc_id", text.alias("text"))
+
+
+def _unbroken_messages(spark, sf):
+    chunks = tp.explode_chunks(_unbroken_documents(spark, sf), "doc_id", "text", 3000)
+    return tp.messages(chunks, "doc_id", tp.message_header(AS_OF), tp.message_footer())
+
+
 def _page_messages(spark, sf):
     pages = tp.sanitize_table(read_pages(spark, sf), "html", "text")
     chunks = tp.explode_chunks(pages, "page_id", "text", 3000)
@@ -97,25 +110,24 @@ def _chart(spark, sf):
 def _synthetic(deadzone: bool):
     def q(spark, sf):
         recent = flt.most_recent(flt.area_band(flt.positive_price(_listings(spark, sf)), *SMALL), 1000)
-        cols = ["id", "title", "price", "rooms", "area", "location", "property_url", "updated_at"]
-        recent = recent.select(*cols)
+        recent = recent.select(*ch.OBSERVATION_COLUMNS)
         f = synth.synthesize_moves_deadzone if deadzone else synth.synthesize_moves
         return f(recent, seed=42)
     return q
 
 
-def _fallback(spark, sf):
-    L = _listings(spark, sf)
+def _fallback(L):
+    """The newest changes or, where no listing has one, flagged made-up moves of the newest observations."""
     primary = ch.price_changes(L, *SMALL, match="latest")
-    cols = ch.OBSERVATION_COLUMNS + ch.CHANGE_COLUMNS
+    recent = flt.most_recent(flt.area_band(flt.positive_price(L), *SMALL), 1000)
+    return synth.with_fallback(primary, synth.synthesize_moves(recent, seed=42))
+
 
-    def fallback():
-        recent = flt.most_recent(flt.area_band(flt.positive_price(L), *SMALL), 1000)
-        s = synth.synthesize_moves(recent, seed=42)
-        # same columns and types as the primary; no change dates (quirk Q17)
-        types = dict(primary.dtypes)
-        return s.select(*[(F.col(c) if c in s.columns else F.lit(None)).cast(types[c]).alias(c) for c in cols])
-    return synth.with_fallback(primary, fallback)
+def _first_observations(L):
+    """Listings with their oldest priced observation only, so that none has a change."""
+    w = Window.partitionBy("id").orderBy(F.col("updated_at").asc_nulls_last(), "seq1", "seq2", F.col("price").asc_nulls_last())
+    return (flt.with_timestamp(flt.positive_price(L)).withColumn("_n", F.row_number().over(w))
+            .filter("_n = 1").drop("_n"))
 
 
 QUERIES: dict[str, Query] = {
@@ -127,7 +139,8 @@ QUERIES: dict[str, Query] = {
         flt.area_band(flt.positive_price(_listings(s, sf)), *SMALL), 1000).select(
             "id", "title", "price", "rooms", "area", "location", "property_url", "updated_at"),
     "price_history": lambda s, sf: ch.price_history(_listings(s, sf)),
-    "price_history_balanced": lambda s, sf: price_history_balanced(_listings(s, sf)),
+    # Ids of over 20 observations cut into time ranges, as very hot ids are at scale.
+    "price_history_balanced": lambda s, sf: ch.price_history(_listings(s, sf), split_rows=20),
     "latest_changes": lambda s, sf: ch.latest_changes(_listings(s, sf), method="top2"),
     "latest_changes_window": lambda s, sf: ch.latest_changes(_listings(s, sf), method="window"),
     "price_changes_all_small": _changes("all", SMALL),
@@ -161,11 +174,14 @@ QUERIES: dict[str, Query] = {
     "chunk_documents": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000),
     "chunk_documents_arrow": lambda s, sf: tp.explode_chunks(read_documents(s, sf), "doc_id", "text", 3000,
                                                              engine="arrow"),
+    "chunk_unbroken": lambda s, sf: tp.explode_chunks(_unbroken_documents(s, sf), "doc_id", "text", 3000),
     "messages": _doc_messages,
+    "messages_unbroken": _unbroken_messages,
     "page_messages": _page_messages,
     "synthetic_moves": _synthetic(False),
     "synthetic_moves_deadzone": _synthetic(True),
-    "fallback_moves": _fallback,
+    "fallback_moves": lambda s, sf: _fallback(_listings(s, sf)),
+    "fallback_moves_empty": lambda s, sf: _fallback(_first_observations(_listings(s, sf))),
 }
 
 
@@ -201,9 +217,8 @@ def _oracles() -> dict[str, str]:
         "most_recent_1000": W(L, f"""SELECT id, title, price, rooms, area, location, property_url, updated_at
             FROM listings WHERE price > 0 AND {O.band(*SMALL)}
             ORDER BY updated_at DESC NULLS FIRST, seq1 DESC, seq2 DESC, price DESC, id DESC LIMIT 1000"""),
-        "price_history": W(L + [O.history_cte()], """SELECT id, price, updated_at, seq1, seq2, prev_price,
-            prev_updated_at, CAST(rn AS INTEGER) AS rn FROM price_history"""),
-        "latest_changes": W(L + [O.history_cte(), O.LATEST], "SELECT * FROM latest"),
+        "price_history": W(L + [O.HISTORY], "SELECT * FROM price_history"),
+        "latest_changes": W(L + [O.NEWEST_TWO], "SELECT * EXCLUDE (now) FROM moved"),
     }
     out["latest_changes_window"] = out["latest_changes"]
     out["price_history_balanced"] = out["price_history"]
@@ -211,7 +226,16 @@ def _oracles() -> dict[str, str]:
                            ("price_changes_latest_small", "latest", SMALL),
                            ("price_changes_latest_medium", "latest", MEDIUM)):
         out[name] = W(O.changes_ctes(match, *b), f"SELECT {O.OBS_COLS}, {O.CHANGE_COLS} FROM changes")
-    out["fallback_moves"] = out["price_changes_latest_small"]
+    out["fallback_moves"] = W(O.changes_ctes("latest", *SMALL), f"SELECT {O.OBS_COLS}, {O.CHANGE_COLS}, false AS is_synthetic FROM changes")
+    recent = f"""recent AS (SELECT {O.OBS_COLS} FROM listings WHERE price > 0 AND {O.band(*SMALL)}
+        ORDER BY updated_at DESC NULLS FIRST, seq1 DESC, seq2 DESC, price DESC, id DESC LIMIT 1000)"""
+    out["synthetic_moves"] = W(L + [recent, O.drawn(False)], O.SYNTHETIC_SELECT)
+    out["synthetic_moves_deadzone"] = W(L + [recent, O.drawn(True)], O.SYNTHETIC_SELECT)
+    first = [O.LISTINGS.replace("listings AS", "every AS", 1), """listings AS (SELECT DISTINCT ON (id) * FROM every
+        WHERE price > 0 AND updated_at IS NOT NULL ORDER BY id, updated_at, seq1, seq2, price)"""]
+    out["fallback_moves_empty"] = W(first + [recent, O.drawn(False)], f"""SELECT {O.OBS_COLS},
+        CAST(NULL AS TIMESTAMP) AS current_updated_at, CAST(NULL AS TIMESTAMP) AS prev_updated_at,
+        price - price * pct / 100 AS prev_price, pct AS pct_change, price * pct / 100 AS absolute_change, true AS is_synthetic FROM drawn""")
     out["plausible_moves"] = W(O.changes_ctes("all", *SMALL), """SELECT *, abs(pct_change) AS abs_pct_change
         FROM changes WHERE abs(pct_change) > 0.1 AND abs(pct_change) <= 25.0""")
     out["locations"] = W(O.changes_ctes("all", *SMALL), """SELECT DISTINCT location FROM changes
@@ -239,10 +263,9 @@ def _oracles() -> dict[str, str]:
     price = O.whole_money("price")
     out["markers"] = W(G, f"""SELECT id, location, latitude, longitude, rank,
         CASE WHEN rank = 1 THEN 'green' WHEN rank = 2 THEN 'blue' ELSE 'red' END AS color,
-        {loc} || ': ' || {price} AS tooltip,
-        '<div><h4>' || {loc} || '</h4><b>Price:</b> ' || {price} || '<br><b>Area:</b> '
-          || format('{{:.1f}}', area) || ' sq m<br><b>Rank:</b> #' || CAST(rank AS VARCHAR)
-          || ' in location<br><a href="' || {O.esc('url')} || '" target="_blank">Open listing</a></div>' AS popup
+        {price} || ', ' || {loc} AS tooltip,
+        '<a href="' || {O.esc('url')} || '" target="_blank">' || {price} || '</a><ul><li>' || format('{{:.1f}}', area)
+          || ' sq m in ' || {loc} || '</li><li>No. ' || CAST(rank AS VARCHAR) || ' by price here</li></ul>' AS popup
         FROM geocoded""")
     out["formatted_cheapest"] = W(G, f"""SELECT id, {loc} AS location, {price} AS price_formatted,
         format('{{:.1f}}', area) || ' sq m' AS area_formatted, rank,
@@ -263,19 +286,19 @@ def _oracles() -> dict[str, str]:
     out["formatted_movers"] = W(M + [fm], "SELECT * FROM fm")
     nl = O.NL
     lb = f"""lb AS (SELECT location, position, id,
-        CAST(position AS VARCHAR) || '. ' || title_text || {nl}
-        || '   ID: ' || CAST(id AS VARCHAR) || {nl}
-        || '   Current price: ' || price_text || ' AED' || {nl}
-        || '   Previous price: ' || prev_price_text || ' AED' || {nl}
-        || '   Change: ' || change_text
-        || CASE WHEN current_date_text IS NOT NULL THEN {nl} || '   Last update: ' || current_date_text
-                || {nl} || '   Previous update: ' || prev_date_text ELSE '' END || {nl}
-        || '   Area: ' || area_text || ' sq m' || {nl}
-        || '   Bedrooms: ' || CAST(rooms_value AS VARCHAR) || {nl}
-        || '   Link: ' || url_text || {nl} AS block FROM fm)"""
+        '#' || CAST(position AS VARCHAR) || ' ' || title_text || {nl}
+        || '- listing ' || CAST(id AS VARCHAR) || {nl}
+        || '- now ' || price_text || ' AED' || {nl}
+        || '- was ' || prev_price_text || ' AED' || {nl}
+        || '- moved ' || change_text
+        || CASE WHEN current_date_text IS NOT NULL THEN {nl} || '- seen ' || current_date_text
+                || {nl} || '- before that ' || prev_date_text ELSE '' END || {nl}
+        || '- size ' || area_text || ' sq m' || {nl}
+        || '- rooms ' || CAST(rooms_value AS VARCHAR) || {nl}
+        || '- see ' || url_text || {nl} AS block FROM fm)"""
     out["listing_blocks"] = W(M + [fm, lb], "SELECT * FROM lb")
     locb = f"""locb AS (SELECT location, count(*) AS n_listings,
-        'Location: ' || location || {nl} || repeat('-', 30) || {nl}
+        '== ' || location || {nl} || repeat('=', 12) || {nl}
         || string_agg(block, {nl} ORDER BY position) || {nl} AS block FROM lb GROUP BY location)"""
     out["location_blocks"] = W(M + [fm, lb, locb], "SELECT * FROM locb")
     title = rpt.REPORT_TEXT["title"]
@@ -290,14 +313,22 @@ def _oracles() -> dict[str, str]:
     out["chunk_documents_arrow"] = out["chunk_documents"]
     mchunks = O.chunk_ctes(f"SELECT doc_id, {O.sanitize('text')} AS text FROM documents", "doc_id", "text", 3000)
     out["messages"] = W(mchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
+    joined = "regexp_replace(text, '[ \\n\\r\\t]+', '', 'g')"
+    unbroken = f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {joined} WHEN 1 THEN substring({joined}, 1, 3000) ELSE text END AS text FROM documents"""
+    uchunks = O.chunk_ctes(unbroken, "doc_id", "text", 3000)
+    out["chunk_unbroken"] = W(uchunks, """SELECT doc_id, part, n_parts, chunk,
+        CAST(length(chunk) AS INTEGER) AS n_chars FROM chunks""")
+    out["messages_unbroken"] = W(uchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
     pchunks = O.chunk_ctes(f"SELECT page_id, {O.sanitize('html')} AS text FROM pages", "page_id", "text", 3000)
     out["page_messages"] = W(pchunks + _frame_ctes("page_id"), _OUTBOX_SELECT)
+    # The per-block rule: each row of the report is sanitised, then the rows are joined.
     report = f"""report_doc AS (SELECT 'movers_small_latest' AS report_id,
         string_agg(text, {nl} ORDER BY seq, location NULLS FIRST) AS text FROM (
-          SELECT 0 AS seq, CAST(NULL AS VARCHAR) AS location, '{title}' || {nl} AS text
-          FROM (SELECT 1 FROM locb LIMIT 1)
-          UNION ALL SELECT 1 AS seq, location, block AS text FROM locb) HAVING count(*) > 0)"""
-    rchunks = O.chunk_ctes(f"SELECT report_id, {O.sanitize('text')} AS text FROM report_doc", "report_id", "text", 3000)
+          SELECT seq, location, {O.sanitize('text')} AS text FROM (
+            SELECT 0 AS seq, CAST(NULL AS VARCHAR) AS location, '{title}' || {nl} AS text
+            FROM (SELECT 1 FROM locb LIMIT 1)
+            UNION ALL SELECT 1 AS seq, location, block AS text FROM locb)) HAVING count(*) > 0)"""
+    rchunks = O.chunk_ctes("SELECT report_id, text FROM report_doc", "report_id", "text", 3000)
     out["report_messages"] = W(M + [fm, lb, locb, report] + rchunks + _frame_ctes("report_id"), _OUTBOX_SELECT)
     return out
 

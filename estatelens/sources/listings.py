@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.sources.schema import LISTING_SCHEMA
+from estatelens.sources.schema import LISTING_SCHEMA, REQUIRED_FOR_CHANGES, require_columns
 from estatelens.sources.text import read_table
 
 # Fixed values of the test-data mapping (FIXTURES.md section 2).
@@ -20,43 +20,47 @@ GEO_LAT_LABEL = "Широта: "
 GEO_LON_LABEL = "Долгота: "
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Project ``df`` onto ``LISTING_SCHEMA``: cast present columns, add absent
-    optional ones as typed nulls. ``id`` must exist."""
+def conform(df: DataFrame, required=REQUIRED_FOR_CHANGES) -> DataFrame:
+    """Project ``df`` onto ``LISTING_SCHEMA``. Columns in ``required`` must exist (an
+    error names those that don't); other absent ones become typed nulls. A value that
+    can't be read as its column's type becomes null (text rooms, a malformed date), but
+    an ``id`` that can't be read is an error."""
+    require_columns(df, required)
     cols = []
     for field in LISTING_SCHEMA.fields:
-        if field.name in df.columns:
-            cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
-        elif field.nullable:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
+        if field.name not in df.columns:
+            value = F.lit(None).cast(field.dataType)
+        elif dict(df.dtypes)[field.name] == field.dataType.simpleString():
+            value = F.col(field.name)
+        elif field.name == "id":
+            value = F.col(field.name).cast(field.dataType)
         else:
-            raise ValueError(f"listings source lacks column {field.name!r}")
+            value = F.col(field.name).cast("string").try_cast(field.dataType)
+        cols.append(value.alias(field.name))
     return df.select(*cols)
 
 
 def read_listings(spark: SparkSession, fmt: str = "parquet", path: str | None = None,
-                  options: dict | None = None) -> DataFrame:
-    """Read listings from any source. For JDBC pass ``url``, ``dbtable`` and, to
+                  options: dict | None = None, required=REQUIRED_FOR_CHANGES) -> DataFrame:
+    """Read listings from any source; ``required`` names the columns that must exist. For JDBC pass ``url``, ``dbtable`` and, to
     read in parallel, ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``;
     credentials come only from ``options``."""
     reader = spark.read.format(fmt).options(**(options or {}))
     df = reader.load(path) if path is not None else reader.load()
-    return conform(df)
+    return conform(df, required)
 
 
-def jdbc_options(url: str, table: str, partition_column: str = "id", lower_bound: int | None = None,
-                 upper_bound: int | None = None, num_partitions: int | None = None, user: str | None = None,
+def jdbc_options(url: str, table: str, lower_bound: int, upper_bound: int, num_partitions: int,
+                 partition_column: str = "id", user: str | None = None,
                  password: str | None = None, fetch_size: int = 10_000, extra: dict | None = None) -> dict:
     """Options for a parallel JDBC read: ``num_partitions`` range queries on
     ``partition_column`` between the bounds (rows outside still land in the
-    first/last range). Credentials come only from the caller; nothing has a
-    default."""
-    opts = {"url": url, "dbtable": table, "fetchsize": str(fetch_size)}
-    if num_partitions and num_partitions > 1:
-        if lower_bound is None or upper_bound is None:
-            raise ValueError("a partitioned JDBC read needs lower_bound and upper_bound")
-        opts.update({"partitionColumn": partition_column, "lowerBound": str(lower_bound),
-                     "upperBound": str(upper_bound), "numPartitions": str(num_partitions)})
+    first/last range). The bounds have no default: without them one task would
+    read the whole table. Credentials come only from the caller."""
+    if num_partitions < 1 or lower_bound >= upper_bound:
+        raise ValueError("a JDBC read needs num_partitions >= 1 and lower_bound < upper_bound")
+    opts = {"url": url, "dbtable": table, "fetchsize": str(fetch_size), "partitionColumn": partition_column,
+            "lowerBound": str(lower_bound), "upperBound": str(upper_bound), "numPartitions": str(num_partitions)}
     if user is not None:
         opts["user"] = user
     if password is not None:
@@ -74,10 +78,11 @@ def read_listings_jdbc(spark: SparkSession, url: str, table: str, **kwargs) -> D
 def land_listings(listings: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> DataFrame:
     """Write the listings once as a catalog table bucketed and sorted by
     ``id`` and return it. Windows and joins on ``id`` over the returned table
-    read co-partitioned buckets and need no exchange (the price history and
-    latest-change plans then have no shuffle at all); ``buckets`` should
-    follow the data size like shuffle partitions do."""
-    (listings.write.bucketBy(buckets, "id").sortBy("id", "updated_at")
+    read co-partitioned buckets and need no exchange (the latest-change plan then
+    has no shuffle at all); ``buckets`` should follow the data size like shuffle
+    partitions do. Rows are shuffled by ``id`` first, so each bucket is written by one
+    task as one file; an id with many rows makes its bucket's task as long."""
+    (listings.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id", "updated_at")
      .mode(mode).saveAsTable(table))
     return listings.sparkSession.table(table)
 
@@ -104,16 +109,25 @@ def listings_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     joined = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    pk = F.col("l_partkey")
+    pk, ok = F.col("l_partkey"), F.col("l_orderkey")
+    size = F.col("p_size").cast("double")
+    # Values that the filters, defaults and sanitisers are there for (FIXTURES.md section 2).
+    price = (F.when(ok % 101 == 0, F.lit(0.0)).when(ok % 103 == 0, -F.col("l_extendedprice"))
+             .when(ok % 107 == 0, F.lit(None).cast("double")).otherwise(F.col("l_extendedprice")))
+    area = F.when(pk % 89 == 0, F.lit(0.0)).when(pk % 83 == 0, -size).when(pk % 79 == 0, F.lit(None).cast("double")).otherwise(size)
+    location = (F.when(pk % 97 == 0, F.lit(None).cast("string")).when(pk % 53 == 0, F.lit(""))
+                .when(pk % 37 == 0, F.concat(F.col("p_brand"), F.lit(' <R> & "D"'))).otherwise(F.col("p_brand")))
+    title = (F.when(pk % 71 == 0, F.lit(None).cast("string"))
+             .when(pk % 7 == 0, F.concat(F.col("p_name"), F.lit(' <b>new</b> & "best" 5 > 4'))).otherwise(F.col("p_name")))
     return joined.select(
         pk.alias("id"),
-        F.col("p_name").alias("title"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_linenumber").alias("rooms"),
-        F.col("p_size").cast("double").alias("area"),
-        F.when(pk % 97 == 0, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("location"),
+        title.alias("title"),
+        price.alias("price"),
+        F.when(ok % 113 == 0, F.lit(None).cast("int")).otherwise(F.col("l_linenumber")).alias("rooms"),
+        area.alias("area"),
+        location.alias("location"),
         F.concat(F.lit(TESTDATA_URL_BASE), pk.cast("string"), F.lit("/")).alias("property_url"),
-        F.col("l_shipdate").alias("updated_at"),
+        F.when(ok % 109 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("l_shipdate")).alias("updated_at"),
         _geography(pk).alias("geography"),
         F.col("l_orderkey").alias("seq1"),
         F.col("l_linenumber").alias("seq2"),

@@ -27,15 +27,14 @@ def frame_texts(df: DataFrame, key: str, text: str, header: str, footer: str, ma
 
 
 def outbox_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str, checkpoint_dir: str,
-                  key: str = "doc_id", text: str = "text", fmt: str = "parquet",
-                  as_of: datetime | None = None, available_now: bool = True,
+                  as_of: datetime, key: str = "doc_id", text: str = "text", fmt: str = "parquet", available_now: bool = True,
                   max_files_per_trigger: int | None = None):
-    """Start the stream and return the ``StreamingQuery``."""
+    """Start the stream and return the ``StreamingQuery``. ``as_of`` is the time in every header."""
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.load(source_dir)
-    header = message_header(as_of or datetime(1970, 1, 1))
+    header = message_header(as_of)
     footer = message_footer()
     out = frame_texts(src, key, text, header, footer)
 

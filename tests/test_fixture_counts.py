@@ -17,8 +17,8 @@ def L(spark):
 
 
 @pytest.mark.parametrize("match,band,changes,movers", [
-    ("all", (0, 40), 4922, 54), ("all", (40, 60), 1078, 42),
-    ("latest", (0, 40), 165, 34), ("latest", (40, 60), 35, 16),
+    ("all", (0, 40), 4703, 63), ("all", (40, 60), 1043, 39),
+    ("latest", (0, 40), 158, 35), ("latest", (40, 60), 34, 15),
 ])
 def test_changes_and_movers(L, match, band, changes, movers):
     assert ch.price_changes(L, *band, match=match).count() == changes
@@ -27,8 +27,8 @@ def test_changes_and_movers(L, match, band, changes, movers):
 
 def test_cheapest_and_stats(L):
     assert L.count() == 6000
-    assert cheapest(L, 40.0, 3).count() == 78
+    assert cheapest(L, 40.0, 3).count() == 96
     g = geocode(cheapest(L, 40.0, 3))
-    assert g.count() == 66
-    assert region_stats(g).count() == 25
+    assert g.count() == 84
+    assert region_stats(g).count() == 31
     assert flt.most_recent(flt.area_band(flt.positive_price(L), 0, 40), 1000).count() == 1000

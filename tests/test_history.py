@@ -1,36 +1,63 @@
-"""The range-partitioned price history equals the single-window one,
-including a hot id spread over many partitions."""
+"""The price history with ids cut into time ranges equals plain lines per id."""
 
 import datetime as dt
 import random
 
 import pytest
 
-from estatelens.operators.changes import price_history
-from estatelens.operators.history import price_history_balanced
+from estatelens.operators.changes import latest_changes, price_changes, price_history
 from estatelens.sources.schema import LISTING_SCHEMA
-from tests.conftest import SF_SMALL
 
 
-def as_set(df):
-    cols = ["id", "price", "updated_at", "seq1", "seq2", "prev_price", "prev_updated_at", "rn"]
-    return sorted(tuple(r) for r in df.select(*cols).collect())
-
-
-@pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_hot_id(spark, partitions):
-    rng = random.Random(3)
-    rows = []
+@pytest.fixture(scope="module")
+def listings(spark):
+    rng, rows = random.Random(3), []
     for n in range(600):
         i = 1 if n % 3 else rng.randint(2, 40)     # id 1 holds two thirds of the rows
-        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 50))
+        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 50) if n % 5 else 20)
         price = rng.choice([0.0, 10.0, 20.0, 30.0 + n])
         rows.append((i, "t", price, 1, 30.0, "A", "u", day if n % 17 else None, None, rng.randint(0, 5), n % 4))
-    df = spark.createDataFrame(rows, LISTING_SCHEMA)
-    assert as_set(price_history_balanced(df, partitions=partitions)) == as_set(price_history(df))
+    return spark.createDataFrame(rows, LISTING_SCHEMA)
+
+
+def lines(listings):
+    by = {}
+    for r in listings.collect():
+        if r.price and r.price > 0 and r.updated_at:
+            by.setdefault(r.id, []).append((r.updated_at, r.seq1, r.seq2, r.price))
+    out = []
+    for i, line in by.items():
+        line.sort(reverse=True)
+        for n, (t, a, b, p) in enumerate(line):
+            before = line[n + 1] if n + 1 < len(line) else (None, None, None, None)
+            out.append((i, p, t, a, b, before[3], before[0], n + 1))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("split_rows", [1, 7, 50, 2_000_000])
+def test_hot_id(spark, listings, split_rows):
+    cols = ["id", "price", "updated_at", "seq1", "seq2", "prev_price", "prev_updated_at", "rn"]
+    got = price_history(listings, split_rows=split_rows).select(*cols)
+    assert sorted(map(tuple, got.collect()), key=repr) == lines(listings)
+
+
+def test_hot_id_is_spread(spark, listings):
+    """The window runs on (id, range), so a hot id's rows are in several partitions."""
+    plan = price_history(listings, split_rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "_range" in plan
+
+
+def test_methods_agree(spark, listings):
+    a, b = (sorted(map(tuple, latest_changes(listings, method=m).collect()), key=repr) for m in ("top2", "window"))
+    assert a == b and a
 
 
-def test_fixture(spark):
-    from estatelens.sources import listings_from_testdata
-    L = listings_from_testdata(spark, SF_SMALL)
-    assert as_set(price_history_balanced(L, partitions=7)) == as_set(price_history(L))
+def test_fan_out_join_can_be_split(spark, listings):
+    """Both sides of the self-join are plain shuffles on its key, which AQE can split."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = price_changes(listings, 0, 40, match="all")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin"):]
+    assert "hashpartitioning(_changed" in join

@@ -20,7 +20,7 @@ def test_run_name():
 def test_movers_job(spark):
     out = tempfile.mkdtemp(prefix="estatelens-job-")
     res = run_movers_job(listings_from_testdata(spark, SF_SMALL), out, AS_OF, 40.0, 60.0,
-                         prefix="medium_flats")
+                         prefix="medium_flats", footer="\nown footer", tags="#own")
     assert res["report"].endswith("medium_flats_20240115_093005/report")
     text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(res["report"] + "/part-*")))
     report = text[:-1]  # the text sink ends every row with a newline
@@ -30,7 +30,10 @@ def test_movers_job(spark):
     assert [r.part for r in outbox] == list(range(len(outbox)))
     expect = pyref.chunks(pyref.sanitize(report))
     assert len(outbox) == len(expect)
-    assert outbox[-1].text.startswith(expect[-1][:50]) or len(expect) == 1
+    middle = [r.text for r in outbox]
+    assert middle[0].endswith(expect[0]) or len(expect) == 1
+    assert middle[1:-1] == expect[1:-1]
+    assert middle[-1].endswith(expect[-1] + "\nown footer#own")
 
 
 def test_cheapest_job(spark):
@@ -55,7 +58,7 @@ def test_cli(spark):
     out = tempfile.mkdtemp(prefix="estatelens-cli-")
     res = main(["--testdata", SF_SMALL, "--out", out, "--job", "small", "--as-of", "2024-01-15T09:30:05",
                 "--land", "cli_landed", "--buckets", "4"], spark)
-    assert res["report"].endswith("price_changes_20240115_093005/report") and res["messages"] > 0
+    assert res["report"].endswith("movers_small_20240115_093005/report") and res["messages"] > 0
     # same listings through the generic reader
     src = tempfile.mkdtemp(prefix="estatelens-cli-") + "/listings"
     listings_from_testdata(spark, SF_SMALL).write.parquet(src)

@@ -132,9 +132,9 @@ def test_blocks_without_date_columns(spark):
         "location string, position int, id long, title string, price double, prev_price double, "
         "pct_change double, area double, rooms int, property_url string")
     block = listing_blocks(rows).first().block
-    assert block.splitlines()[0] == "1. "
-    assert "Last update" not in block and "   Change: ▲ +10.00%" in block
-    assert block.endswith("   Link: u/7\n")
+    assert block.splitlines()[0] == "#1 "
+    assert "- seen" not in block and "- moved ▲ +10.00%" in block
+    assert block.endswith("- see u/7\n")
 
 
 @pytest.mark.parametrize("match", ["all", "latest"])
@@ -162,7 +162,7 @@ def test_messages_framing_and_trim(spark):
     assert last.text == "c" * 3990 + "\nF" and last.n_chars == 3992
     assert rows[(2, 0)].text == "H\nonly\nF" and rows[(2, 0)].retry_text is None
     assert rows[(3, 0)].n_chars == 4000 and rows[(3, 0)].text.endswith("...")  # 4,000 + header + footer
-    assert middle.retry_text == "b" * 950 + "... (message shortened)"
+    assert middle.retry_text == "b" * 950 + " [cut; see the full report]"
     assert first.preview == ("H\n" + "a" * 98)
     plain = messages(spark.createDataFrame([(9, 0, 1, "e" * 4000)], "doc int, part int, n_parts int, chunk string"),
                      "doc", "", "").first()

@@ -1,8 +1,7 @@
-"""Session helpers: checkpoint folder rules and input spreading."""
+"""Session helpers: checkpoint folder rules."""
 
 import pytest
 
-from estatelens.operators.textprep import spread
 from estatelens.session import ensure_checkpoint_dir
 
 
@@ -42,11 +41,3 @@ def test_cluster_uses_configured_dir():
 
 def test_local_gets_scratch_dir():
     assert ensure_checkpoint_dir(_Session("local[4]"))
-
-
-def test_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores + 3)
-    assert spread(many).rdd.getNumPartitions() == cores + 3

@@ -28,15 +28,48 @@ def test_read_listings_needs_id(spark):
         read_listings(spark, "parquet", path)
 
 
+def test_missing_required_columns_are_named(spark):
+    L = listings_from_testdata(spark, SF_SMALL)
+    from estatelens.operators import changes as ch
+    for column in ("price", "updated_at"):
+        path = tempfile.mkdtemp(prefix="estatelens-src-") + "/short"
+        L.drop(column).limit(5).write.parquet(path)
+        with pytest.raises(ValueError, match=column):
+            read_listings(spark, "parquet", path)
+        with pytest.raises(ValueError, match=column):
+            ch.price_history(L.drop(column))
+
+
+def test_values_that_do_not_fit_become_null(spark):
+    path = tempfile.mkdtemp(prefix="estatelens-src-") + "/dirty"
+    spark.createDataFrame([(1, "Studio", "not a date", "1e30", "x"), (2, "2", "2024-03-05 10:00:00", "100.5", "30")],
+                          "id long, rooms string, updated_at string, price string, area string").write.parquet(path)
+    bad, good = read_listings(spark, "parquet", path).orderBy("id").collect()
+    assert (bad.rooms, bad.updated_at, bad.price, bad.area) == (None, None, 1e30, None)
+    assert (good.rooms, str(good.updated_at), good.price, good.area) == (2, "2024-03-05 10:00:00", 100.5, 30.0)
+
+
+def test_formatting_survives_nan_and_huge_numbers(spark):
+    from estatelens.functions.fmt import int_or_zero, whole_money
+    from estatelens.operators.geo import markers
+    rows = spark.createDataFrame([(float("nan"),), (1e30,), (1999.9,), (None,)], "v double")
+    got = [(r[0], r[1]) for r in rows.select(whole_money("v"), int_or_zero("v")).collect()]
+    assert got == [("0 AED", 0), ("0 AED", 0), ("1,999 AED", 1999), (None, 0)]
+    one = spark.createDataFrame([(1, "A", 25.0, 55.0, float("nan"), 30.0, 1, "u")],
+                                "id long, location string, latitude double, longitude double, price double, area double, rank int, url string")
+    assert "0 AED" in markers(one).first().popup
+
+
 def test_jdbc_options():
     from estatelens.sources import jdbc_options
-    o = jdbc_options("jdbc:postgresql://db/x", "listings", "id", 1, 1_000_000, 64, user="u", password="p")
+    o = jdbc_options("jdbc:postgresql://db/x", "listings", 1, 1_000_000, 64, user="u", password="p")
     assert o == {"url": "jdbc:postgresql://db/x", "dbtable": "listings", "fetchsize": "10000",
                  "partitionColumn": "id", "lowerBound": "1", "upperBound": "1000000", "numPartitions": "64",
                  "user": "u", "password": "p"}
-    assert "partitionColumn" not in jdbc_options("jdbc:x", "t")
+    with pytest.raises(TypeError):
+        jdbc_options("jdbc:x", "t")
     with pytest.raises(ValueError):
-        jdbc_options("jdbc:x", "t", num_partitions=8)
+        jdbc_options("jdbc:x", "t", 5, 5, 8)
 
 
 def test_landed_listings_need_no_shuffle(spark):
@@ -45,8 +78,8 @@ def test_landed_listings_need_no_shuffle(spark):
     from estatelens.sources import land_listings
     L = listings_from_testdata(spark, SF_SMALL)
     T = land_listings(L, "listings_landed_test", 4)
-    for build in (ch.price_history, ch.latest_changes):
-        df = build(T)
-        df.write.format("noop").mode("overwrite").save()
-        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, build(L).collect()))
+    df = ch.latest_changes(T)
+    df.write.format("noop").mode("overwrite").save()
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, ch.latest_changes(L).collect()))
+    assert len(T.inputFiles()) <= 4
