@@ -147,3 +147,61 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mix(Scratch(spark).cut(docs)).drop("source")
+
+
+def _sql_quotas(name: str, parts: str, group: str, key: str, share: str, seats: str) -> str:
+    """CTEs that end in ``name``: the rows of ``parts`` with ``quota``, their share of the group's seats by highest quotients."""
+    return f"""{name}_exact AS (
+  SELECT *, sum({share}) OVER g AS total, count(*) OVER g AS parts_n,
+         CASE WHEN sum({share}) OVER g > 0 THEN {share} * {seats} / sum({share}) OVER g ELSE 0.0 END AS exact
+  FROM {parts} WINDOW g AS (PARTITION BY {group})),
+{name}_base AS (SELECT *, floor(exact + 0.5)::BIGINT AS base FROM {name}_exact),
+{name}_odd AS (SELECT *, ({seats} - sum(base) OVER (PARTITION BY {group}))::BIGINT AS odd FROM {name}_base),
+{name}_cand AS (
+  SELECT {group}, {key}, odd, {share} / (k * 2 + 1) AS quotient FROM (
+    SELECT *, unnest(CASE WHEN odd > 0 THEN range(base, base + odd) ELSE range(greatest(base + odd, 0), base) END) AS k
+    FROM {name}_odd WHERE odd <> 0)),
+{name}_moved AS (
+  SELECT {group}, {key}, sum(sign(odd))::BIGINT AS moved FROM (
+    SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY CASE WHEN odd > 0 THEN -quotient ELSE quotient END, {key}) AS pos FROM {name}_cand)
+  WHERE pos <= abs(odd) GROUP BY {group}, {key}),
+{name} AS (SELECT {name}_odd.*, base + coalesce(moved, 0) AS quota FROM {name}_odd LEFT JOIN {name}_moved USING ({group}, {key}))"""
+
+
+def _sql_hash(text: str) -> str:
+    return f"('0x' || substring(md5({text}), 1, 8))::BIGINT"
+
+
+_PAST = "start + quota_words - full_times * cell - cell"
+
+OP10_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, md5('{SEED}:' || doc_id::VARCHAR) AS place FROM documents),
+sources AS (SELECT key, sum(size)::BIGINT AS source_size, count(*) AS n, 1 AS every FROM docs GROUP BY key),
+weighed AS (
+  SELECT *, [{", ".join(f"{w}.0::DOUBLE" for w in WEIGHTS)}][((row_number() OVER (ORDER BY key) - 1) % {len(WEIGHTS)}) + 1] AS weight,
+         source_size * {MAX_REPEATS}::DOUBLE AS most FROM sources),
+filled AS (
+  SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS rate
+  FROM weighed WINDOW b AS (ORDER BY most / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (
+  SELECT key, source_size, n, every, least(most, coalesce(
+    (SELECT arg_min(rate, (most / weight, key)) FROM filled WHERE rate * weight < most) * weight, most)) AS target FROM filled),
+housed AS (SELECT *, floor(sum(target) OVER () / {BLOCK_WORDS} + 0.5)::BIGINT AS house FROM goals),
+{_sql_quotas("shares", "housed", "every", "key", "target", "house")},
+placed AS (
+  SELECT docs.*, source_size, target, quota AS seats, ({_sql_hash("docs.doc_id::VARCHAR").replace("md5(docs.doc_id::VARCHAR)", "place")} * ceil(n / {DOCS_PER_SHARD}.0)::BIGINT) >> 32 AS shard
+  FROM docs JOIN shares USING (key)),
+cells AS (SELECT key, shard, sum(size)::BIGINT AS cell, any_value(seats) AS seats FROM placed GROUP BY key, shard HAVING sum(size) > 0),
+{_sql_quotas("dealt", "cells", "key", "shard", "cell", "seats")},
+picked AS (
+  SELECT key, shard, cell, least(quota * {BLOCK_WORDS}, floor(cell * {MAX_REPEATS})::BIGINT) AS quota_words,
+         ({_sql_hash(f"'{SEED}:' || key || ':' || shard")} % ceil(cell / {BLOCK_WORDS}.0)::BIGINT) * {BLOCK_WORDS} AS start FROM dealt),
+runs AS (SELECT *, quota_words // cell AS full_times FROM picked),
+stood AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY key, shard ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM placed)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(full_times * size
+    + greatest(least(a + size, least(start + quota_words - full_times * cell, cell)) - greatest(a, start), 0)
+    + greatest(least(a + size, {_PAST}) - a, 0), 0)::BIGINT AS taken
+FROM stood LEFT JOIN runs USING (key, shard)"""

@@ -6,10 +6,10 @@ from estatelens.llm.ann import op3_nearest
 from estatelens.llm.chat_format import OP8_SQL, op8_chat_format
 from estatelens.llm.fingerprint import op5_fingerprint
 from estatelens.llm.language_id import op9_language_id
-from estatelens.llm.mixing import op10_mixing
-from estatelens.llm.ngram_join import op2_ngram_join
+from estatelens.llm.mixing import OP10_SQL, op10_mixing
+from estatelens.llm.ngram_join import OP2_SQL, op2_ngram_join
 from estatelens.llm.packing import op1_packing
-from estatelens.llm.secret_scan import op7_secret_scan
+from estatelens.llm.secret_scan import OP7_SQL, op7_secret_scan
 from estatelens.llm.sharding import op6_sharding
 from estatelens.llm.url_filter import OP4_SQL, op4_url_filter
 
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_join": OP2_SQL,
     "op4_url_filter": OP4_SQL,
+    "op7_secret_scan": OP7_SQL,
     "op8_chat_format": OP8_SQL,
+    "op10_mixing": OP10_SQL,
 }

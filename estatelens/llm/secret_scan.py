@@ -166,3 +166,26 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
+
+
+def _sql() -> str:
+    """The spans from each regex's pieces between matches, with every rule run on every text."""
+    parts = []
+    for r, (kind, pattern, group, least) in enumerate(RULES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, {r} AS rank, '{kind}' AS kind, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{
+            'start': coalesce(list_sum(list_transform(between[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0),
+            'len': length(ms[i]), 'ok': length(gs[i]) >= {least}}})) AS m
+          FROM (SELECT doc_id, regexp_split_to_array(text, {p}) AS between, regexp_extract_all(text, {p}, 0) AS ms,
+                       regexp_extract_all(text, {p}, {group}) AS gs FROM documents WHERE regexp_matches(text, {p}))""")
+    base = f"kind IN ({', '.join(repr(k) for k in BASE)})"
+    written = "kind || ':' || first::BIGINT || ':' || past::BIGINT"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""WITH spans AS (
+  SELECT doc_id, rank, kind, m.start AS first, m.start + m.len AS past FROM ({" UNION ALL ".join(parts)}) WHERE m.ok)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({written}, ',' ORDER BY first, rank) FILTER ({base}), '')) AS base_sha256,
+  coalesce(string_agg({written}, ',' ORDER BY first, rank), '') AS spans
+FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+OP7_SQL = _sql()
