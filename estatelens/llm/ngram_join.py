@@ -30,7 +30,7 @@ PERCENT = 80
 # Sets of a block that one task holds; larger blocks are first thinned out, then cut into pairs of slices.
 BLOCK_SETS = 4000
 # Postings that a task gathers before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 POSTING = np.dtype([("token", "<u4"), ("node", "<i8")])
 FULL_POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4")])
@@ -82,6 +82,16 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def first_of_each(digest: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The rows whose digest a task meets for the first time."""
+    new = []
+    for i, d in enumerate(digest.tolist()):
+        if d not in seen:
+            seen.add(d)
+            new.append(i)
+    return np.array(new, np.int64)
+
+
 def by_bucket(rows: np.ndarray, bucket: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """Rows of a fixed layout as one binary value per bucket."""
     order = np.argsort(bucket, kind="stable")
@@ -117,7 +127,7 @@ def first_pass(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
     """``(kind, doc_id, lo, hi, n, shared)``: a row per document (kind 1), and for each set how many of its
     first shingles other sets also have among their first (kind 0; ``lo`` and ``shared``)."""
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posts, held = [], 0
+        posts, held, seen = [], 0, set()
 
         def flush():
             rows = np.concatenate([p[1] for p in posts])
@@ -132,7 +142,7 @@ def first_pass(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
             docs_["lo"], docs_["hi"], docs_["n"] = lo, hi, n
             yield by_bucket(docs_, (mix64(docs_["doc_id"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), 1)
             take = np.minimum(n, n - need(n, percent) + spare(n))
-            _, once = np.unique(lo, return_index=True)  # copies in one slice count once
+            once = first_of_each(lo, seen)  # copies in one task count once
             once = once[n[once] > 0]
             if not len(once):
                 continue
@@ -167,15 +177,28 @@ def second_pass(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
     """``(node, n, tokens, first)`` of the sets that have need(n) shingles in common with others: these
     shingles, sorted, and the rarest of them that any partner must share one of."""
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        posts, held, seen = [], 0, set()
+
+        def flush():
+            rows = np.concatenate(posts)
+            return by_bucket(rows, ((rows["token"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+        for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"))
             lo, _ = digests(sets)
-            _, once = np.unique(lo, return_index=True)
+            once = first_of_each(lo, seen)
+            if not len(once):
+                continue
             tokens = np.concatenate([sets[i] for i in once])
             n = np.array([len(sets[i]) for i in once])
             rows = np.zeros(len(tokens), FULL_POSTING)
             rows["token"], rows["node"], rows["n"] = tokens, np.repeat(lo[once], n), np.repeat(n, n)
-            yield by_bucket(rows, ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+            posts.append(rows)
+            held += len(rows)
+            if held > FLUSH:
+                yield flush()
+                posts, held = [], 0
+        if posts:
+            yield flush()
 
     def lists(rows: pa.Table) -> pa.Table:
         posts, df = shared_postings(unpack(rows, FULL_POSTING))
@@ -409,7 +432,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     passed = scratch.cut(first_pass(docs, buckets, percent))
     rows = passed.filter("kind = 1").select("doc_id", "lo", "hi", "n")
     classes = scratch.cut(rows.filter("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
@@ -429,3 +452,25 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Words, distinct shingles, pairs that share one, exact overlaps, then the least id over links.
+OP2_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [w]
+    ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: w[i:i + {WORDS - 1}]) END) AS s FROM words),
+keyed AS (SELECT doc_id, hash(s) AS h, s FROM shingles),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM keyed a JOIN keyed b ON a.h = b.h AND a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  WHERE 100 * least(na.n, nb.n) >= {PERCENT} * greatest(na.n, nb.n)
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= {PERCENT} * (na.n + nb.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT reach.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id"""
