@@ -13,6 +13,7 @@ import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
@@ -93,7 +94,8 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     From the largest size down, a gap opens a bracket and an item closes the last one open,
     which is the smallest gap left that holds it. Pairs come out with both sides; items that
-    need a gap of a larger range and gaps left for smaller ranges come out numbered in order."""
+    need a gap of a larger range and gaps left for smaller ranges come out numbered in order. A last
+    row, without item and seq, has the numbers of both."""
     rows = pa.Table.from_batches(list(batches))
     part = TaskContext.get().partitionId()
     if not rows.num_rows:
@@ -128,6 +130,9 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(items, gaps, False)
     yield batch(left_items, None, True)
     yield batch(None, left_gaps, True)
+    yield pa.RecordBatch.from_pydict({"item": [None], "need": [len(left_items)], "seq": [None], "gap": [len(left_gaps)], "part": [part], "place": [None]},
+                                     schema=pa.schema([("item", pa.int64()), ("need", pa.int32()), ("seq", pa.int64()), ("gap", pa.int32()),
+                                                       ("part", pa.int32()), ("place", pa.int64())]))
 
 
 def settle(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -158,7 +163,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sweeps every range for the smallest gap that holds each item (a gap takes one item a round;
     the larger item, then the smaller number, comes first), settles what is left across
     ranges by its rank, and updates the gaps. Items larger than every gap left get new
-    sequences. It ends when no item is left; each round places the largest item left at least.
+    sequences. Offsets follow at the end, by item number. It ends when no item is left; each round places the largest item left at least.
 
     Where tiny items are many more than sequences, most of them enter as bundles (see
     ``bundles``), so the rounds stay few.
@@ -182,25 +187,27 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = []
     while True:
         placed = state.filter("item is not null and seq is not null")
-        done.append(placed.select("item", "seq", (F.lit(capacity) - F.col("gap")).alias("offset")))
+        done.append(placed.select("item", "seq", "need"))
         gaps = state.filter("seq is not null").select("seq", (F.col("gap") - F.coalesce("need", F.lit(0))).alias("size")).filter("size > 0")
         todo = state.filter("item is not null and seq is null")
-        left, lack, room, widest = state.agg(*map(F.expr, (
-            "count_if(seq is null)", "sum(if(seq is null, need, 0))", "sum(if(seq is not null, gap - coalesce(need, 0), 0))",
+        largest, lack, room, widest = state.agg(*map(F.expr, (
+            "max(if(seq is null, need, 0))", "sum(if(seq is null, need, 0))", "sum(if(seq is not null, gap - coalesce(need, 0), 0))",
             "coalesce(max(if(seq is not null, gap - coalesce(need, 0), 0)), 0)"))).first()
-        if not left:
+        if not largest:
             break
         if len(done) > 1:
-            lack, room = todo.filter(F.col("need") > widest).agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0], 0
+            lack, room = todo.filter(F.col("need") > widest).agg(F.sum("need")).first()[0] if largest > widest else 0, 0
         new = max(0, -(-(lack - room) // capacity))
-        fresh_gaps = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).alias("size"))
+        # Later, a sequence opens as several gaps, so that it takes several of the items left in one round.
+        parts = 1 if len(done) == 1 else max(1, capacity // largest)
+        fresh_gaps = spark.range(opened * parts, (opened + new) * parts).select(
+            (-1 - F.floor(F.col("id") / parts)).cast("long").alias("seq"), F.lit(capacity // parts).alias("size"))
         opened += new
         both = (todo.select("item", F.lit(0).cast("long").alias("seq"), F.col("need").alias("size"), F.lit(True).alias("is_item"))
                 .unionByName(gaps.unionByName(fresh_gaps).select(F.lit(-1).cast("long").alias("item"), "seq", "size", F.lit(False).alias("is_item"))))
         swept = scratch.cut(both.repartitionByRange(F.desc("size"), "is_item", "item", "seq").mapInArrow(sweep, SWEPT))
-        counts = swept.filter("place is not null").groupBy("part").agg(F.count("item").alias("i"), F.count("seq").alias("g")).orderBy("part")
-        moves = spark.createDataFrame(settle([tuple(r) for r in counts.collect()]),
-                                      "part int, first long, end long, gap_part int, gap_last long")
+        counts = swept.filter("item is null and seq is null").select("part", "need", "gap").collect()  # one row per range
+        moves = spark.createDataFrame(settle(sorted(map(tuple, counts))), "part int, first long, end long, gap_part int, gap_last long")
         left_items = swept.filter("place is not null and item is not null").select("item", "need", "part", "place")
         to = (F.col("l.part") == F.col("m.part")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("end"))
         aimed = left_items.alias("l").join(F.broadcast(moves).alias("m"), to, "left").select(
@@ -213,6 +220,8 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
+    before = W.partitionBy("seq").orderBy("item").rowsBetween(W.unboundedPreceding, -1)
+    result = result.select("item", "seq", F.coalesce(F.sum("need").over(before), F.lit(0)).cast("int").alias("offset"))
     if bundled is None:
         return result
     # A bundle stands under its least item; its other items follow it.

@@ -141,3 +141,38 @@ def test_one_more_shard_moves_few_rows(spark):
     assert sum(a[i] != b[i] for i in a) < 900  # dealing rows anew would move 1,818
     assert shard_rows(rows.limit(0), "key", ["id"]).count() == 0
     assert shard_rows(rows.limit(3), "key", ["id"], 10).count() == 3
+
+
+def test_sharding_query_row_by_row(spark):
+    """Every row walks the ring by itself: its arc's shard first, then clockwise to the next with room."""
+    import zlib
+
+    from estatelens.llm.sharding import SHARDS, VIRTUAL_NODES, op6_sharding
+    path = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    nodes = ring(SHARDS, VIRTUAL_NODES)
+    arcs = defaultdict(list)
+    for d, t in docs:
+        place = int(hashlib.md5(hashlib.md5(t.encode()).hexdigest().encode()).hexdigest()[:8], 16)
+        arc = next((i for i, (p, _) in enumerate(nodes) if p >= place), 0)
+        arcs[arc].append((place, d, zlib.crc32(t.encode()), len(t.encode()) + 16))
+    room = [len(docs) // SHARDS + (s < len(docs) % SHARDS) for s in range(SHARDS)]
+    slots, over, want = Counter(), [], {}
+    for arc in sorted(arcs):
+        for row in sorted(arcs[arc]):
+            s = nodes[arc][1]
+            if slots[s] < room[s]:
+                want[row[1]] = (s, slots[s])
+                slots[s] += 1
+            else:
+                over.append((arc, row[1]))
+    for arc, d in over:
+        while slots[nodes[arc][1]] >= room[nodes[arc][1]]:
+            arc = (arc + 1) % len(nodes)
+        s = nodes[arc][1]
+        want[d] = (s, slots[s])
+        slots[s] += 1
+    got = {r["doc_id"]: r for r in op6_sharding(spark, path).collect()}
+    assert {d: (r["shard"], r["slot"]) for d, r in got.items()} == want
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", None)
+               for d, t in docs for r in [got[d]])

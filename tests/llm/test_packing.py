@@ -87,14 +87,16 @@ def test_sweep_and_settle_give_each_item_its_smallest_gap(monkeypatch, seed):
         i = g = 0
         for out in packing.sweep(iter([batch])):
             for x in out.to_pylist():
-                if x["place"] is None:
+                if x["place"] is None and x["item"] is not None:
                     pairs[x["item"]] = x["gap"]
                 elif x["item"] is not None:
                     left_items[part, x["place"]] = x["item"]
                     i += 1
-                else:
+                elif x["seq"] is not None:
                     left_gaps[part, x["place"]] = x["gap"]
                     g += 1
+                else:
+                    assert (x["need"], x["gap"], x["part"]) == (i, g, part)
         left.append((part, i, g))
     for part, first, end, gap_part, last in settle(left):
         for k in range(first, end):
