@@ -41,14 +41,14 @@ def skeleton(plan: str) -> list[str]:
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from estatelens.session import build_session
-    import __spark_entry__ as E
     spark = build_session(extra={"spark.ui.showConsoleProgress": "false",
                                  "spark.sql.maxMetadataStringLength": "10000"})
     lines = ["# PLANS", "", f"Executed physical plans (after AQE) at `{os.path.basename(sf)}`, local[8], "
              "reduced to the nodes that decide cost: scans (pushed filters, read schema), exchanges, "
              "window limits, windows, joins, aggregates, Python nodes. Regenerate with "
              "`python scripts/show_plans.py`.", ""]
-    for name, q in E.queries().items():
+    from estatelens.plans.registry import QUERIES
+    for name, q in QUERIES.items():
         df = q(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -26,9 +26,13 @@ def skewed_listings(spark, sf):
                           "location": F.when(hot, F.lit("HOT")).otherwise(F.col("location"))})
 
 
-# Hot-key threshold of the salted join, scaled down to fixture size like the
-# AQE thresholds below (the library default is 2,000,000 rows).
-SALT_ROWS = 20_000
+# Rows from which an id is cut into time ranges, scaled down to fixture size (the library default is 2,000,000).
+SPLIT_ROWS = 10_000
+# AQE's skew split, scaled down likewise, for the join whose spread is decided at run time.
+AQE = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+       "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+       "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1",
+       "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 def read_events(folder):
@@ -51,7 +55,6 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from estatelens.session import build_session
     from estatelens.operators import changes as ch
-    from estatelens.operators.history import price_history_balanced
     from estatelens.operators.stats import region_stats
     from estatelens.operators.topk import cheapest, price_movers
     from estatelens.operators import filters as flt
@@ -61,25 +64,29 @@ def main():
     spark = build_session(shuffle_partitions=32, extra={
         "spark.ui.showConsoleProgress": "false", "spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir,
         "spark.sql.adaptive.enabled": "false"})
-    L = skewed_listings(spark, sf)
+    # Written once, in many files as at scale: the map side of a skew split is a file's rows.
+    path = tempfile.mkdtemp(prefix="estatelens-skew-") + "/listings"
+    skewed_listings(spark, sf).repartition(64).write.parquet(path)
+    L = spark.read.parquet(path)
     total = L.count()
     hot_rows = L.filter("id = 1").count()
     checks = {
-        "price_history (one window on id)": lambda: ch.price_history(L),
-        "price_history_balanced": lambda: price_history_balanced(L),
+        "price_history, ids never cut": lambda: ch.price_history(L, split_rows=10 ** 9),
+        "price_history, hot ids cut into time ranges": lambda: ch.price_history(L, split_rows=SPLIT_ROWS),
         "latest_changes (top-2 cut)": lambda: ch.latest_changes(L),
-        "latest_changes_window (full window)": lambda: ch.latest_changes(L, method="window"),
         "movers all (0, 40]": lambda: price_movers(L, 0, 40, match="all"),
         "movers latest (0, 40]": lambda: price_movers(L, 0, 40, match="latest"),
-        "price_changes all (0, 40], full fan-out, plain join": lambda: ch.price_changes(
-            L, 0, 40, match="all", salt_rows=None),
-        "price_changes all (0, 40], full fan-out, salted join": lambda: ch.price_changes(
-            L, 0, 40, match="all", salt_rows=SALT_ROWS),
+        "price_changes all (0, 40], full fan-out, without AQE": lambda: ch.price_changes(L, 0, 40, match="all"),
+        "price_changes all (0, 40], full fan-out, with AQE": lambda: ch.price_changes(L, 0, 40, match="all"),
         "cheapest top 3": lambda: cheapest(L, 40.0, 3, ordered=False),
         "region_stats over all listings": lambda: region_stats(flt.area_band(flt.positive_price(L), None, 40.0)),
     }
     for name, build in checks.items():
         spark.sparkContext.setJobGroup(name, name)
+        for k, v in AQE.items():
+            spark.conf.set(k, v) if name.endswith("with AQE") else spark.conf.unset(k)
+        if not name.endswith("with AQE"):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
         build().write.format("noop").mode("overwrite").save()
     spark.stop()
     ev = read_events(logdir)
@@ -102,8 +109,8 @@ def main():
              f"Listings derived from `{os.path.basename(sf)}` with one id and one location holding "
              f"{hot_rows:,} of {total:,} rows ({hot_rows / total:.0%}). For each operator, the largest number "
              "of shuffle records read by a single task (from Spark's event log, local[8], 32 shuffle partitions, AQE "
-             "off so that every hash partition is its own task and the numbers show the plan's own distribution; "
-             f"the salted join's hot-key threshold is scaled down to fixture size: {SALT_ROWS:,} rows). With 32 "
+             "off but in the line that says so, so that every hash partition is its own task and the numbers show the "
+             f"plan's own distribution; ids are cut from {SPLIT_ROWS:,} rows on, and AQE's thresholds are scaled down likewise). With 32 "
              "partitions an even spread is about 3%. "
              "Regenerate with `python scripts/skew_check.py`.", "",
              "| Operator | Max shuffle records in one task | Share of all rows |", "| --- | ---: | ---: |"]
@@ -111,12 +118,9 @@ def main():
         w = worst.get(name, 0)
         lines.append(f"| {name} | {w:,} | {w / total:.1%} |")
     lines += ["", "Reading: the top-k paths cut each group to k rows per map task before the shuffle, so the hot "
-              "id/location adds almost nothing to any task. The one-window history must give one task every row "
-              "of the hot id (a window is not split by AQE); `price_history_balanced` spreads that id over range "
-              "partitions. The full fan-out join (`price_changes` with `match=\"all\"` emits every observation) "
-              "cannot use AQE's skew split, because its change side comes out of the id window already "
-              "partitioned; the salted join spreads the hot id over ceil(rows / bucket) salt buckets (a bucket "
-              "is a sixteenth of the hot-key threshold)."]
+              "id/location adds almost nothing to any task. The history cuts the hot id into time ranges, each a "
+              "key of its own in the window. The fan-out join emits every observation; both of its sides are plain "
+              "shuffles, so AQE splits the hot id's partition by map output."]
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "SKEW.md")
     with open(out, "w") as f:
         f.write("\n".join(lines) + "\n")
