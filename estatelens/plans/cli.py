@@ -39,7 +39,9 @@ def parse(argv=None) -> argparse.Namespace:
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:
     args = parse(argv)
-    spark = spark or SparkSession.builder.appName("estatelens").getOrCreate()
+    # Checkpoints of the report packer go when nothing refers to them any more.
+    spark = spark or SparkSession.builder.appName("estatelens").config(
+        "spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     if args.testdata:
         listings = listings_from_testdata(spark, args.testdata)
     else:
