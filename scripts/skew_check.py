@@ -11,6 +11,7 @@ import json
 import os
 import sys
 import tempfile
+import time
 
 import zstandard
 
@@ -74,6 +75,7 @@ def main():
         "price_history, ids never cut": lambda: ch.price_history(L, split_rows=10 ** 9),
         "price_history, hot ids cut into time ranges": lambda: ch.price_history(L, split_rows=SPLIT_ROWS),
         "latest_changes (top-2 cut)": lambda: ch.latest_changes(L),
+        "latest_changes (method window)": lambda: ch.latest_changes(L, method="window"),
         "movers all (0, 40]": lambda: price_movers(L, 0, 40, match="all"),
         "movers latest (0, 40]": lambda: price_movers(L, 0, 40, match="latest"),
         "price_changes all (0, 40], full fan-out, without AQE": lambda: ch.price_changes(L, 0, 40, match="all"),
@@ -81,13 +83,17 @@ def main():
         "cheapest top 3": lambda: cheapest(L, 40.0, 3, ordered=False),
         "region_stats over all listings": lambda: region_stats(flt.area_band(flt.positive_price(L), None, 40.0)),
     }
+    took = {}
+    ch.latest_changes(L).write.format("noop").mode("overwrite").save()  # warm-up
     for name, build in checks.items():
         spark.sparkContext.setJobGroup(name, name)
         for k, v in AQE.items():
             spark.conf.set(k, v) if name.endswith("with AQE") else spark.conf.unset(k)
         if not name.endswith("with AQE"):
             spark.conf.set("spark.sql.adaptive.enabled", "false")
+        began = time.time()
         build().write.format("noop").mode("overwrite").save()
+        took[name] = time.time() - began
     spark.stop()
     ev = read_events(logdir)
     group_of_job, group_of_stage = {}, {}
@@ -96,7 +102,7 @@ def main():
             g = (e.get("Properties") or {}).get("spark.jobGroup.id")
             for s in e["Stage IDs"]:
                 group_of_stage[s] = g
-    worst = {}
+    worst, written = {}, {}
     for e in ev:
         if e["Event"] != "SparkListenerTaskEnd" or not e.get("Task Metrics"):
             continue
@@ -105,6 +111,7 @@ def main():
         recs = rd.get("Total Records Read", 0)
         if g:
             worst[g] = max(worst.get(g, 0), recs)
+            written[g] = written.get(g, 0) + e["Task Metrics"].get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
     lines = ["# SKEW", "",
              f"Listings derived from `{os.path.basename(sf)}` with one id and one location holding "
              f"{hot_rows:,} of {total:,} rows ({hot_rows / total:.0%}). For each operator, the largest number "
@@ -113,10 +120,10 @@ def main():
              f"plan's own distribution; ids are cut from {SPLIT_ROWS:,} rows on, and AQE's thresholds are scaled down likewise). With 32 "
              "partitions an even spread is about 3%. "
              "Regenerate with `python scripts/skew_check.py`.", "",
-             "| Operator | Max shuffle records in one task | Share of all rows |", "| --- | ---: | ---: |"]
+             "| Operator | Max shuffle records in one task | Share of all rows | MB shuffled | Seconds |", "| --- | ---: | ---: | ---: | ---: |"]
     for name in checks:
         w = worst.get(name, 0)
-        lines.append(f"| {name} | {w:,} | {w / total:.1%} |")
+        lines.append(f"| {name} | {w:,} | {w / total:.1%} | {written.get(name, 0) / 1e6:.1f} | {took[name]:.1f} |")
     lines += ["", "Reading: the top-k paths cut each group to k rows per map task before the shuffle, so the hot "
               "id/location adds almost nothing to any task. The history cuts the hot id into time ranges, each a "
               "key of its own in the window. The fan-out join emits every observation; both of its sides are plain "
