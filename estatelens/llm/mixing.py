@@ -91,7 +91,7 @@ def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS,
         share: float = SHARE, max_repeats: float = MAX_REPEATS, block_words: int = BLOCK_WORDS,
-        docs_per_shard: int = DOCS_PER_SHARD, seed: str = SEED) -> DataFrame:
+        docs_per_shard: int = DOCS_PER_SHARD, seed: str = SEED, measured: DataFrame | None = None) -> DataFrame:
     """``docs`` (with ``size``, see ``with_sizes``) with ``source_size``, ``target`` and ``taken``, the
     words that the mix takes of a document, repeats counted.
 
@@ -106,7 +106,8 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights
     Sources are ordered by code point, null last (null is a source of its own), and take
     the weights in turn. Documents of size 0 (null or blank text) are never taken. Repeated
     rows are rows of their own. Input columns named like an output column are replaced; others
-    are kept. Empty tables give empty results. ``docs`` is read more than once: pass a written table."""
+    are kept. Empty tables give empty results. Quotas are counted from ``measured``, a written table with
+    the id, source and size of the same rows, or else from ``docs``, which should then be a written table."""
     out = ("source_size", "target", "taken")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in out])
     shard, order, key, cell, quota, before, full, rest, start, n_shards, seats = fresh(
@@ -115,17 +116,21 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights
     # Sources as strings that are never null, so that they can be joined; the first character tells null apart.
     named = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     keyed = docs.withColumn(key, named).withColumn(order, digest)
-    counts = keyed.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    counted = keyed if measured is None else measured.withColumn(key, named).withColumn(order, digest)
+    counts = counted.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     few = counts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     goal = targets(counts, weights, share, max_repeats)
     house = F.floor(F.sum("target").over(W.partitionBy()) / block_words + 0.5)
     goal = sainte_lague(goal.withColumn("house", house).withColumn("all", F.lit(1)), ["all"], ["key"], F.col("target"), F.col("house"))
     goal = goal.select(F.col("key").alias(key), "source_size", "target", F.col("quota").alias(seats),
                        F.ceil(F.col("n") / docs_per_shard).alias(n_shards))
-    # A source may hold most rows: don't shuffle by source unless there are too many sources to send around.
-    placed = keyed.join(F.broadcast(goal) if few else goal, key).withColumn(shard, F.shiftright(
-        F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(n_shards), 32))
-    cells = placed.groupBy(key, shard).agg(F.sum("size").alias(cell), F.first(seats).alias(seats)).filter(F.col(cell) > 0)
+
+    def placed_in_shards(rows: DataFrame) -> DataFrame:
+        # A source may hold most rows: don't shuffle by source unless there are too many sources to send around.
+        return rows.join(F.broadcast(goal) if few else goal, key).withColumn(shard, F.shiftright(
+            F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(n_shards), 32))
+    placed = placed_in_shards(keyed)
+    cells = (placed if measured is None else placed_in_shards(counted)).groupBy(key, shard).agg(F.sum("size").alias(cell), F.first(seats).alias(seats)).filter(F.col(cell) > 0)
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.col(shard).cast("string"))), 1, 8), 16, 10).cast("long")
     quotas = (sainte_lague(cells, [key], [shard], F.col(cell), F.col(seats))
               .withColumn(quota, F.least(F.col("quota") * block_words, F.floor(F.col(cell) * max_repeats)))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from estatelens.llm.common import Scratch, fresh, spread_rank, table
 from estatelens.llm.textvec import slices
@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
                  with_ids: bool = True) -> DataFrame:
     """One row per piece: the columns of ``docs`` without ``text``, then ``row`` (a number of the
     input row), ``piece`` (from 0), ``start``, ``length``, ``ids_crc32`` (little-endian 32-bit ids) and,
-    ``with_ids``, the ``ids``.
+    ``with_ids``, the ``ids``, compressed (see ``unpacked``).
 
     A document is its ids and one end-of-text id. Documents over ``capacity`` are cut
     into pieces of ``capacity``; what is left over is the first piece. A null text is empty.
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
     is split, so write the result before using it twice."""
     path = path or public_tokenizers.path(TOKENIZER)
     out = ("row", "piece", "start", "length", "ids_crc32", *(("ids",) if with_ids else ()))
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     kept = [c for c in docs.columns if c.lower() not in (*out, text.lower())]
     rows = docs.select(*kept, F.col(text).alias("text"))
 
@@ -75,17 +75,40 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     of.append(i)
-                    for col, v in zip(cols, (row, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].view(np.int32))):
+                    for col, v in zip(cols, (row, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), packed(ids[a:b]) if with_ids else None)):
                         col.append(v)
                 row += 1
             same = part.take(pa.array(of, pa.int64()))
             yield pa.RecordBatch.from_arrays([*same.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, types)]], [*kept, *out])
     schema = rows.drop("text").schema
-    for name, kind in zip(out, (LongType(), IntegerType(), LongType(), LongType(), LongType(), ArrayType(IntegerType()))):
+    for name, kind in zip(out, (LongType(), IntegerType(), LongType(), LongType(), LongType(), BinaryType())):
         schema = schema.add(name, kind)
     return rows.mapInArrow(pieces, schema)
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed bytes: two a piece where all fit, else four. Shuffles and scratch tables hold these."""
+    return zlib.compress(ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes(), 1)
+
+
+def unpacked(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``ids`` as an array of integers."""
+    names = pieces.columns
+    schema = StructType([StructField("ids", ArrayType(IntegerType())) if f.name == "ids" else f for f in pieces.schema.fields])
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                lengths = part.column("length").to_numpy()
+                raw = [zlib.decompress(b) for b in part.column("ids").to_pylist()]
+                ids = [np.frombuffer(r, "<u2" if len(r) == 2 * n else "<u4").astype(np.int32) for r, n in zip(raw, lengths.tolist())]
+                ends = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([lists if c == "ids" else part.column(c) for c in names], names)
+    return pieces.mapInArrow(restore, schema)
+
+
 SWEPT = "item long, need int, seq long, gap int, part int, place long"
 
 
@@ -163,7 +186,8 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sweeps every range for the smallest gap that holds each item (a gap takes one item a round;
     the larger item, then the smaller number, comes first), settles what is left across
     ranges by its rank, and updates the gaps. Items larger than every gap left get new
-    sequences. Offsets follow at the end, by item number. It ends when no item is left; each round places the largest item left at least.
+    sequences. Offsets follow at the end, by item number. It ends when no item is left;
+    each round places the largest item left at least.
 
     Where tiny items are many more than sequences, most of them enter as bundles (see
     ``bundles``), so the rounds stay few.
@@ -234,7 +258,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def bundles(tiny: DataFrame, capacity: int, sequences: int) -> DataFrame:
     """``(item, need, bundle, before)``: items of one size bundled up to a sixteenth of the capacity, ``before`` being
     an item's place in its bundle. Of each size, one item per sequence stays a bundle of its own, to fill small gaps."""
-    ranked = spread_rank(tiny, ["need"], F.col("item"), [F.col("item")], "rank")
+    ranked = spread_rank(tiny, ["need"], F.col("item"), [F.col("item")], "rank", few_groups=True)
     many = F.floor(F.lit(capacity // 16) / F.col("need"))
     rest = F.col("rank") - sequences
     single = (rest < 0) | (many < 2)
@@ -255,7 +279,8 @@ def pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity:
     numbered = scratch.cut(numbered.withColumn(item, F.monotonically_increasing_id()))
     where = best_fit(numbered.select(F.col(item).alias("item"), F.col("length").cast("int").alias("need")), capacity)
     where = where.select(F.col("item").alias(item), F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
-    return numbered.join(where, item).drop(item, "row")
+    out = numbered.join(where, item).drop(item, "row")
+    return unpacked(out) if with_ids else out
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

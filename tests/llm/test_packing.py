@@ -40,12 +40,11 @@ def checked(rows, needs, capacity):
     return len(seqs)
 
 
-@pytest.mark.parametrize("case", ["mixed", "ties", "tiny", "halves", "hot", "one"])
+@pytest.mark.parametrize("case", ["mixed", "tiny", "hot"])
 def test_best_fit(spark, case):
     r = random.Random(case)
-    needs = {"mixed": [r.choice([r.randint(1, 100), r.randint(1, 30), 100]) for _ in range(400)], "ties": [34] * 90 + [66] * 20,
-             "tiny": [1] * 300 + [2] * 50, "halves": [50] * 31 + [51] * 10, "hot": [7] * 200 + [r.randint(40, 100) for _ in range(60)],
-             "one": [100]}[case]
+    needs = {"mixed": [r.choice([r.randint(1, 100), r.randint(1, 30), 100]) for _ in range(300)] + [50] * 31 + [51] * 10,
+             "tiny": [1] * 300 + [2] * 50, "hot": [34] * 150 + [r.randint(40, 100) for _ in range(60)]}[case]
     items = spark.createDataFrame(list(enumerate(needs)), "item long, need int").repartition(3)
     got = [tuple(x) for x in best_fit(items, 100).collect()]
     n = checked(got, needs, 100)
