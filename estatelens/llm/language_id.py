@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from estatelens.llm.common import table
-from estatelens.llm.textvec import keys64, mix64, slices
+from estatelens.llm.textvec import keys64, slices
 
 UNKNOWN = "und"
 N_GRAMS = (1, 2, 3)
@@ -20,7 +20,7 @@ HASH_BITS = 15
 MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 
-_CHAR_KEYS = keys64(max(N_GRAMS) + 1, 5)
+_CHAR_KEYS = keys64(max(N_GRAMS) + 2, 5)
 
 
 def _letters() -> np.ndarray:
@@ -44,25 +44,27 @@ def hashed_grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, n
     if wide.any():
         known, back = np.unique(chars[wide], return_inverse=True)
         letter[wide] = np.fromiter((chr(c).isalpha() for c in known), bool, len(known))[back]
-    doc = np.repeat(np.arange(len(low)), lens)
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), lens)
     has = np.zeros(len(low), bool)
     has[doc[letter]] = True
     chars = np.where(letter, chars, 32).astype(np.uint64)
+    keyed = [chars * key for key in _CHAR_KEYS[:max(N_GRAMS) + 1, None]]
     grams, owners = [], []
     for n in N_GRAMS:
         k = len(chars) - n + 1
         if k <= 0:
             break
-        h = np.full(k, n, np.uint64) * _CHAR_KEYS[-1]
-        some = np.zeros(k, bool)
-        for i in range(n):
-            h += chars[i:i + k] * _CHAR_KEYS[i]
+        # Multiply-shift: the top bits of a sum of odd multiples. The multiples are shared by all lengths.
+        h = keyed[n][:k] + _CHAR_KEYS[-1:] * np.uint64(n)
+        some = letter[:k].copy()
+        for i in range(1, n):
+            h += keyed[i][i:i + k]
             some |= letter[i:i + k]
         ok = some & (doc[:k] == doc[n - 1:])
-        grams.append((mix64(h[ok]) >> np.uint64(64 - bits)).astype(np.int64))
+        grams.append((h[ok] >> np.uint64(64 - bits)).astype(np.int32))
         owners.append(doc[:k][ok])
     if not grams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), has
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), has
     return np.concatenate(grams), np.concatenate(owners), has
 
 
@@ -73,7 +75,7 @@ def gram_counts(labelled: DataFrame, bits: int = HASH_BITS) -> DataFrame:
         for part in slices(batches, "text"):
             grams, owner, _ = hashed_grams([t or "" for t in part.column("text").to_pylist()], bits)
             langs, code = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
-            found = np.bincount(code[owner] * (1 << bits) + grams, minlength=len(langs) << bits)
+            found = np.bincount((code[owner].astype(np.int64) << bits) + grams, minlength=len(langs) << bits)
             for lang, row in zip(langs, found.reshape(len(langs), -1)):
                 sums[lang] = sums[lang] + row if lang in sums else row
         for lang, row in sums.items():
@@ -107,7 +109,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     spark = docs.sparkSession
     languages, prior, log_prob = model
     bits = int(log_prob.shape[1]).bit_length() - 1
-    sent = spark.sparkContext.broadcast((languages, prior, np.ascontiguousarray(log_prob.T)))
+    sent = spark.sparkContext.broadcast((languages, prior, log_prob))
     rows = docs.select(*[c for c in docs.columns if c.lower() not in (out[0].lower(), out[1].lower())])
     place = [c.lower() for c in rows.columns].index(text.lower())
 
@@ -120,8 +122,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
             n = len(texts)
             best, share = np.full(n, len(names)), np.zeros(n)
             if names:
-                # One sum per language over the grams that the texts hold.
-                like = np.stack([np.bincount(owner, table_[grams, k], n) for k in range(len(names))], 1) + start
+                # One sum per language over the grams that the texts hold: first over each run of one text's grams.
+                runs = np.flatnonzero(np.diff(owner, prepend=-1))
+                like = np.stack([np.bincount(owner[runs], np.add.reduceat(row.take(grams), runs), n) if len(runs) else np.zeros(n)
+                                 for row in table_], 1) + start
                 best = np.where(known, like.argmax(1), best)
                 share = np.where(known, 1 / np.exp(like - like.max(1, keepdims=True)).sum(1), 0.0)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[best], pa.string()), pa.array(share)], [*rows_names, *out])
