@@ -152,24 +152,35 @@ def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
     range (of the first range, for the last one) is in a range once more with ``last`` set.
 
     Ranges have about as many rows; their bounds come from quantiles of the ids, and one row
-    per range is looked up to know which are first. Rows with one id stay in one range."""
+    per range tells which ids are first. Rows with one id stay in one range."""
     ids = docs.select("doc_id").filter("doc_id is not null")
-    bounds = sorted(set(ids.stat.approxQuantile("doc_id", [i / partitions for i in range(1, partitions)], 0.001))) if partitions > 1 else []
-    # Range 0 has the largest ids; a null id comes after all others.
-    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: F.col("doc_id") <= b)) if bounds else F.lit(0)
-    part = F.coalesce(above, F.lit(len(bounds)))
-    firsts = {r["part"]: (r["first"], r["known"]) for r in docs.select("doc_id", part.alias("part")).groupBy("part").agg(
-        F.max("doc_id").alias("first"), F.count("doc_id").alias("known")).collect()}
+    quantiles = [i / partitions for i in range(1, partitions)]
+    bounds = np.array(sorted(set(ids.stat.approxQuantile("doc_id", quantiles, 0.001) if quantiles else [])))
+
+    def ranges(ids: pa.Array) -> np.ndarray:
+        """Range 0 has the largest ids; null ids come after all others."""
+        part = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy())
+        return np.where(ids.is_valid().to_numpy(zero_copy_only=False), part, len(bounds)).astype(np.int32)
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.array(ranges(batch.column("doc_id")))
+            yield pa.RecordBatch.from_arrays([part, batch.column("doc_id")], ["part", "doc_id"])
+    firsts = {r["part"]: r["first"] for r in docs.select("doc_id").mapInArrow(largest, "part int, doc_id long")
+              .groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
     order = sorted(firsts)
-    spark = docs.sparkSession
-    # The range before each range, by the first id of the latter.
-    before = [(order[i - 1], p, firsts[p][0]) for i, p in enumerate(order)]
-    heads = spark.createDataFrame(before, "before int, part int, first long")
-    at = docs.withColumn("part", part).join(F.broadcast(heads), "part", "left")
-    halo = F.col("doc_id").eqNullSafe(F.col("first"))
-    copies = F.when(halo, F.array(F.struct(F.col("part"), F.lit(False).alias("last")), F.struct(F.col("before").alias("part"), F.lit(True).alias("last")))).otherwise(
-        F.array(F.struct(F.col("part"), F.lit(False).alias("last"))))
-    return at.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.part", "c.last", "doc_id", "text")
+    # Each range's first id, and the range that comes before it.
+    before = {p: order[i - 1] for i, p in enumerate(order)}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            part, ids = ranges(batch.column("doc_id")), batch.column("doc_id").to_pylist()
+            heads = [i for i, (p, d) in enumerate(zip(part.tolist(), ids)) if firsts[p] == d]
+            for rows, where, last in ((batch, part, False), (batch.take(pa.array(heads, pa.int64())), [before[part[i]] for i in heads], True)):
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(np.full(len(where), last)),
+                                                  rows.column("doc_id"), rows.column("text")], ["part", "last", "doc_id", "text"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        place, "part int, last boolean, doc_id long, text string")
 
 
 def fingerprint_edits(docs: DataFrame, partitions: int) -> DataFrame:
