@@ -239,7 +239,9 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         spare = swept.filter("place is not null and seq is not null").select("seq", "gap", "part", "place")
         state = scratch.cut(
             swept.filter("item is not null and seq is not null").select("item", "need", "seq", "gap")
-            .unionByName(aimed.join(spare, ["part", "place"], "full").select("item", "need", "seq", "gap")))
+            .unionByName(aimed.filter("part is not null").join(spare, ["part", "place"], "full").select("item", "need", "seq", "gap"))
+            # Items that no gap holds have no key to meet on.
+            .unionByName(aimed.filter("part is null").select("item", "need", none_long.alias("seq"), none_int.alias("gap"))))
         scratch.drop(swept)
     result = done[0]
     for d in done[1:]:
