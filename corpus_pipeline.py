@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no row has a language to learn from, only texts without a letter go."""
     model = fit(docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("lang", "text"))
-    if not model[0]:
+    if not model:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = fresh(docs, "_lang_pred", "_score")
     sure = (F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from estatelens.llm import ann, fingerprint
 from estatelens.llm.ann import nearest
 from estatelens.llm.fingerprint import edited_text, fingerprint_edits, likeness, paragraph_keys
-from estatelens.llm.language_id import hashed_grams, identify
+from estatelens.llm.language_id import fit, hashed_grams, held_out, identify, predict
 from estatelens.llm.textvec import word_hashes
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,6 +47,30 @@ def test_language_of_nothing(spark):
     assert unlabelled.count() == 1 and identify(unlabelled).first()["lang_pred"] == "und"
 
 
+def test_every_language_is_learned(spark):
+    # 300 languages, each with letters of its own; the last ones have fewest rows, so the 256 with most rows leave them out.
+    word = lambda i: "".join(chr(0x4E00 + 3 * i + j) for j in range(3))
+    rows = [(i * 10 + n, f"{word(i)} {word(i)}", f"l{i:03d}") for i in range(300) for n in range(8 if i < 256 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = {r["lang"] for r in docs.filter(~held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert len(learned) == 300
+    got = {r["doc_id"]: r for r in identify(docs).collect()}
+    assert len(got) == len(rows)
+    assert [d for d, _, lang in rows if got[d]["lang_pred"] != lang] == []
+
+
+def test_blocks_of_languages_give_one_result(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("text"), "lang")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "12 %", None), (-3, "twin", "aa"), (-3, "twin", "zz"), (-4, "twin", None)], docs.schema)
+    docs = docs.unionAll(odd)
+    whole = sorted(predict(docs, fit(docs)).collect(), key=str)
+    assert len(fit(docs, block_languages=2)) == 3
+    for size in (1, 2, 5):
+        parts = sorted(predict(docs, fit(docs, block_languages=size)).collect(), key=str)
+        assert [r[:-1] for r in parts] == [r[:-1] for r in whole]
+        assert [r["score"] for r in parts] == pytest.approx([r["score"] for r in whole], rel=1e-9)
+
+
 def test_grams_stay_within_texts():
     whole = [hashed_grams([t], 15)[0] for t in ("abc", "d1", "", "é")]
     grams, owner, has = hashed_grams(["abc", "d1", "", "é"], 15)
