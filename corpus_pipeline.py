@@ -10,26 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import Scratch, fresh, table
-from estatelens.llm.language_id import UNKNOWN, fit, held_out, predict
+from estatelens.llm.language_id import fit, held_out, predict
 from estatelens.llm.mixing import mix, word_count
 from estatelens.llm.ngram_join import ngram_join
 from estatelens.llm.packing import pack
 from estatelens.llm.secret_scan import redact
 
-# Documents whose language is less sure than this are rejected.
-MIN_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or whose language is unsure, go.
-
-    Where no row has a language to learn from, only texts without a letter go."""
+    """Documents with a language; only those without a letter go, however unsure the language is."""
     model = fit(docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("lang", "text"))
     if not model:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score = fresh(docs, "_lang_pred", "_score")
-    sure = (F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE)
-    return predict(docs, model, out=(lang, score)).filter(sure).select(*docs.columns)
+    # A posterior is 0 for texts without a letter only; "und" may also be a label that rows have.
+    return predict(docs, model, out=(lang, score)).filter(F.col(score) > 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

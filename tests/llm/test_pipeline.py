@@ -37,6 +37,13 @@ def test_language_stage_keeps_all_with_letters(stages):
     assert rows_of(after) == rows_of(before.filter(F.col("text").rlike(r"\p{L}")))
 
 
+def test_unsure_languages_stay(spark):
+    # Four labels share the same words, so each has a posterior of about a quarter; "und" is a label like others.
+    rows = [(i, "the cat and the dog", ("en", "en-GB", "en-US", "und")[i % 4]) for i in range(200)] + [(1000, "der Hund", None), (1001, "12 %", "en"), (1002, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert rows_of(P.language_id(spark, docs, SMALL)) == rows_of(docs.filter("doc_id <= 1000"))
+
+
 def test_one_document_of_each_group_stays(stages):
     _, before, after = stages[1]
     rows = before.select("doc_id", "text").collect()
