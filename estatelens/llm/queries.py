@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from estatelens.llm.ann import op3_nearest
+from estatelens.llm.byte_bpe import op13_byte_bpe
 from estatelens.llm.chat_format import OP8_SQL, op8_chat_format
 from estatelens.llm.fingerprint import op5_fingerprint
 from estatelens.llm.language_id import op9_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES = {
