@@ -4,9 +4,9 @@ Given a total order, the previous observation of a listing is the next one in a
 window that runs from the newest to the oldest, and so is the recency number: one
 descending window, one sort.
 
-The full history cuts a listing with very many observations into time ranges, so that
-no task sorts a whole hot id: windows run within (id, range), and the count and newest row
-of each range, a few rows per hot id, link the ranges.
+The full history cuts a listing with very many observations into ranges of about equal row
+counts, so that no task sorts a whole hot id: windows run within (id, range), and the count
+and newest row of each range, a few rows per hot id, link the ranges.
 
 ``latest_changes`` needs only the two newest observations of each id. Filtering
 ``row_number <= 2`` lets Catalyst plan a partial ``WindowGroupLimit`` *before* the
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from estatelens.operators.filters import area_predicate, positive_price, with_timestamp
 from estatelens.operators.order import TIME_TIEBREAK
+from estatelens.operators.ranges import cut_ranges
 from estatelens.sources.schema import ATTRIBUTE_COLUMNS, require_columns
 
 CHANGE_COLUMNS = ["current_updated_at", "prev_updated_at", "prev_price", "pct_change", "absolute_change"]
@@ -44,31 +45,27 @@ def absolute_change(current: Column, prev: Column) -> Column:
     return F.when(prev.isNotNull(), current - prev)
 
 
-# Observations of one id that one task sorts; an id with more is cut into time ranges.
+# Observations of one id that one task sorts, about; an id with more is cut into ranges.
 SPLIT_ROWS = 2_000_000
 
 
 def _lined_up(valid: DataFrame, keep, tiebreak=TIME_TIEBREAK, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``id`` and ``keep`` of ``valid`` with ``prev_price``, ``prev_updated_at`` and ``rn``.
 
-    Ids with more than ``split_rows`` observations get ``ceil(n / split_rows)`` equal ranges of
-    time. The tables of such ids and of their ranges have at most two rows per
-    ``split_rows`` observations; that bound is what makes it safe to broadcast them."""
-    small = split_rows >= 1_000_000
-    hint = F.broadcast if small else (lambda df: df)
-    seconds = F.unix_timestamp(F.col("updated_at").cast("timestamp"))
-    hot = (valid.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(seconds).alias("_from"), F.max(seconds).alias("_to"))
-           .filter(F.col("_n") > split_rows)
-           .select("id", "_from", (F.col("_to") - F.col("_from") + 1).alias("_span"), F.ceil(F.col("_n") / split_rows).alias("_ranges")))
-    at = F.floor((seconds - F.col("_from")) * F.col("_ranges") / F.col("_span"))
-    cut = valid.join(hint(hot), "id", "left").withColumn("_range", F.coalesce(at, F.lit(-1))).drop("_from", "_span", "_ranges")
+    Ids with more than about ``split_rows`` observations are cut into ranges of about so many rows by
+    quantiles of the whole order, so neither a crowded day nor a shared second makes one large. The tables
+    of bounds and of ranges have a row for every ``split_rows`` observations; that is what makes
+    it safe to broadcast them."""
+    hint = F.broadcast if split_rows >= 1_000_000 else (lambda df: df)
+    key = F.struct("updated_at", *tiebreak, *([] if "price" in tiebreak else ["price"]))
+    cut = cut_ranges(valid, "id", key, split_rows)
     order = [F.col("updated_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in tiebreak]]
     w = Window.partitionBy("id", "_range").orderBy(*order)
     inside = cut.select("id", "_range", *keep, F.lead("price").over(w).alias("_prev_price"),
                         F.lead("updated_at").over(w).alias("_prev_time"), F.row_number().over(w).alias("_rn"),
                         F.lead(F.lit(1)).over(w).isNull().alias("_oldest"))
-    ranges = cut.filter("_range >= 0").groupBy("id", "_range").agg(
-        F.count(F.lit(1)).alias("_rows"), F.max(F.struct("updated_at", *tiebreak, *([] if "price" in tiebreak else ["price"]))).alias("_newest"))
+    ranges = cut_ranges(valid, "id", key, split_rows, large_only=True).groupBy("id", "_range").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(key).alias("_newest"))
     newer = Window.partitionBy("id").orderBy(F.col("_range").desc())
     links = ranges.select("id", "_range", F.coalesce(F.sum("_rows").over(newer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
                           F.lead("_newest").over(newer).alias("_next"))

@@ -1,11 +1,13 @@
-"""The price history with ids cut into time ranges equals plain lines per id."""
+"""The price history with ids cut into ranges equals plain lines per id."""
 
 import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from estatelens.operators.changes import latest_changes, price_changes, price_history
+from estatelens.operators.ranges import cut_ranges
 from estatelens.sources.schema import LISTING_SCHEMA
 
 
@@ -61,3 +63,53 @@ def test_fan_out_join_can_be_split(spark, listings):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     join = plan[plan.index("SortMergeJoin"):]
     assert "hashpartitioning(_changed" in join
+
+
+def test_hot_id_within_one_second(spark):
+    """Observations that share their second are told apart by the rest of the order."""
+    rng = random.Random(5)
+    rows = [(1, "t", float(rng.randint(1, 9)), 1, 30.0, "A", "u", dt.datetime(2024, 1, 1, 12), None, rng.randint(0, 400), n % 3) for n in range(500)]
+    hot = spark.createDataFrame(rows, LISTING_SCHEMA)
+    cols = ["id", "price", "updated_at", "seq1", "seq2", "prev_price", "prev_updated_at", "rn"]
+    got = price_history(hot, split_rows=25).select(*cols)
+    assert sorted(map(tuple, got.collect()), key=repr) == lines(hot)
+    key = F.struct("updated_at", "seq1", "seq2", "price")
+    sizes = [r["count"] for r in cut_ranges(hot, "id", key, 25).groupBy("_range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 50
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/Berlin", "UTC"])
+def test_clock_changes_do_not_reorder(spark, zone):
+    """Zoneless times around a change of clocks in the session's time zone are compared as they are."""
+    rows = []
+    for day in (dt.datetime(2024, 3, 10), dt.datetime(2024, 3, 31), dt.datetime(2024, 10, 27), dt.datetime(2024, 11, 3)):
+        rows += [(1, "t", 10.0 + n, 1, 30.0, "A", "u", day + dt.timedelta(minutes=15 * n), None, 0, 0) for n in range(20)]
+    hot = spark.createDataFrame(rows, LISTING_SCHEMA)
+    cols = ["id", "price", "updated_at", "seq1", "seq2", "prev_price", "prev_updated_at", "rn"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for split_rows in (1, 9):
+            got = price_history(hot, split_rows=split_rows).select(*cols)
+            assert sorted(map(tuple, got.collect()), key=repr) == lines(hot)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_ranges_of_keys_with_nulls_and_repeats(spark):
+    """Ranges follow the order, equal keys share one, small and null groups aren't cut."""
+    rng = random.Random(9)
+    rows = [("a", None if n % 11 == 0 else rng.randint(0, 90)) for n in range(400)] + [("b", 1), ("b", 2)] + [(None, n) for n in range(300)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    out = cut_ranges(df, "g", F.struct("k"), 30)
+    got = out.collect()
+    assert sorted(((r.g, r.k) for r in got), key=repr) == sorted(rows, key=repr)
+    assert {r._range for r in got if r.g != "a"} == {-1}
+    by = {}
+    for r in got:
+        if r.g == "a":
+            by.setdefault(-1 if r.k is None else r.k, set()).add(r._range)
+    assert all(len(v) == 1 for v in by.values())
+    order = [min(by[k]) for k in sorted(by)]
+    assert order == sorted(order) and len(set(order)) > 1
+    assert {r.g for r in cut_ranges(df, "g", F.struct("k"), 30, large_only=True).collect()} == {"a"}
