@@ -10,8 +10,10 @@ from estatelens.llm.language_id import op9_language_id
 from estatelens.llm.mixing import OP10_SQL, op10_mixing
 from estatelens.llm.ngram_join import OP2_SQL, op2_ngram_join
 from estatelens.llm.packing import op1_packing
+from estatelens.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from estatelens.llm.secret_scan import OP7_SQL, op7_secret_scan
 from estatelens.llm.sharding import op6_sharding
+from estatelens.llm.spelling import OP12_SQL, op12_spelling
 from estatelens.llm.url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -34,4 +38,6 @@ ORACLES = {
     "op7_secret_scan": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_spelling": OP12_SQL,
 }
