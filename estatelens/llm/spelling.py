@@ -21,6 +21,7 @@ LETTERS = "a-zÀ-ÿ"
 MIN_LENGTH, MIN_COUNT, RATIO, SLIP = 6, 5, 5, 199
 # Letters are hashed to so many symbols: more of them make larger neighbourhoods with fewer false candidates.
 SYMBOLS = 8
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 # Words up to this length meet by neighbourhoods, whose size is the length times twice the symbols; two longer
 # words meet by halves.
 LONG = 40
@@ -72,14 +73,16 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
 
 def reduced(word: Column, symbols: int = SYMBOLS) -> Column:
-    """``word`` with every code point hashed to one of ``symbols`` digits."""
-    points = F.split(word, "")
-    return F.array_join(F.transform(points, lambda c: (F.xxhash64(c).bitwiseAND(F.lit(1023)) % symbols).cast("string")), "")
+    """``word`` with every code point hashed to one of the first ``symbols`` (at most 36) of ``DIGITS``."""
+    if not 1 <= symbols <= len(DIGITS):
+        raise ValueError(f"symbols must be from 1 to {len(DIGITS)}")
+    digit = lambda c: F.substr(F.lit(DIGITS), (F.xxhash64(c).bitwiseAND(F.lit(1023)) % symbols + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.split(word, ""), digit), "")
 
 
 def neighbourhood(form: Column, symbols: int = SYMBOLS) -> Column:
     """All strings over the digits that ``form`` becomes by at most one deletion, replacement or insertion, each once."""
-    digits = F.array(*[F.lit(str(d)) for d in range(symbols)])
+    digits = F.array(*[F.lit(d) for d in DIGITS[:symbols]])
     head, tail = (lambda i: F.substr(form, F.lit(1), i)), (lambda i: F.substr(form, i))
     places = F.sequence(F.lit(1), F.length(form))
     deleted = F.transform(places, lambda i: F.concat(head(i - 1), tail(i + 1)))
