@@ -25,6 +25,8 @@ RULES = [
 BASE = ("assign", "access", "hex")
 # Parts of a regex that would multiply its alternatives beyond this count as parts that may be anything.
 MAX_ALTERNATIVES = 64
+# Bits of one mask, of trigrams or rules; more of them take more masks.
+BITS = 62
 
 
 def mandatory_strings(pattern: str) -> list[list[str]]:
@@ -91,26 +93,33 @@ def spans_of(text: Column, pattern: str, group: int, least: int, kind: str, rank
 
 
 def candidates(texts: DataFrame, rules: list[tuple]) -> DataFrame:
-    """``(_key, _rules)``: the distinct texts of ``texts`` (``_key``, ``_text``) that a rule's Boolean query admits;
-    bit r of ``_rules`` stands for rule r.
+    """``_key`` and the masks ``_rules0``, ``_rules1``, ... of the distinct texts of ``texts`` (``_key``, ``_text``) that a rule's
+    Boolean query admits; bit b of mask m stands for rule ``BITS`` * m + b.
 
     Postings are (trigram, text) for the trigrams of the rules alone, so the index is bounded by rules
     times texts. A text passes an alternative when it is in the postings of all its trigrams."""
     spark = texts.sparkSession
     clauses = [(g, i, r, c, len(clause)) for r, (_, pattern, _, _) in enumerate(rules)
                for c, clause in enumerate(trigram_query(pattern)) for i, g in enumerate(clause)]
+    masks = [f"_rules{m}" for m in range(-(-len(rules) // BITS))]
     if not clauses:
-        return spark.createDataFrame([], "_key string, _rules long")
+        return spark.createDataFrame([], ", ".join(["_key string", *[f"{m} long" for m in masks]]))
     vocabulary = F.array(*[F.lit(g) for g in sorted({c[0] for c in clauses})])
     # The one-element array binds the lower-cased text once.
     held = F.transform(F.array(F.lower("_text")), lambda low: F.filter(vocabulary, lambda g: F.contains(low, g)))[0]
     postings = texts.select("_key", F.explode(held).alias("gram"))
     query = spark.createDataFrame(clauses, "gram string, at int, rule int, clause int, need int")  # as long as the rule list
-    # One posting of a trigram per text, also where texts repeat: bits of the alternative's trigrams, not counts.
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))
-    met = (postings.join(F.broadcast(query), "gram").groupBy("_key", "rule", "clause", "need").agg(F.bit_count(F.bit_or(bit)).alias("n")))
-    return (met.filter(F.col("n") == F.col("need"))
-            .groupBy("_key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule"))).alias("_rules")))
+
+    def bits(number: str, of: int) -> Column:
+        """The bit of ``number`` in mask ``of``, null where it is in another."""
+        return F.when(F.floor(F.col(number) / BITS) == of, F.call_function("shiftleft", F.lit(1).cast("long"), F.col(number) % BITS))
+
+    # One posting of a trigram per text, also where texts repeat: bits of the alternative's trigrams, not counts. An
+    # alternative of more trigrams than a mask has bits takes several masks.
+    words = range(-(-max(c[4] for c in clauses) // BITS))
+    met = postings.join(F.broadcast(query), "gram").groupBy("_key", "rule", "clause", "need").agg(*[F.bit_or(bits("at", m)).alias(f"m{m}") for m in words])
+    found = sum((F.coalesce(F.bit_count(f"m{m}"), F.lit(0)) for m in words), F.lit(0))
+    return met.filter(found == F.col("need")).groupBy("_key").agg(*[F.coalesce(F.bit_or(bits("rule", m)), F.lit(0)).alias(name) for m, name in enumerate(masks)])
 
 
 def secret_spans(docs: DataFrame, text: str = "text", rules: list[tuple] = RULES) -> DataFrame:
@@ -122,22 +131,22 @@ def secret_spans(docs: DataFrame, text: str = "text", rules: list[tuple] = RULES
 
     Null and empty texts have no spans. Equal texts are indexed once and get equal spans; repeated
     rows stay; an input column named ``secrets`` is replaced, others are kept. An empty table
-    gives an empty result, an empty rule list gives empty arrays. At most 62 rules."""
+    gives an empty result, an empty rule list gives empty arrays. Rules may be many and their literals long."""
     key, = fresh(docs, "_key")
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "secrets"])
     body = F.coalesce(F.col(text), F.lit(""))
     admitted = candidates(docs.select(F.md5(body).alias("_key"), body.alias("_text")), rules)
-    mask, = fresh(docs, "_rules")
-    admitted = admitted.select(F.col("_key").alias(key), F.col("_rules").alias(mask))
+    masks = fresh(docs, *[c for c in admitted.columns if c != "_key"])
+    admitted = admitted.toDF(key, *masks)
     at = docs.withColumn(key, F.md5(body)).join(admitted, key, "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     parts = [empty]
     for r, (kind, pattern, group, least) in enumerate(rules):
         due = F.col(text).rlike(pattern)
         if trigram_query(pattern):
-            due = (F.coalesce(mask, F.lit(0)).bitwiseAND(1 << r) != 0) & due
+            due = (F.coalesce(masks[r // BITS], F.lit(0)).bitwiseAND(1 << r % BITS) != 0) & due
         parts.append(F.when(due, spans_of(F.col(text), pattern, group, least, kind, r)).otherwise(empty))
-    return at.withColumn("secrets", F.array_sort(F.concat(*parts))).drop(key, mask)
+    return at.withColumn("secrets", F.array_sort(F.concat(*parts))).drop(key, *masks)
 
 
 def redact(docs: DataFrame, text: str = "text", rules: list[tuple] = RULES) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -73,3 +74,27 @@ def test_empty_table_and_rules(spark):
     assert secret_spans(docs).count() == 0
     one = spark.createDataFrame([(1, "password=abcdefg")], "doc_id long, text string")
     assert secret_spans(one, rules=[]).select(F.size("secrets")).first()[0] == 0
+
+
+@pytest.mark.parametrize("length", [48, 64, 65, 70, 200])
+def test_long_literals_are_found(spark, length):
+    """An alternative of more trigrams than a mask has bits loses no match."""
+    letters = random.Random(length)
+    literal = "".join(letters.choice("bcdefghijklmnopqrstuvwxy") for _ in range(length))
+    short = literal[:-1]
+    docs = spark.createDataFrame([(1, f"a {literal} b {literal}"), (2, short), (3, literal.upper()), (4, None)], "doc_id long, text string")
+    rules = [("long", re.escape(literal), 0, 0), ("either", f"(?:{literal}|zzzzz)[0-9]?", 0, 0)]
+    assert length <= 65 or len(trigram_query(literal)[0]) > 62
+    got = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in secret_spans(docs, rules=rules).collect()}
+    spans = [(2, 2 + length), (5 + length, 5 + 2 * length)]
+    assert got == {1: [(a, k, kind, b) for a, b in spans for k, kind in enumerate(("long", "either"))], 2: [], 3: [], 4: []}
+
+
+def test_many_rules(spark):
+    """More rules than a mask has bits: each finds what a plain regex finds."""
+    rules = [(f"r{i}", f"key{i:03d}-[a-z]{{2,}}" if i % 10 else f"[{i % 9}]{{4,}}", 0, 0) for i in range(150)]
+    texts = [f"key{i:03d}-abc key{(i * 7) % 150:03d}-zz {str(i % 9) * 5}" for i in range(0, 150, 3)] + ["", "key0 key000 key001-"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in secret_spans(docs, rules=rules).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sorted((m.start(), r, kind, m.end()) for r, (kind, p, _, _) in enumerate(rules) for m in re.finditer(p, t))
