@@ -55,8 +55,9 @@ def signed_pct(c, up: str = "▲", down: str = "▼") -> Column:
 
 
 def date_text(c, pattern: str = "dd.MM.yyyy") -> Column:
-    """``05.03.2024``."""
-    return F.date_format(_c(c), pattern)
+    """``05.03.2024``; a text that is no date prints as it is, as any other value does."""
+    text = _c(c).cast("string")
+    return F.coalesce(F.date_format(text.try_cast("timestamp_ntz"), pattern), text)
 
 
 def html_escape(c) -> Column:

@@ -22,7 +22,7 @@ from estatelens.operators.geo import centroid, geocode, markers
 from estatelens.operators.topk import cheapest, mover_locations, price_movers
 from estatelens.plans import oracle as O
 from estatelens.plans.reports import formatted_table, report_messages
-from estatelens.sources import listings_from_testdata, read_documents, read_pages
+from estatelens.sources import conform, conform_losses, listings_from_testdata, read_documents, read_pages, untyped_listings_from_testdata
 
 SMALL = (0.0, 40.0)
 MEDIUM = (40.0, 60.0)
@@ -59,11 +59,9 @@ def _doc_messages(spark, sf):
 
 
 def _unbroken_documents(spark, sf):
-    """Documents of which a third has no white space left, and a third of those at most 3,000 characters: chunks
-    that can't be cut, messages over the limit, and texts of exactly the chunk length."""
-    joined = F.regexp_replace("text", r"[ \n\r\t]+", "")
-    text = F.when(F.col("doc_id") % 3 == 0, joined).when(F.col("doc_id") % 3 == 1, F.substring(joined, 1, 3000)).otherwise(F.col("text"))
-    return read_documents(spark, sf).select("doc_id", text.alias("text"))
+    """Every whole document without its white space: nothing to cut at, so chunks are runs of any length
+    and messages go over the limit."""
+    return read_documents(spark, sf).select("doc_id", F.regexp_replace("text", r"[ \n\r\t]+", "").alias("text"))
 
 
 def _unbroken_messages(spark, sf):
@@ -132,6 +130,8 @@ def _first_observations(L):
 
 QUERIES: dict[str, Query] = {
     "listings": lambda s, sf: _listings(s, sf),
+    "conformed_listings": lambda s, sf: conform(untyped_listings_from_testdata(s, sf)),
+    "conform_losses": lambda s, sf: conform_losses(untyped_listings_from_testdata(s, sf)),
     "area_band_small": lambda s, sf: flt.area_band(flt.positive_price(_listings(s, sf)), *SMALL),
     "area_band_medium": lambda s, sf: flt.area_band(flt.positive_price(_listings(s, sf)), *MEDIUM),
     "area_ceiling": lambda s, sf: flt.area_band(flt.positive_price(_listings(s, sf)), None, 40.0),
@@ -139,7 +139,7 @@ QUERIES: dict[str, Query] = {
         flt.area_band(flt.positive_price(_listings(s, sf)), *SMALL), 1000).select(
             "id", "title", "price", "rooms", "area", "location", "property_url", "updated_at"),
     "price_history": lambda s, sf: ch.price_history(_listings(s, sf)),
-    # Ids of over 20 observations cut into time ranges, as very hot ids are at scale.
+    # Ids of over about 20 observations cut into ranges, as very hot ids are at scale.
     "price_history_balanced": lambda s, sf: ch.price_history(_listings(s, sf), split_rows=20),
     "latest_changes": lambda s, sf: ch.latest_changes(_listings(s, sf), method="top2"),
     "latest_changes_window": lambda s, sf: ch.latest_changes(_listings(s, sf), method="window"),
@@ -220,6 +220,24 @@ def _oracles() -> dict[str, str]:
         "price_history": W(L + [O.HISTORY], "SELECT * FROM price_history"),
         "latest_changes": W(L + [O.NEWEST_TWO], "SELECT * EXCLUDE (now) FROM moved"),
     }
+    out["conformed_listings"] = W(L, """SELECT id, CASE WHEN seq1 % 23 <> 0 THEN title END AS title, CASE WHEN seq1 % 17 <> 0 THEN price END AS price,
+        rooms, area, location, property_url, CASE WHEN seq1 % 19 <> 0 THEN updated_at END AS updated_at, CAST(NULL AS VARCHAR) AS geography, seq1, seq2
+        FROM listings""")
+    readings = (("id", "string", "bigint", "by_row", "id IS NOT NULL", "false", "false"),
+                ("title", "binary", "string", "by_row", "title IS NOT NULL OR seq1 % 23 = 0", "seq1 % 23 = 0", "false"),
+                ("price", "string", "double", "by_row", "price IS NOT NULL", "price IS NOT NULL AND seq1 % 17 = 0", "false"),
+                ("rooms", "decimal(6,2)", "int", "by_row", "rooms IS NOT NULL", "false", "rooms IS NOT NULL AND seq1 % 5 = 0"),
+                ("area", "float", "double", "lossless", "area IS NOT NULL", "false", "false"),
+                ("location", "string", "string", "same", "location IS NOT NULL", "false", "false"),
+                ("property_url", "string", "string", "same", "property_url IS NOT NULL", "false", "false"),
+                ("updated_at", "string", "timestamp_ntz", "by_row", "updated_at IS NOT NULL OR seq1 % 19 = 0", "seq1 % 19 = 0", "false"),
+                ("geography", None, "string", "absent", "false", "false", "false"),
+                ("seq1", "double", "bigint", "by_row", "seq1 IS NOT NULL", "false", "false"),
+                ("seq2", "string", "int", "by_row", "seq2 IS NOT NULL", "false", "seq2 IS NOT NULL AND seq1 % 3 = 0"))
+    out["conform_losses"] = W(L, " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {"CAST(NULL AS VARCHAR)" if s is None else f"'{s}'"} AS source_type, '{t}' AS target_type, '{k}' AS kind,
+        count(*) FILTER (WHERE {n}) AS n_values, count(*) FILTER (WHERE {lost}) AS n_lost, count(*) FILTER (WHERE {changed}) AS n_changed FROM listings"""
+        for c, s, t, k, n, lost, changed in readings))
     out["latest_changes_window"] = out["latest_changes"]
     out["price_history_balanced"] = out["price_history"]
     for name, match, b in (("price_changes_all_small", "all", SMALL), ("price_changes_all_medium", "all", MEDIUM),
@@ -313,8 +331,7 @@ def _oracles() -> dict[str, str]:
     out["chunk_documents_arrow"] = out["chunk_documents"]
     mchunks = O.chunk_ctes(f"SELECT doc_id, {O.sanitize('text')} AS text FROM documents", "doc_id", "text", 3000)
     out["messages"] = W(mchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
-    joined = "regexp_replace(text, '[ \\n\\r\\t]+', '', 'g')"
-    unbroken = f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {joined} WHEN 1 THEN substring({joined}, 1, 3000) ELSE text END AS text FROM documents"""
+    unbroken = "SELECT doc_id, regexp_replace(text, '[ \\n\\r\\t]+', '', 'g') AS text FROM documents"
     uchunks = O.chunk_ctes(unbroken, "doc_id", "text", 3000)
     out["chunk_unbroken"] = W(uchunks, """SELECT doc_id, part, n_parts, chunk,
         CAST(length(chunk) AS INTEGER) AS n_chars FROM chunks""")

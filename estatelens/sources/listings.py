@@ -1,7 +1,7 @@
 """Listings source.
 
 ``read_listings`` reads any Spark source (parquet, a JDBC table read in parallel
-on a numeric partition column, ...) and conforms it to ``LISTING_SCHEMA``.
+on a numeric partition column, ...) and conforms it to ``LISTING_SCHEMA`` (``conform``).
 ``listings_from_testdata`` derives the same table from the driver's TPC-H-style
 tables (mapping in FIXTURES.md section 2): one observation per lineitem row.
 """
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.sources.schema import LISTING_SCHEMA, REQUIRED_FOR_CHANGES, require_columns
+from estatelens.sources.typed import conform
+from estatelens.sources.schema import REQUIRED_FOR_CHANGES
 from estatelens.sources.text import read_table
 
 # Fixed values of the test-data mapping (FIXTURES.md section 2).
@@ -20,26 +21,6 @@ GEO_LAT_LABEL = "Широта: "
 GEO_LON_LABEL = "Долгота: "
 
 
-def conform(df: DataFrame, required=REQUIRED_FOR_CHANGES) -> DataFrame:
-    """Project ``df`` onto ``LISTING_SCHEMA``. Columns in ``required`` must exist (an
-    error names those that don't); other absent ones become typed nulls. A value that
-    can't be read as its column's type becomes null (text rooms, a malformed date), but
-    an ``id`` that can't be read is an error."""
-    require_columns(df, required)
-    cols = []
-    for field in LISTING_SCHEMA.fields:
-        if field.name not in df.columns:
-            value = F.lit(None).cast(field.dataType)
-        elif dict(df.dtypes)[field.name] == field.dataType.simpleString():
-            value = F.col(field.name)
-        elif field.name == "id":
-            value = F.col(field.name).cast(field.dataType)
-        else:
-            value = F.col(field.name).cast("string").try_cast(field.dataType)
-        cols.append(value.alias(field.name))
-    return df.select(*cols)
-
-
 def read_listings(spark: SparkSession, fmt: str = "parquet", path: str | None = None,
                   options: dict | None = None, required=REQUIRED_FOR_CHANGES) -> DataFrame:
     """Read listings from any source; ``required`` names the columns that must exist. For JDBC pass ``url``, ``dbtable`` and, to
@@ -132,3 +113,18 @@ def listings_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("seq1"),
         F.col("l_linenumber").alias("seq2"),
     )
+
+
+def untyped_listings_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same listings as other systems deliver them: numbers as texts, decimals or doubles, dates as texts, titles as bytes,
+    no geography; some values of each that can't be read or don't fit."""
+    ok = F.col("seq1")
+    return listings_from_testdata(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(ok % 23 == 0, F.unhex(F.lit("FF"))).otherwise(F.col("title").cast("binary")).alias("title"),
+        F.concat(F.when(ok % 17 == 0, "AED ").otherwise(" "), F.col("price").cast("string"), F.lit(" ")).alias("price"),
+        (F.col("rooms") + F.when(ok % 5 == 0, 0.75).otherwise(0.0)).cast("decimal(6,2)").alias("rooms"),
+        F.col("area").cast("float").alias("area"), "location", "property_url",
+        F.when(ok % 19 == 0, "soon").otherwise(F.col("updated_at").cast("string")).alias("updated_at"),
+        ok.cast("double").alias("seq1"),
+        F.concat(F.col("seq2").cast("string"), F.when(ok % 3 == 0, ".9").otherwise(".0")).alias("seq2"))

@@ -153,6 +153,8 @@ def test_signed_pct_and_date(spark):
     assert collect(df, fmt.signed_pct("v")) == ["▲ +3.46%", "▼ -2.10%", "▼ 0.00%"]
     df = one_col(spark, [dt.datetime(2024, 3, 5, 1, 2, 3)], "timestamp_ntz")
     assert collect(df, fmt.date_text("v")) == ["05.03.2024"]
+    df = one_col(spark, ["2024-03-05 01:02:03", "soon", "", None], "string")
+    assert collect(df, fmt.date_text("v")) == ["05.03.2024", "soon", "", None]
 
 
 def test_html_escape_and_link(spark):
@@ -192,3 +194,12 @@ def test_geography_property_batch(spark):
         if a is not None:
             parts = text.replace("Широта: ", "").replace(" Долгота: ", "").split(",")
             assert len(parts) == 2 and (float(parts[0].strip()), float(parts[1].strip())) == (a, b)
+
+
+def test_texts_of_about_the_chunk_length(spark):
+    """A run of exactly the length first closes an empty chunk; longer ones stay whole."""
+    texts = ["x" * n for n in (2998, 2999, 3000, 3001, 9000)] + ["x" * 3000 + " y", "y " + "x" * 3000]
+    df = one_col(spark, texts, "string")
+    got = collect(df, pack_chunks("v", 3000))
+    assert got == [pyref.chunks(t, 3000) for t in texts]
+    assert got[1] == ["x" * 2999] and got[2] == ["", "x" * 3000]

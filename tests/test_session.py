@@ -41,3 +41,15 @@ def test_cluster_uses_configured_dir():
 
 def test_local_gets_scratch_dir():
     assert ensure_checkpoint_dir(_Session("local[4]"))
+
+
+def test_entry_without_what_the_corpus_queries_need(monkeypatch):
+    """A missing library or folder costs the corpus queries only."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for module in [m for m in sys.modules if m.startswith("estatelens.llm")]:
+        monkeypatch.delitem(sys.modules, module)
+    monkeypatch.setitem(sys.modules, "estatelens.llm", None)
+    assert set(entry.queries()) == set(entry.QUERIES) and set(entry.oracle_sql()) == set(entry.ORACLES)

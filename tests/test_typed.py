@@ -1,0 +1,124 @@
+"""Typed conformance: what each source type becomes, and the counts of what is lost."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from estatelens.functions.fmt import int_or_zero
+from estatelens.sources import LISTING_SCHEMA, conform, conform_losses, kind_of, losses_of, probe, require_readable
+
+ALL = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.DecimalType(6, 2), T.DecimalType(9, 0), T.DecimalType(30, 0),
+       T.StringType(), T.BinaryType(), T.BooleanType(), T.DateType(), T.TimestampType(), T.TimestampNTZType(), T.NullType(), T.ArrayType(T.IntegerType()),
+       T.StructType([T.StructField("x", T.IntegerType())])]
+
+
+def listing(spark, name, values, kind):
+    """Listings with one column of an own type."""
+    schema = f"id long, price double, updated_at timestamp_ntz, {name} {kind}" if name not in ("id", "price", "updated_at") else \
+        ", ".join(f"{c} {kind if c == name else t}" for c, t in (("id", "long"), ("price", "double"), ("updated_at", "timestamp_ntz")))
+    base = {"id": 1, "price": 1.0, "updated_at": dt.datetime(2024, 1, 1)}
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple({**base, name: v}[c] for c in columns) for v in values], schema)
+
+
+def read(spark, name, values, kind):
+    df = listing(spark, name, values, kind)
+    counts = {r["column"]: (r.kind, r.n_values, r.n_lost, r.n_changed) for r in conform_losses(df).collect()}
+    return [r[name] for r in conform(df).collect()], counts[name]
+
+
+def test_rooms_are_the_same_whole_numbers_from_every_type(spark):
+    """int(x) truncates, whatever the column's type."""
+    want = [2, 2, -2, 0, None]
+    for kind, values in (("double", [2.0, 2.9, -2.9, 0.5, None]), ("float", [2.0, 2.5, -2.5, 0.5, None]),
+                         ("decimal(10,3)", [Decimal("2.000"), Decimal("2.900"), Decimal("-2.900"), Decimal("0.001"), None]),
+                         ("string", ["2", " 2.9 ", "-2.9", "5e-1", None])):
+        got, (how, n, lost, changed) = read(spark, "rooms", values, kind)
+        assert got == want and (how, n, lost, changed) == ("by_row", 4, 0, 3), kind
+        assert [r[0] for r in conform(listing(spark, "rooms", values, kind)).select(int_or_zero("rooms")).collect()] == [2, 2, -2, 0, 0]
+    for kind in ("tinyint", "smallint", "int", "bigint"):
+        got, counts = read(spark, "rooms", [2, -7, None], kind)
+        assert got == [2, -7, None] and counts[1:] == (2, 0, 0)
+
+
+def test_values_out_of_range_and_no_numbers_are_lost_and_counted(spark):
+    nan, inf = float("nan"), float("inf")
+    assert read(spark, "rooms", [nan, inf, 3e9, 7.0], "double") == ([None, None, None, 7], ("by_row", 4, 3, 0))
+    assert read(spark, "rooms", ["Studio", "", "3000000000", "1e99", "NaN", "7"], "string") == ([None] * 5 + [7], ("by_row", 6, 5, 0))
+    assert read(spark, "rooms", [2**40, 5], "bigint") == ([None, 5], ("by_row", 2, 1, 0))
+    assert read(spark, "rooms", [Decimal(10**15), Decimal(4)], "decimal(20,0)") == ([None, 4], ("by_row", 2, 1, 0))
+    assert read(spark, "seq1", ["9007199254740993", "9007199254740993.0"], "string")[0][0] == 9007199254740993
+    assert read(spark, "seq1", [2.0, 1e19], "double") == ([2, None], ("by_row", 2, 1, 0))
+    assert read(spark, "rooms", [dt.date(2024, 1, 1), None], "date") == ([None, None], ("unreadable", 1, 1, 0))
+
+
+def test_other_columns(spark):
+    assert read(spark, "price", ["12.5", " 1e3 ", "AED 7", "NaN"], "string")[0][:3] == [12.5, 1000.0, None]
+    assert read(spark, "price", [Decimal("12.50")], "decimal(18,2)") == ([12.5], ("by_row", 1, 0, 0))
+    assert read(spark, "title", [b"caf\xc3\xa9", b"\xff", None], "binary") == (["café", None, None], ("by_row", 2, 1, 0))
+    assert read(spark, "title", [7], "int") == (["7"], ("lossless", 1, 0, 0))
+    assert read(spark, "title", [[1]], "array<int>") == ([None], ("unreadable", 1, 1, 0))
+    day = dt.datetime(2024, 3, 5)
+    assert read(spark, "updated_at", ["2024-03-05", "soon", " 2024-03-05 00:00:00 "], "string") == ([day, None, day], ("by_row", 3, 1, 0))
+    assert read(spark, "updated_at", [day.date()], "date") == ([day], ("lossless", 1, 0, 0))
+
+
+def test_losses_are_observed_without_a_pass_of_their_own(spark):
+    df = listing(spark, "rooms", ["2.5", "Studio", None], "string")
+    seen = Observation()
+    rows = conform(df, losses=seen).collect()
+    assert [r.rooms for r in rows] == [2, None, None]
+    counts = losses_of(seen.get)
+    assert counts["rooms"] == (2, 1, 1) and counts["price"] == (3, 0, 0) and "geography" not in counts
+
+
+def test_an_id_that_cannot_be_read_is_an_error(spark):
+    assert [r.id for r in conform(listing(spark, "id", ["7", " 8 "], "string")).collect()] == [7, 8]
+    with pytest.raises(Exception, match="id can't be read as bigint: x1"):
+        conform(listing(spark, "id", ["7", "x1"], "string")).collect()
+
+
+def test_required_columns_must_be_readable(spark):
+    df = listing(spark, "price", [None], "array<double>")
+    with pytest.raises(ValueError, match=r"price \(array<double> as double\)"):
+        require_readable(df)
+    assert require_readable(df, required=["id"]) is df
+    found = {p.column: (p.source_type, p.kind) for p in probe(df)}
+    assert found["price"] == ("array<double>", "unreadable") and found["id"] == ("bigint", "same") and found["title"] == (None, "absent")
+
+
+def test_every_pair_of_types_has_a_kind_and_its_cast_runs(spark):
+    """The kind tells what the cast does: lossless ones lose nothing, unreadable ones everything."""
+    sample = {"tinyint": 1, "smallint": 1, "int": 1, "bigint": 1, "float": 1.0, "double": 1.0, "decimal(6,2)": Decimal("1.00"), "decimal(9,0)": Decimal(1),
+              "decimal(30,0)": Decimal(1), "string": "1", "binary": b"1", "boolean": True, "date": dt.date(2024, 1, 1), "timestamp": dt.datetime(2024, 1, 1),
+              "timestamp_ntz": dt.datetime(2024, 1, 1), "void": None, "array<int>": [1], "struct<x:int>": (1,)}
+    for source in ALL:
+        name = source.simpleString()
+        df = spark.createDataFrame([(sample[name],)], T.StructType([T.StructField(f.name, source) for f in LISTING_SCHEMA.fields if f.name == "rooms"]))
+        target = T.StructType([T.StructField("rooms", t) for t in [T.IntegerType()]])
+        r = conform_losses(df, target).first()
+        assert r.kind == kind_of(source, T.IntegerType())
+        if r.kind in ("same", "lossless"):
+            assert r.n_lost == 0
+        if r.kind == "unreadable":
+            assert r.n_lost == r.n_values
+        for other in ALL:
+            assert kind_of(source, other) in ("same", "lossless", "by_row", "unreadable")
+    assert kind_of(T.LongType(), T.DoubleType()) == "by_row" and kind_of(T.IntegerType(), T.DoubleType()) == "lossless"
+    assert kind_of(T.DecimalType(9, 0), T.IntegerType()) == "lossless" and kind_of(T.DecimalType(10, 0), T.IntegerType()) == "by_row"
+
+
+def test_a_wide_integer_as_a_fraction_is_counted_where_it_is_rounded(spark):
+    df = spark.createDataFrame([(2**53 + 1,), (2**53,), (None,)], "price long")
+    r = conform_losses(df, T.StructType([T.StructField("price", T.DoubleType())])).first()
+    assert (r.kind, r.n_values, r.n_lost, r.n_changed) == ("by_row", 2, 0, 1)
+
+
+def test_no_columns_at_all(spark):
+    df = spark.createDataFrame([(1,)], "other int")
+    assert {(r.kind, r.n_values) for r in conform_losses(df).collect()} == {("absent", 0)}
+    assert conform(df, required=[]).select(F.count("title")).first()[0] == 0
