@@ -54,7 +54,7 @@ class Vocabulary(NamedTuple):
     ranks: dict[bytes, int]
     halves: dict[int, tuple[int, int]]  # what a token was merged from, of tokens of two bytes or more
     shorter: dict[int, int]  # the longest proper prefix of a token that is a token; -1 if none is
-    automaton: ahocorasick.Automaton  # over the tokens, byte for byte as Latin-1
+    automaton: ahocorasick.Automaton  # over the tokens, byte for byte as Latin-1; gives (length less one, rank)
 
 
 def prepare(ranks: dict[bytes, int]) -> Vocabulary:
@@ -73,7 +73,7 @@ def prepare(ranks: dict[bytes, int]) -> Vocabulary:
             if max(halves[rank]) >= rank:
                 raise ValueError(f"token {token!r} ranks before a part that it is merged from")
         own[token] = rank
-        automaton.add_word(token.decode("latin-1"), rank)
+        automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
     automaton.make_automaton()
     shorter = {rank: next((own[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in own), -1) for token, rank in own.items()}
     return Vocabulary(ranks, halves, shorter, automaton)
@@ -93,7 +93,8 @@ class Encoder(dict):
         self.ranks, self.halves, self.shorter, self.automaton = vocabulary
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.size = {r: len(t) for t, r in self.ranks.items()}
-        self.verdicts: dict[tuple[int, int], bool] = {}
+        self.verdicts: dict[int, dict[int, bool]] = {}  # by the left token, then by the right one
+        self.judged = 0
 
     def __missing__(self, piece: str) -> bytes:
         octets = piece.encode("utf-8")
@@ -108,11 +109,12 @@ class Encoder(dict):
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives just these two; remembered."""
-        if (left, right) not in self.verdicts:
-            if len(self.verdicts) >= REMEMBERED:
-                self.verdicts.clear()
-            self.verdicts[left, right] = not self.crossed(left, right)
-        return self.verdicts[left, right]
+        if self.judged >= REMEMBERED:
+            self.verdicts.clear()
+            self.judged = 0
+        self.judged += 1
+        verdict = self.verdicts.setdefault(left, {})[right] = not self.crossed(left, right)
+        return verdict
 
     def crossed(self, left: int, right: int) -> bool:
         """Whether a merge across the border of two tokens comes before one of them is whole.
@@ -137,19 +139,20 @@ class Encoder(dict):
 
     def tokens(self, octets: str) -> list[int]:
         """The ids of a piece, given as Latin-1."""
-        size, shorter, verdicts, end = self.size, self.shorter, self.verdicts, len(octets)
+        size, shorter, end = self.size, self.shorter, len(octets)
         longest = [-1] * end
-        for last, rank in self.automaton.iter(octets):
-            longest[last + 1 - size[rank]] = rank  # ends come in order, so the longest stays
+        for last, (less, rank) in self.automaton.iter(octets):
+            longest[last - less] = rank  # ends come in order, so the longest stays
         dead = bytearray(end + 1)
         out: list[int] = []
         at, token, before = 0, longest[0] if end else -1, -1
         while at < end:
+            known = self.verdicts.get(before, {})
             while token >= 0:
                 if not dead[at + size[token]]:
                     if before < 0:
                         break
-                    fits = verdicts.get((before, token))
+                    fits = known.get(token)
                     if self.compatible(before, token) if fits is None else fits:
                         break
                 token = shorter[token]
@@ -177,11 +180,15 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     spark = docs.sparkSession
     with open(path, "rb") as f:
         # One vocabulary's tables: they don't grow with the rows.
-        vocabulary = spark.sparkContext.broadcast(prepare(read_ranks(f.read()))._asdict())
+        vocabulary = spark.sparkContext.broadcast({"tables": tuple(prepare(read_ranks(f.read())))})
     kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "ids", text.lower())]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(**vocabulary.value))
+        # A Python worker keeps its copy of a broadcast value, so its next tasks find the encoder with what it remembers.
+        mine = vocabulary.value
+        if "encoder" not in mine:
+            mine["encoder"] = Encoder(Vocabulary(*mine["tables"]))
+        encoder = mine["encoder"]
         matches = regex.compile(pattern)
         for part in slices(batches, "text"):
             ids = []

@@ -75,7 +75,7 @@ def test_small_memory_changes_nothing(both, monkeypatch):
     few = Encoder(prepare(ranks))
     text = "Several different words, repeated: several words and different numbers 12 345 6789." * 3
     assert ids_of(few, text) == plain.encode_ordinary(text)
-    assert len(few) <= 3 and len(few.verdicts) <= 3
+    assert len(few) <= 3 and few.judged <= 3
 
 
 def vocabulary(*tokens):
