@@ -20,10 +20,10 @@ def range_bounds(df: DataFrame, group: str, key: Column, rows_per_range: int) ->
     Exactly equal keys count once and are never parted. There is about one bound for every ``rows_per_range`` rows
     of the table, and the sample that is sorted a group is a ``SAMPLES``-th of that distance apart."""
     step = max(1, rows_per_range // SAMPLES)
-    sampled = df.select(F.col(group), key.alias("_key")).filter(F.pmod(F.xxhash64(group, "_key"), F.lit(step)) == 0).distinct()
-    at = F.row_number().over(Window.partitionBy(group).orderBy("_key"))
+    sampled = df.select(F.col(group), key.alias("_place")).filter(F.pmod(F.xxhash64(group, "_place"), F.lit(step)) == 0).distinct()
+    at = F.row_number().over(Window.partitionBy(group).orderBy("_place"))
     return (sampled.withColumn("_at", at).filter(F.col("_at") % max(1, rows_per_range // step) == 0)
-            .groupBy(group).agg(F.array_sort(F.collect_list("_key")).alias("bounds")))
+            .groupBy(group).agg(F.array_sort(F.collect_list("_place")).alias("bounds")))
 
 
 def range_number(bounds: Column, key: Column) -> Column:
@@ -39,14 +39,15 @@ def range_number(bounds: Column, key: Column) -> Column:
     return F.aggregate(rounds, start, halve, lambda span: span["low"])
 
 
-def cut_ranges(df: DataFrame, group: str, key: Column, rows_per_range: int, name: str = "_range", large_only: bool = False) -> DataFrame:
+def cut_ranges(df: DataFrame, group: str, key: Column, rows_per_range: int, name: str = "_range", large_only: bool = False,
+               bounds: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name``: the number of the row's range in its group from 0, and -1 throughout a group that isn't cut.
 
     ``key`` is what ranges follow, ascending with nulls first; equal keys share a range. With ``large_only``, rows
     of groups that aren't cut are left out. A null group is never cut. ``df`` is scanned once more for the
     sample, with the columns of ``key`` only. The table of bounds has about a row for every
-    ``rows_per_range`` rows, which is why it is broadcast where that is large."""
-    bounds = range_bounds(df, group, key, rows_per_range).withColumnRenamed("bounds", "_bounds")
+    ``rows_per_range`` rows, which is why it is broadcast where that is large; ``bounds`` gives one made before."""
+    bounds = (range_bounds(df, group, key, rows_per_range) if bounds is None else bounds).withColumnRenamed("bounds", "_bounds")
     if rows_per_range >= 1_000_000:
         bounds = F.broadcast(bounds)
     joined = df.join(bounds, group, "inner" if large_only else "left")

@@ -18,7 +18,9 @@ from estatelens.operators import report as rpt
 from estatelens.operators import stats as st
 from estatelens.operators import synth
 from estatelens.operators import textprep as tp
+from estatelens.functions.html import sanitize
 from estatelens.operators.geo import centroid, geocode, markers
+from estatelens.operators.longtext import pack_documents
 from estatelens.operators.topk import cheapest, mover_locations, price_movers
 from estatelens.plans import oracle as O
 from estatelens.plans.reports import formatted_table, report_messages
@@ -75,6 +77,14 @@ def _page_messages(spark, sf):
     return tp.messages(chunks, "page_id", tp.message_header(AS_OF), tp.message_footer())
 
 
+def _host_chunks(units_per_segment):
+    """All sanitised pages of a host as one document, in page order."""
+    def q(spark, sf):
+        pages = read_pages(spark, sf).select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), sanitize("html").alias("text"))
+        return pack_documents(pages, "host", ["page_id"], "text", 3000, units_per_segment)
+    return q
+
+
 def _formatted_movers(spark, sf):
     mv = price_movers(_listings(spark, sf), *SMALL, k=3, match="latest")
     return rpt.formatted_moves(mv)
@@ -178,6 +188,9 @@ QUERIES: dict[str, Query] = {
     "messages": _doc_messages,
     "messages_unbroken": _unbroken_messages,
     "page_messages": _page_messages,
+    "host_chunks": _host_chunks(500_000),
+    # Hosts of over about 200 units cut into segments, as very long documents are at scale.
+    "host_chunks_cut": _host_chunks(200),
     "synthetic_moves": _synthetic(False),
     "synthetic_moves_deadzone": _synthetic(True),
     "fallback_moves": lambda s, sf: _fallback(_listings(s, sf)),
@@ -338,6 +351,9 @@ def _oracles() -> dict[str, str]:
     out["messages_unbroken"] = W(uchunks + _frame_ctes("doc_id"), _OUTBOX_SELECT)
     pchunks = O.chunk_ctes(f"SELECT page_id, {O.sanitize('html')} AS text FROM pages", "page_id", "text", 3000)
     out["page_messages"] = W(pchunks + _frame_ctes("page_id"), _OUTBOX_SELECT)
+    hosts = f"""SELECT host, string_agg(text, {nl} ORDER BY page_id) AS text FROM (
+        SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, {O.sanitize('html')} AS text FROM pages) GROUP BY host"""
+    out["host_chunks"] = out["host_chunks_cut"] = W(O.chunk_ctes(hosts, "host", "text", 3000), "SELECT host, part, n_parts, chunk FROM chunks")
     # The per-block rule: each row of the report is sanitised, then the rows are joined.
     report = f"""report_doc AS (SELECT 'movers_small_latest' AS report_id,
         string_agg(text, {nl} ORDER BY seq, location NULLS FIRST) AS text FROM (

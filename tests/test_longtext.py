@@ -3,9 +3,11 @@ run on the joined string, for any partitioning."""
 
 import random
 
+import numpy as np
 import pytest
 
-from estatelens.operators.longtext import pack_document
+from estatelens.operators import longtext
+from estatelens.operators.longtext import Transfer, pack_document, pack_documents
 from tests import pyref
 
 PIECES = list("ab .!?") + ["\n", "\n", " ", "xyz", "Q.", "aaaaaaaaaa", "\t", " "]
@@ -91,3 +93,59 @@ def test_report_messages_random_blocks(spark):
         got = [r.text for r in report_messages(df, "r", "H\n\n", "\nF", max_length=m).orderBy("part").collect()]
         joined = "\n".join(t for _, _, t in rows)
         assert got == _frame(pyref.chunks(pyref.sanitize(joined), m), "H\n\n", "\nF")
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+@pytest.mark.parametrize("units", [3, 10_000])
+def test_many_documents_at_once(spark, monkeypatch, fan, units):
+    """Long, short, empty and null documents side by side, through trees of several levels."""
+    monkeypatch.setattr(longtext, "FAN", fan)
+    rng, rows = random.Random(units + fan), []
+    for doc in range(12):
+        for line in range(rng.choice([1, 2, 60])):
+            rows.append((f"d{doc}", line, "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 30)))))
+    rows += [("none", 0, None), ("none", 1, None), ("blank", 0, " "), ("first", 0, "x" * 25), ("first", 1, None), ("first", 2, "y"), (None, 0, "a b"), (None, 1, "c " * 40)]
+    rows += [("hot", i, rng.choice(["word word", "x" * 25, "", "   ", "One. Two! " * 4])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc string, at int, text string").repartition(5)
+    got = {}
+    for r in pack_documents(df, "doc", ["at"], "text", 20, units_per_segment=units).collect():
+        got.setdefault(r.doc, []).append((r.part, r.n_parts, r.chunk))
+    want = {}
+    for doc in {r[0] for r in rows}:
+        lines = [t for d, _, t in sorted(r for r in rows if r[0] == doc) if t is not None]
+        chunks = pyref.chunks("\n".join(lines), 20) if lines else []
+        if chunks:
+            want[doc] = [(i, len(chunks), c) for i, c in enumerate(chunks)]
+    assert {d: sorted(c) for d, c in got.items()} == want
+
+
+def test_transfer_functions_compose():
+    """The function of two runs joined is the composition of theirs, for every incoming state."""
+    rng = random.Random(3)
+    for _ in range(400):
+        m = rng.randint(1, 25)
+        runs = [([rng.randint(1, rng.choice([3, 30])) for _ in range(rng.randint(1, 12))]) for _ in range(2)]
+        texts = [[rng.random() < 0.4 for _ in run] for run in runs]
+        a, b = (longtext._transfer(np.array(w), np.array(t), m) for w, t in zip(runs, texts))
+        both = a.then(m, b)
+        whole = longtext._transfer(np.array(runs[0] + runs[1]), np.array(texts[0] + texts[1]), m)
+        assert len(both.lo) <= m + 1
+        for state in range(m + 1):
+            for text in (False, True):
+                length, flushes, held = state, 0, text
+                for w, t in zip(runs[0] + runs[1], texts[0] + texts[1]):
+                    if length + w > m:
+                        length, flushes, held = 0, flushes + 1, False
+                    length, held = min(m, length + w), held or t
+                for f in (both, whole):
+                    got = [x[0] for x in f.apply(m, state, 0, text)]
+                    assert (min(m, got[0]), got[1], bool(got[2])) == (length, flushes, held)
+
+
+def test_pieces_stay_few():
+    """Composing any number of functions keeps at most a piece per state."""
+    rng, m = random.Random(1), 50
+    f = Transfer(0, False, [], [], [], [], [])
+    for _ in range(200):
+        f = f.then(m, longtext._transfer(np.array([rng.randint(1, 9) for _ in range(3)]), np.array([True] * 3), m))
+        assert len(f.lo) <= m + 1
