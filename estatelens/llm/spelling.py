@@ -103,7 +103,9 @@ def one_edit_pairs(words: DataFrame, symbols: int = SYMBOLS, long: int = LONG) -
     shorter = F.least(F.length("word"), F.length("near"))
     forms = words.filter(F.length("word") <= long + 1).select("word", reduced(F.col("word"), symbols).alias("form"))
     keyed = forms.select("word", F.xxhash64("form").alias("at"))
-    spread = forms.select("form").distinct().select(
+    # The forms are few bytes and much work: as many tasks as a shuffle has partitions, not as few as their bytes fill.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = forms.select("form").distinct().repartition(tasks, "form").select(
         F.xxhash64("form").alias("from"), F.explode(F.transform(neighbourhood(F.col("form"), symbols), lambda s: F.xxhash64(s))).alias("at"))
     meeting = spread.join(keyed.select("at").distinct(), "at")
     short = (meeting.join(keyed.select("word", F.col("at").alias("from")), "from").select("word", "at")
