@@ -2,18 +2,15 @@
 
 Order matters: entities are decoded first, so an encoded tag becomes a tag and
 is then stripped; what is left is escaped again and control characters go.
-Only the decode step runs in Python (an Arrow-batched pandas UDF over the
-standard library's full HTML5 entity table, also accepting legacy names
-without ``;``); the other three steps are JVM regex/replace expressions."""
+All four steps are Spark expressions; decoding knows the full HTML5 entity table,
+also legacy names without ``;`` (``entities``)."""
 
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from estatelens.functions.entities import unescape
 
 # Fixed values (must equal the reference's): a tag is "<", at least one
 # character other than ">", then ">"; removed controls are C0 except tab, LF
@@ -22,12 +19,6 @@ TAG_RE = r"<[^>]+>"
 CONTROL_RE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """Decode named and numeric character references."""
-    return s.map(lambda t: _html.unescape(t) if isinstance(t, str) and "&" in t else t)
-
-
 def strip_tags(c: Column) -> Column:
     """Remove ``<...>`` with at least one character inside (spans lines)."""
     return F.regexp_replace(c, TAG_RE, "")
@@ -45,19 +36,7 @@ def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, CONTROL_RE, "")
 
 
-# A character reference starts with "&" and then a letter (named) or "#"
-# (numeric); a text without one is left unchanged by decoding.
-REFERENCE_START_RE = r"&[A-Za-z#]"
-
-
-def decode_entities(c: Column) -> Column:
-    """X16, sending only texts that can change to Python: the UDF receives
-    null for every other row (a null costs almost nothing in an Arrow batch)
-    and the original text is kept for those."""
-    return F.coalesce(html_unescape(F.when(c.rlike(REFERENCE_START_RE), c)), c)
-
-
 def sanitize(c) -> Column:
     """X20 = X16 -> X17 -> X18 -> X19. Null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    return strip_controls(escape_specials(strip_tags(decode_entities(c))))
+    return strip_controls(escape_specials(strip_tags(unescape(c))))

@@ -53,22 +53,19 @@ def test_report_title_reuses_the_blocks(spark):
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
-PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
+PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapGroupsInArrow")
+# The packer of long documents numbers chunks in Arrow passes; the Arrow chunker is Python by name.
+WITH_PYTHON = ("report_messages", "host_chunks", "host_chunks_cut", "chunk_documents_arrow")
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("sanitize_pages", "messages", "report_messages",
-                                                                   "chunk_documents_arrow", "page_messages")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WITH_PYTHON])
 def test_no_python_in_plan(spark, name):
     p = plan(spark, name)
     assert not any(node in p for node in PYTHON_NODES)
 
 
-def test_report_messages_python_only_in_scan_passes(spark):
-    # the whole-report packer runs its two scan passes in mapInPandas; the
-    # chunk texts are assembled by a JVM aggregate
-    p = plan(spark, "report_messages")
-    assert "MapInPandas" in p and "ArrowEvalPython" not in p
-
-
-def test_python_only_for_entity_decode(spark):
-    assert "ArrowEvalPython" in plan(spark, "sanitize_pages")
+@pytest.mark.parametrize("name", ["report_messages", "host_chunks"])
+def test_long_documents_use_python_only_in_scan_passes(spark, name):
+    """Decoding is native, and chunk texts are put together by a JVM aggregate."""
+    p = plan(spark, name)
+    assert "MapInArrow" in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
