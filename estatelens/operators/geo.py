@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estatelens.functions.exact import exact_avg
 from estatelens.functions.fmt import fixed, html_escape, listing_url, whole_money
 from estatelens.functions.geo import parse_geography
 
@@ -23,8 +24,8 @@ def geocode(df: DataFrame, col: str = "geography", url_base: str = "https://list
 
 
 def centroid(df: DataFrame) -> DataFrame:
-    """A2: one row, mean latitude and longitude (a two-phase aggregate)."""
-    return df.agg(F.avg("latitude").alias("center_lat"), F.avg("longitude").alias("center_lon"))
+    """A2: one row, mean latitude and longitude (a two-phase aggregate, the same to the last bit under any partitioning)."""
+    return df.agg(exact_avg("latitude").alias("center_lat"), exact_avg("longitude").alias("center_lon"))
 
 
 # Own display defaults for the marker texts.

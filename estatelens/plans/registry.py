@@ -109,7 +109,7 @@ def _report_messages(spark, sf):
 
 
 def _chart(spark, sf):
-    top = st.top_regions(st.region_stats(_geocoded(spark, sf), avg_digits=6), 10)
+    top = st.top_regions(st.region_stats(_geocoded(spark, sf)), 10)
     s = st.chart_series(top)
     return s.select(F.to_json("labels").alias("labels_json"), F.to_json("prices").alias("prices_json"),
                     F.size("labels").alias("n_locations"))
@@ -165,12 +165,11 @@ QUERIES: dict[str, Query] = {
     "movers_medium_latest": _movers("latest", MEDIUM),
     "cheapest_top3": lambda s, sf: cheapest(_listings(s, sf), 40.0, 3),
     "geocoded": _geocoded,
-    "centroid": lambda s, sf: centroid(_geocoded(s, sf)).select(
-        F.round("center_lat", 9).alias("center_lat"), F.round("center_lon", 9).alias("center_lon")),
-    "region_stats_topk": lambda s, sf: st.region_stats(_geocoded(s, sf), avg_digits=6),
+    "centroid": lambda s, sf: centroid(_geocoded(s, sf)),
+    "region_stats_topk": lambda s, sf: st.region_stats(_geocoded(s, sf)),
     "region_stats_all": lambda s, sf: st.region_stats(
-        flt.area_band(flt.positive_price(_listings(s, sf)), None, 40.0), avg_digits=6),
-    "top_regions_10": lambda s, sf: st.top_regions(st.region_stats(_geocoded(s, sf), avg_digits=6), 10),
+        flt.area_band(flt.positive_price(_listings(s, sf)), None, 40.0)),
+    "top_regions_10": lambda s, sf: st.top_regions(st.region_stats(_geocoded(s, sf)), 10),
     "chart_series": _chart,
     "markers": lambda s, sf: markers(_geocoded(s, sf)),
     "formatted_cheapest": lambda s, sf: formatted_table(_geocoded(s, sf)),
@@ -278,11 +277,10 @@ def _oracles() -> dict[str, str]:
     out["cheapest_top3"] = W(L + [O.CHEAPEST], "SELECT * FROM ranked ORDER BY location NULLS LAST, rank")
     G = L + [O.CHEAPEST, *O.GEOCODED]
     out["geocoded"] = W(G, "SELECT * FROM geocoded")
-    out["centroid"] = W(G, """SELECT round(avg(latitude), 9) AS center_lat, round(avg(longitude), 9) AS center_lon
-        FROM geocoded""")
+    out["centroid"] = W(G, f"SELECT {O.exact_avg('latitude')} AS center_lat, {O.exact_avg('longitude')} AS center_lon FROM geocoded")
     out["region_stats_topk"] = W(G + [O.STATS], "SELECT * FROM stats")
-    out["region_stats_all"] = W(L, """SELECT location, count(id) AS "count", min(price) AS min_price,
-        max(price) AS max_price, round(avg(price), 6) AS avg_price
+    out["region_stats_all"] = W(L, f"""SELECT location, count(id) AS "count", min(price) AS min_price,
+        max(price) AS max_price, {O.exact_avg('price')} AS avg_price
         FROM listings WHERE price > 0 AND area <= 40.0 AND location IS NOT NULL GROUP BY location""")
     top = "top AS (SELECT * FROM stats ORDER BY min_price, location LIMIT 10)"
     out["top_regions_10"] = W(G + [O.STATS, top], "SELECT * FROM top")
