@@ -16,10 +16,12 @@ from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from estatelens import sinks
 from estatelens.operators.textprep import message_footer, message_header
 from estatelens.plans.reports import cheapest_report, movers_report, report_messages
+from estatelens.runs import RunStore
 
 
 def run_name(prefix: str, as_of: datetime) -> str:
@@ -30,9 +32,10 @@ def run_name(prefix: str, as_of: datetime) -> str:
 def run_movers_job(listings: DataFrame, out_dir: str, as_of: datetime, area_lo: float = 0.0,
                    area_hi: float = 40.0, k: int = 3, match: str = "latest", prefix: str = "movers",
                    title: str | None = None, banner: str | None = None, footer: str | None = None,
-                   tags: str | None = None) -> dict:
+                   tags: str | None = None, store: RunStore | None = None) -> dict:
     """Returns the written paths and the outbox row count; writes nothing when
-    no location has a plausible move (S7)."""
+    no location has a plausible move (S7). With a ``store`` both outputs are committed there
+    together, and a rerun of the same run replaces them."""
     rep = movers_report(listings, area_lo, area_hi, k=k, match=match, title=title)
     base = f"{out_dir.rstrip('/')}/{run_name(prefix, as_of)}"
     # The blocks hold at most k rows per location and feed three actions; keep
@@ -41,6 +44,12 @@ def run_movers_job(listings: DataFrame, out_dir: str, as_of: datetime, area_lo:
     try:
         if sinks.is_empty(rep.location_blocks):
             return {"report": None, "outbox": None, "messages": 0}
+        if store is not None:
+            ordered = rep.rows.orderBy(F.col("seq"), F.col("location").asc_nulls_first()).select("text")
+            name = run_name(prefix, as_of)
+            messages = report_messages(rep.rows, name, message_header(as_of, banner), message_footer(footer, tags))
+            paths = store.write(name, {"report": (ordered, "text"), "outbox": (messages, "parquet")})
+            return {"report": paths["report"][0], "outbox": paths["outbox"][0], "messages": paths["outbox"][1]}
         sinks.write_report(rep.rows, f"{base}/report")
         outbox, obs = sinks.observe_count(
             report_messages(rep.rows, run_name(prefix, as_of), message_header(as_of, banner), message_footer(footer, tags)))
@@ -51,16 +60,20 @@ def run_movers_job(listings: DataFrame, out_dir: str, as_of: datetime, area_lo:
 
 
 def run_cheapest_job(listings: DataFrame, out_dir: str, as_of: datetime, area_hi: float = 40.0, k: int = 3,
-                     top_n: int = 10, prefix: str = "lowest_prices") -> dict:
+                     top_n: int = 10, prefix: str = "lowest_prices", store: RunStore | None = None) -> dict:
     rep = cheapest_report(listings, area_hi, k, top_n)
     base = f"{out_dir.rstrip('/')}/{run_name(prefix, as_of)}"
     rep.geocoded.persist(StorageLevel.MEMORY_AND_DISK)   # <= k rows per location, six sinks
     try:
         if sinks.is_empty(rep.geocoded):
             return {}
+        tables = {"markers": rep.markers, "centre": rep.centre, "stats": rep.stats,
+                  "top_locations": rep.top, "chart": rep.chart, "table": rep.table}
+        if store is not None:
+            written = store.write(run_name(prefix, as_of), {name: (df, "parquet") for name, df in tables.items()})
+            return {name: path for name, (path, _) in written.items()}
         paths = {}
-        for name, df in (("markers", rep.markers), ("centre", rep.centre), ("stats", rep.stats),
-                         ("top_locations", rep.top), ("chart", rep.chart), ("table", rep.table)):
+        for name, df in tables.items():
             paths[name] = f"{base}/{name}"
             sinks.write_report_table(df, paths[name])
     finally:

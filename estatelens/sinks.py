@@ -30,7 +30,8 @@ def write_report_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str
     df.write.mode(mode).format(fmt).save(path)
 
 
-def write_outbox(outbox: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+def write_outbox(outbox: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """S5 re-aimed: messages land in an outbox table keyed by (report_id, part)
-    for a separate sender; delivery over the network is not part of this library."""
+    for a separate sender; delivery over the network is not part of this library. A rerun replaces
+    its messages; an outbox of many runs is a ``RunStore``."""
     outbox.write.mode(mode).format(fmt).save(path)
