@@ -4,7 +4,7 @@ All are plain predicates, so Catalyst pushes them into the Parquet/JDBC scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.operators.order import TIME_TIEBREAK
@@ -42,9 +42,34 @@ def non_blank(df: DataFrame, col: str = "location") -> DataFrame:
 
 
 def most_recent(df: DataFrame, n: int = 1000, time_col: str = "updated_at",
-                tiebreak=TIME_TIEBREAK + ("id",)) -> DataFrame:
+                tiebreak=TIME_TIEBREAK + ("id",), method: str = "heap") -> DataFrame:
     """O2: the ``n`` newest rows. Null times sort first, as a descending sort
     does in the reference's database. Planned as ``TakeOrderedAndProject``: each
-    task keeps its own top ``n`` and only those reach the final merge."""
+    task keeps its own top ``n`` and only those reach the final merge.
+
+    ``method="threshold"`` first counts rows by day, which reads ``time_col`` and the filters' columns only, and then
+    reads the rows from the day on that the ``n``-th newest falls in: a predicate that reaches the scan, so files and
+    row groups of older days are skipped where the table is in any order of time (Spark 4.1 does so for
+    ``timestamp``, not yet for ``timestamp_ntz``). The rows are the same, ties included, since a
+    whole day is kept."""
+    if method == "threshold":
+        day = newest_day(df, n, time_col)
+        if day is not None:
+            times = df.schema[time_col].dataType
+            since = F.col(time_col).isNull()
+            df = df.filter(since if day == "" else since | (F.col(time_col) >= F.lit(day).cast(times)))
+    elif method != "heap":
+        raise ValueError(f"unknown method {method!r}")
     order = [F.col(time_col).desc_nulls_first()] + [F.col(c).desc_nulls_last() for c in tiebreak]
     return df.orderBy(*order).limit(n)
+
+
+def newest_day(df: DataFrame, n: int, time_col: str = "updated_at") -> str | None:
+    """The day from which on there are at least ``n`` rows, as text; "" if rows without a time are enough, None if all rows are
+    fewer. One row comes to the driver; the counts that are summed are as many as there are days."""
+    days = df.groupBy(F.col(time_col).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    newer = Window.orderBy(F.col("day").desc_nulls_first())
+    reached = days.withColumn("sum", F.sum("n").over(newer)).filter(F.col("sum") >= n).orderBy(F.col("day").desc_nulls_first()).first()
+    if reached is None:
+        return None
+    return "" if reached.day is None else reached.day.isoformat()

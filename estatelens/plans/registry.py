@@ -148,6 +148,9 @@ QUERIES: dict[str, Query] = {
     "most_recent_1000": lambda s, sf: flt.most_recent(
         flt.area_band(flt.positive_price(_listings(s, sf)), *SMALL), 1000).select(
             "id", "title", "price", "rooms", "area", "location", "property_url", "updated_at"),
+    "most_recent_1000_threshold": lambda s, sf: flt.most_recent(
+        flt.area_band(flt.positive_price(_listings(s, sf)), *SMALL), 1000, method="threshold").select(
+            "id", "title", "price", "rooms", "area", "location", "property_url", "updated_at"),
     "price_history": lambda s, sf: ch.price_history(_listings(s, sf)),
     # Ids of over about 20 observations cut into ranges, as very hot ids are at scale.
     "price_history_balanced": lambda s, sf: ch.price_history(_listings(s, sf), split_rows=20),
@@ -232,6 +235,7 @@ def _oracles() -> dict[str, str]:
         "price_history": W(L + [O.HISTORY], "SELECT * FROM price_history"),
         "latest_changes": W(L + [O.NEWEST_TWO], "SELECT * EXCLUDE (now) FROM moved"),
     }
+    out["most_recent_1000_threshold"] = out["most_recent_1000"]
     out["conformed_listings"] = W(L, """SELECT id, CASE WHEN seq1 % 23 <> 0 THEN title END AS title, CASE WHEN seq1 % 17 <> 0 THEN price END AS price,
         rooms, area, location, property_url, CASE WHEN seq1 % 19 <> 0 THEN updated_at END AS updated_at, CAST(NULL AS VARCHAR) AS geography, seq1, seq2
         FROM listings""")
