@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import Scratch, table
-from estatelens.llm.textvec import keys64, mix64, slices, text_bytes, word_hashes
+from estatelens.llm.textvec import keys64, mix64, text_bytes, word_hashes
+from estatelens.operators.ranges import cut_ranges, range_bounds
 
 # Cells of the published sketch. Differences of up to about two thirds of the cells peel.
 CELLS = 48
 HASHES = 3
 # A paragraph is a line or sentence, cut after so many words.
 PARAGRAPH_WORDS = 8
+# Characters of a text that place it among others with the same id.
+HEAD_CHARS = 64
 
 _KEYS = keys64(PARAGRAPH_WORDS + 2, 31)
 
@@ -148,39 +151,24 @@ def edited_text(text: str, following: str) -> str:
 
 
 def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
-    """``(part, last, doc_id, text)``: rows of ``docs`` in ranges of descending id. The first row of the next
-    range (of the first range, for the last one) is in a range once more with ``last`` set.
-
-    Ranges have about as many rows; their bounds come from quantiles of the ids, and one row
-    per range tells which ids are first. Rows with one id stay in one range."""
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    quantiles = [i / partitions for i in range(1, partitions)]
-    bounds = np.array(sorted(set(ids.stat.approxQuantile("doc_id", quantiles, 0.001) if quantiles else [])))
-
-    def ranges(ids: pa.Array) -> np.ndarray:
-        """Range 0 has the largest ids; null ids come after all others."""
-        part = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy())
-        return np.where(ids.is_valid().to_numpy(zero_copy_only=False), part, len(bounds)).astype(np.int32)
-
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = pa.array(ranges(batch.column("doc_id")))
-            yield pa.RecordBatch.from_arrays([part, batch.column("doc_id")], ["part", "doc_id"])
-    firsts = {r["part"]: r["first"] for r in docs.select("doc_id").mapInArrow(largest, "part int, doc_id long")
-              .groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
-    order = sorted(firsts)
-    # Each range's first id, and the range that comes before it.
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            part, ids = ranges(batch.column("doc_id")), batch.column("doc_id").to_pylist()
-            heads = [i for i, (p, d) in enumerate(zip(part.tolist(), ids)) if firsts[p] == d]
-            for rows, where, last in ((batch, part, False), (batch.take(pa.array(heads, pa.int64())), [before[part[i]] for i in heads], True)):
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(np.full(len(where), last)),
-                                                  rows.column("doc_id"), rows.column("text")], ["part", "last", "doc_id", "text"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        place, "part int, last boolean, doc_id long, text string")
+    """``(part, last, doc_id, text)``: rows of ``docs`` in ranges of their order (descending id, null ids last, equal ids by text). The
+    first row of the next range (of the first range, for the last one) is in a range once more with ``last`` set.
+
+    Ranges have about as many rows; their bounds are sampled quantiles of the order, so null or repeated ids are
+    spread over ranges by the first ``HEAD_CHARS`` characters of their texts. Rows that agree in both stay in one range."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(0).alias("_all"))
+    # The complement of a number falls as the number rises, without overflow.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.substring("text", 1, HEAD_CHARS).alias("head"))
+    per_range = max(1, -(-rows.count() // partitions))
+    # One row, with about as many bounds as ``partitions``.
+    bounds = F.broadcast(Scratch(docs.sparkSession).cut(range_bounds(rows, "_all", key, per_range)))
+    parted = cut_ranges(rows, "_all", key, per_range, "part", bounds=bounds).drop("_all")
+    firsts = parted.select("part", key.alias("first")).groupBy("part").agg(F.min("first").alias("first"))  # a row a range
+    heads = parted.join(F.broadcast(firsts), "part").filter(key == F.col("first")).groupBy("part").agg(F.min("text").alias("text"))
+    line = W.orderBy("part")
+    before = heads.select("part", "text", F.coalesce(F.lag("part").over(line), F.max("part").over(W.partitionBy())).alias("to"))
+    carried = before.select(F.col("to").alias("part"), F.lit(True).alias("last"), F.lit(None).cast("long").alias("doc_id"), "text")
+    return parted.select("part", F.lit(False).alias("last"), "doc_id", "text").unionByName(carried)
 
 
 def fingerprint_edits(docs: DataFrame, partitions: int) -> DataFrame:
@@ -190,7 +178,8 @@ def fingerprint_edits(docs: DataFrame, partitions: int) -> DataFrame:
     Documents stand in descending id (null ids last), equal ids by text; each is edited with
     the next one, the last with the first. A null text is empty. Fingerprints depend on the text
     alone; two texts without a paragraph are alike. Other columns are ignored; a single row is its own next;
-    an empty table gives an empty result."""
+    an empty table gives an empty result. A task holds the texts of one range and a very long text whole, with arrays
+    of about its size; null and repeated ids are spread over ranges (see ``neighbours``)."""
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double")
 
@@ -199,11 +188,8 @@ def fingerprint_edits(docs: DataFrame, partitions: int) -> DataFrame:
         ids = rows.column("doc_id").to_pylist()
         texts = [t or "" for t in rows.column("text").to_pylist()]
         own = sorted(np.flatnonzero(~last).tolist(), key=lambda i: (ids[i] is None, -(ids[i] or 0), texts[i]))
-        # Of the next range's rows with its first id, the one that comes first there.
-        after = min((texts[i] for i in np.flatnonzero(last).tolist()), default=None)
-        line = [texts[i] for i in own]
         out = []
-        line.append(after if after is not None else line[0])
+        line = [texts[i] for i in own] + [texts[i] for i in np.flatnonzero(last).tolist()]  # one row is the next range's first
         size, lo = 0, 0
         for hi in range(1, len(line)):
             size += len(line[hi - 1])
