@@ -27,7 +27,7 @@ def skewed_listings(spark, sf):
                           "location": F.when(hot, F.lit("HOT")).otherwise(F.col("location"))})
 
 
-# Rows from which an id is cut into time ranges, scaled down to fixture size (the library default is 2,000,000).
+# Rows from which an id is cut into ranges, scaled down to fixture size (the library default is 2,000,000).
 SPLIT_ROWS = 10_000
 # AQE's skew split, scaled down likewise, for the join whose spread is decided at run time.
 AQE = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false",
@@ -73,7 +73,7 @@ def main():
     hot_rows = L.filter("id = 1").count()
     checks = {
         "price_history, ids never cut": lambda: ch.price_history(L, split_rows=10 ** 9),
-        "price_history, hot ids cut into time ranges": lambda: ch.price_history(L, split_rows=SPLIT_ROWS),
+        "price_history, hot ids cut into ranges": lambda: ch.price_history(L, split_rows=SPLIT_ROWS),
         "latest_changes (top-2 cut)": lambda: ch.latest_changes(L),
         "latest_changes (method window)": lambda: ch.latest_changes(L, method="window"),
         "movers all (0, 40]": lambda: price_movers(L, 0, 40, match="all"),
@@ -125,7 +125,7 @@ def main():
         w = worst.get(name, 0)
         lines.append(f"| {name} | {w:,} | {w / total:.1%} | {written.get(name, 0) / 1e6:.1f} | {took[name]:.1f} |")
     lines += ["", "Reading: the top-k paths cut each group to k rows per map task before the shuffle, so the hot "
-              "id/location adds almost nothing to any task. The history cuts the hot id into time ranges, each a "
+              "id/location adds almost nothing to any task. The history cuts the hot id into ranges of about equal row counts, each a "
               "key of its own in the window. The fan-out join emits every observation; both of its sides are plain "
               "shuffles, so AQE splits the hot id's partition by map output."]
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "SKEW.md")
