@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a forest of sorted hash-prefix arrays.
 
 Every tree gives each vector a long bit string (signs of random projections) and keeps all
-vectors sorted by it. A query descends to the place of its own string, where the longest
-prefixes match, and ascends: prefixes get shorter and more neighbours in the order come
-in, equally far in all trees. How far is fitted on a sample of queries with exact answers."""
+vectors sorted by it. A query descends to the longest prefixes that match its own strings, and ascends in all trees
+at once, a bit at a time: the rows that share a prefix of that length with it, in any tree, are its candidates, until they
+are enough. How many are enough is fitted on a sample of queries with exact answers; how many rows share a
+prefix is told by a sample of each tree's strings. So dense places end at long prefixes, sparse ones at short."""
 
 from __future__ import annotations
 
@@ -28,8 +29,10 @@ SAMPLE_QUERIES = 256
 SAMPLE_ROWS = 20_000
 # Share of the sampled neighbours that the search must reach.
 TARGET = 0.96
-# A chunk of a sorted array holds at least about this many rows.
-CHUNK_ROWS = 2048
+# Rows of a chunk of a sorted array, about, at any size of the table (up to CHUNK_ROWS times an eighth of the sample).
+CHUNK_ROWS = 8192
+# Queries that search a chunk together; with more, chunks are searched by one block of queries at a time.
+QUERY_BLOCK = 50_000
 
 
 def planes(trees: int, dim: int) -> np.ndarray:
@@ -48,20 +51,28 @@ def hash_keys(x: np.ndarray, ids: np.ndarray, reach: float, hyper: np.ndarray, q
     return (strings << SALT_BITS) | salt
 
 
-def prefix_range(keys: np.ndarray, key: int, want: int) -> tuple[int, int]:
-    """The ``want`` rows of a sorted array whose hash strings share the longest prefix with ``key``: they stand
-    around its place. Of the shortest prefix needed, the nearest rows come first."""
-    at = int(np.searchsorted(keys, key))
-    if at in (0, len(keys)):  # a chunk beside the query's own: one side of it
-        want = want // 2 + 1
-    lo, hi = max(0, at - want), min(len(keys), at + want)
-    if hi - lo <= want:
-        return lo, hi
-    # Fewer differing bits from the top on means a longer shared prefix; it grows with distance on both sides.
-    differ = np.frexp(((keys[lo:hi] ^ key) >> SALT_BITS).astype(np.float64))[1]
-    nearness = np.abs(np.arange(lo, hi) - at + 0.5)
-    best = np.lexsort((nearness, differ))[:want] + lo
-    return int(best.min()), int(best.max()) + 1
+def prefix_ranges(keys: np.ndarray, bits) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last sort key with the same first ``bits`` bits of the hash string as ``keys``."""
+    rest = np.int64(HASH_BITS + SALT_BITS) - np.asarray(bits, np.int64)
+    whole = np.left_shift(np.int64(1), np.minimum(rest, 62)) - 1
+    low = np.where(rest > 62, 0, keys & ~whole)
+    return low, np.where(rest > 62, np.int64(2**63 - 1), low | whole)
+
+
+def met_at(sample: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``(queries, HASH_BITS + 1)``: how many sampled strings, of all trees together, share the first 0, 1, ... bits with the
+    query's. ``sample`` is sorted per tree; ``keys`` are a row of queries per tree."""
+    met = np.zeros((keys.shape[1], HASH_BITS + 1), np.int64)
+    for t, strings in enumerate(sample):
+        for bits in range(HASH_BITS + 1):
+            low, last = prefix_ranges(keys[t], bits)
+            met[:, bits] += np.searchsorted(strings, last, "right") - np.searchsorted(strings, low)
+    return met
+
+
+def ascent(sample: np.ndarray, keys: np.ndarray, want: int) -> np.ndarray:
+    """The length of prefix at which each query stops: the longest with ``want`` sampled strings in all trees together."""
+    return np.maximum((met_at(sample, keys) >= want).sum(1) - 1, 0)
 
 
 def top(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +142,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     A repeated id is answered once per distinct vector; other columns are ignored. An empty table gives an
     empty result; with k rows or fewer all others are returned.
 
-    Every row is in every tree. Trees are cut into chunks by quantiles of their keys; a query searches
-    its own chunk and those beside it."""
+    Every row is in every tree. Trees are cut into chunks of a fixed number of rows by quantiles of their keys; a query goes to all
+    chunks that its ranges of prefixes reach. On vectors without structure these are many, as no short
+    prefix tells near from far; on vectors with clusters they are few."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     valid = scratch.cut(usable(vectors, vec_id, embedding))
@@ -156,9 +168,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     hyper = planes(trees, dim)
     sample = np.sort(hash_keys(np.stack(some_rows["vec"].map(np.frombuffer).to_list()), some_rows["vec_id"].to_numpy(), reach, hyper, False), 1)
     truth = exact_search(rows, some, k + 1).join(rows.select("vec_id", "same", "vec"), "vec_id").select("q", "vec_id", "vec").toPandas()
-    want = fit_reach(truth, dict(some), sample, n, reach, hyper, target)
-    chunk_rows = max(CHUNK_ROWS, want)
-    chunks = max(1, n // chunk_rows)
+    want = max(fit_want(truth, dict(some), sample, reach, hyper, target), trees * (k + 1), trees * 16)
+    chunks = max(1, min(n // CHUNK_ROWS, sample.shape[1] // 8))
+    blocks = -(-queries.count() // QUERY_BLOCK)
     bounds = sample[:, [i * sample.shape[1] // chunks for i in range(1, chunks)]]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,27 +180,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
             x, ids = matrix(part.column("vec")), part.column("vec_id").to_numpy()
             keys = hash_keys(x, ids, reach, hyper, False)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), t, np.int32)), pa.array(np.searchsorted(bounds[t], keys[t], "right").astype(np.int32)),
-                     pa.array(keys[t]), pa.array(np.zeros(len(ids), bool)), part.column("vec_id"), part.column("vec")], PLANTED)
+                chunk = pa.array(np.searchsorted(bounds[t], keys[t], "right").astype(np.int32))
+                for block in range(blocks):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(ids), t, np.int32)), chunk, pa.array(np.full(len(ids), block, np.int32)), pa.array(keys[t]), pa.array(keys[t]),
+                         pa.array(np.zeros(len(ids), bool)), part.column("vec_id"), part.column("vec")], PLANTED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if not part.num_rows:
-                continue
-            x, q = matrix(part.column("vec")), part.column("same").to_numpy()
-            keys = hash_keys(x, q, reach, hyper, True)
-            for t in range(trees):
-                own = np.searchsorted(bounds[t], keys[t], "right")
-                for chunk in (own - 1, own, own + 1):
-                    ok = np.flatnonzero((chunk >= 0) & (chunk < chunks))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                part = whole.slice(a, 1000)
+                x, q = matrix(part.column("vec")), part.column("same").to_numpy()
+                keys = hash_keys(x, q, reach, hyper, True)
+                stop = ascent(sample, keys, want)
+                block = (mix64(q.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+                for t in range(trees):
+                    low, last = prefix_ranges(keys[t], stop)
+                    first, end = (np.searchsorted(bounds[t], v, "right") for v in (low, last))
+                    to = np.repeat(np.arange(len(q)), end - first + 1)
+                    chunk = np.arange(len(to)) - np.repeat(np.cumsum(end - first + 1) - (end - first + 1), end - first + 1) + first[to]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ok), t, np.int32)), pa.array(chunk[ok].astype(np.int32)), pa.array(keys[t][ok]),
-                         pa.array(np.ones(len(ok), bool)), pa.array(q[ok]), part.column("vec").take(pa.array(ok))], PLANTED)
+                        [pa.array(np.full(len(to), t, np.int32)), pa.array(chunk.astype(np.int32)), pa.array(block[to]), pa.array(low[to]), pa.array(last[to]),
+                         pa.array(np.ones(len(to), bool)), pa.array(q[to]), part.column("vec").take(pa.array(to))], PLANTED)
 
     def search(group: pa.Table) -> pa.Table:
         is_query_ = group.column("is_query").to_numpy()
-        keys, ids, vecs = group.column("key").to_numpy(), group.column("id").to_numpy(), group.column("vec")
+        keys, lasts, ids, vecs = *(group.column(c).to_numpy() for c in ("key", "last", "id")), group.column("vec")
         own = np.flatnonzero(~is_query_)
         own = own[np.lexsort((ids[own], keys[own]))]
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
@@ -196,14 +213,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
             sorted_keys, sorted_ids = keys[own], ids[own]
             x = matrix(vecs.take(pa.array(own)))
             for i in np.flatnonzero(is_query_).tolist():
-                lo, hi = prefix_range(sorted_keys, keys[i], want)
+                lo, hi = int(np.searchsorted(sorted_keys, keys[i])), int(np.searchsorted(sorted_keys, lasts[i], "right"))
+                if lo == hi:
+                    continue
                 found, score = top(x[lo:hi], sorted_ids[lo:hi], np.frombuffer(vecs[i].as_buffer(), np.float64), k + 1)
                 for col, v in zip(out, (np.full(len(found), ids[i]), found, score)):
                     col.append(v)
         return pa.table([pa.array(np.concatenate(c)) for c in out], ["q", "vec_id", "score"])
-    schema = "tree int, chunk int, key long, is_query boolean, id long, vec binary"
+    schema = "tree int, chunk int, block int, key long, last long, is_query boolean, id long, vec binary"
     planted = rows.select("vec_id", "vec").mapInArrow(plant, schema).unionByName(queries.select("same", "vec").mapInArrow(ask, schema))
-    found = best_per(planted.groupBy("tree", "chunk").applyInArrow(search, "q long, vec_id long, score double"), k + 1)
+    found = best_per(planted.groupBy("tree", "chunk", "block").applyInArrow(search, "q long, vec_id long, score double"), k + 1)
     # Every query of a vector gets its answers but itself.
     answers = asked.join(found.withColumnRenamed("q", "same").drop("rank"), "same").filter(F.col("vec_id") != F.col("query_id"))
     order = W.partitionBy("query_id", "same").orderBy(F.desc("score"), "vec_id")
@@ -211,23 +230,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
             .select("query_id", "rank", "vec_id", "score"))
 
 
-PLANTED = ["tree", "chunk", "key", "is_query", "id", "vec"]
+PLANTED = ["tree", "chunk", "block", "key", "last", "is_query", "id", "vec"]
 
 
-def fit_reach(truth, asked: dict[int, bytes], sample: np.ndarray, n: int, reach: float, hyper: np.ndarray, target: float) -> int:
-    """How many rows a query must see in each tree so that it meets a share ``target`` of its true neighbours.
+def fit_want(truth, asked: dict[int, bytes], sample: np.ndarray, reach: float, hyper: np.ndarray, target: float) -> int:
+    """How many sampled strings a query must meet so that a share ``target`` of the true neighbours of the sampled queries is
+    among its candidates.
 
-    A neighbour is met in the tree where it stands nearest to the query; the distance in rows comes from the
-    quantiles of the sampled keys. Both sides are searched, hence twice that."""
-    rank = n / sample.shape[1]
-    by_query = {q: hash_keys(np.frombuffer(v)[None, :], np.array([q]), reach, hyper, True)[:, 0] for q, v in asked.items()}
-    x = np.stack(truth["vec"].map(np.frombuffer).to_list())
-    keys = hash_keys(x, truth["vec_id"].to_numpy(), reach, hyper, False)
-    asked_keys = np.stack([by_query[q] for q in truth["q"]], 1)
-    apart = np.full(len(x), np.inf)
-    for t in range(len(sample)):
-        apart = np.minimum(apart, np.abs(np.searchsorted(sample[t], keys[t]) - np.searchsorted(sample[t], asked_keys[t])))
-    return int(2 * (np.quantile(apart, target) + 1) * rank) + 64
+    A neighbour is met where the ascent stops at the longest prefix that it shares with the query in any tree, or at
+    a shorter one; that is, if more strings are wanted than share one bit more."""
+    place = {q: i for i, q in enumerate(asked)}
+    ids = np.array(list(asked), np.int64)
+    keys = hash_keys(np.stack([np.frombuffer(v) for v in asked.values()]), ids, reach, hyper, True)
+    met = np.column_stack([met_at(sample, keys), np.zeros(len(ids), np.int64)])
+    of = np.array([place[q] for q in truth["q"]])
+    theirs = hash_keys(np.stack(truth["vec"].map(np.frombuffer).to_list()), truth["vec_id"].to_numpy(), reach, hyper, False)
+    differ = np.frexp(((theirs ^ keys[:, of]) >> SALT_BITS).astype(np.float64))[1]  # bits from the first one that differs
+    shared = HASH_BITS - differ.min(0)
+    return int(np.quantile(met[of, shared + 1], target, method="higher")) + 1
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

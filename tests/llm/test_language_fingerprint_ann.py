@@ -182,11 +182,44 @@ def test_few_vectors(spark):
     assert nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_prefix_range_takes_the_longest_prefixes():
+def test_the_ascent_takes_the_longest_prefixes():
+    """In each tree the range at which a query stops holds exactly the strings that share its prefix; a bit more, in all
+    trees at once, would meet too few."""
     r = np.random.default_rng(2)
-    keys = np.sort(r.integers(0, 1 << 62, 500))
-    for key in r.choice(keys, 20):
-        lo, hi = ann.prefix_range(keys, int(key), 40)
-        assert lo <= np.searchsorted(keys, key) <= hi and 40 <= hi - lo <= 80
-        shared = [63 - int(int(k >> ann.SALT_BITS) ^ int(key >> ann.SALT_BITS)).bit_length() for k in keys]
-        assert min(shared[lo:hi]) >= max(shared[:lo] + shared[hi:])
+    sample = np.sort(r.integers(0, 1 << 63, (3, 500)), 1)
+    sample[:, :200] |= 1 << 62
+    sample = np.sort(sample, 1)
+    keys = np.stack([r.choice(row, 40) for row in sample])
+    shared = [[[ann.HASH_BITS - ((int(s) ^ int(k)) >> ann.SALT_BITS).bit_length() for s in row] for k in of] for row, of in zip(sample, keys)]
+    for want in (1, 40, 400, 1500):
+        stop = ann.ascent(sample, keys, want)
+        for q in range(40):
+            met = [sum(x >= bits for t in range(3) for x in shared[t][q]) for bits in range(ann.HASH_BITS + 2)]
+            assert met[stop[q]] >= want and met[stop[q] + 1] < want
+            for t in range(3):
+                low, last = ann.prefix_ranges(keys[t][q:q + 1], stop[q:q + 1])
+                inside = (sample[t] >= low[0]) & (sample[t] <= last[0])
+                assert inside.tolist() == [x >= stop[q] for x in shared[t][q]]
+
+
+def test_queries_in_blocks_change_nothing(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, nearest(df, F.col("vec_id") % 20 == 0).collect()))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 50)
+    assert sorted(map(tuple, nearest(df, F.col("vec_id") % 20 == 0).collect())) == whole
+
+
+def test_clustered_vectors_need_few_rows(spark):
+    """Around a query of a dense place the ascent stops at a long prefix: few rows are met, and the neighbours are among them."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 16)) * 4
+    rows = [(i, (centres[i % 40] + r.normal(size=16) * 0.05).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    want = exact(rows, 20)
+    met = sum(len(got[q] & {i for _, i in best}) for q, best in want.items())
+    assert met >= 0.9 * 20 * len(want)
