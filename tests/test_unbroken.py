@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from estatelens.operators import textprep as tp
+from estatelens.plans.registry import AS_OF
 from tests import pyref
 from tests.test_oracle import bag
 
@@ -42,3 +44,14 @@ def test_chunk_unbroken_keeps_plain_texts_whole(spark, documents):
     rows = [(doc_id, part, len(cs), c, len(c)) for doc_id, cs in expected() for part, c in enumerate(cs)]
     assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag(["doc_id", "part", "n_parts", "chunk", "n_chars"], rows)
     same_as_sql(got, documents, "chunk_unbroken")
+
+
+def test_messages_unbroken_frame_plain_texts_whole(spark, documents):
+    got = E.queries()["messages_unbroken"](spark, documents)
+    header, footer = tp.message_header(AS_OF), tp.message_footer()
+    framed = [(doc_id, part, len(cs), header * (part == 0) + c + footer * (part == len(cs) - 1)) for doc_id, cs in expected() for part, c in enumerate(cs)]
+    rows = [(doc_id, part, n, t if len(t) <= 4000 else t[:3997] + "...", len(t) > 4000) for doc_id, part, n, t in framed]
+    columns = ["report_id", "part", "n_parts", "text", "was_trimmed"]
+    assert bag(columns, [tuple(r) for r in got.select(*columns).collect()]) == bag(columns, rows)
+    assert {r.was_trimmed for r in got.filter("report_id % 3 = 2 AND report_id < 3").collect()} == {False}
+    same_as_sql(got, documents, "messages_unbroken")
